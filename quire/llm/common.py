@@ -134,12 +134,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def words(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, start: np.ndarray, length: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased (A-Z) words [^\\x20\\x09-\\x0D]+ of documents that lie one after the other in raw.
 
-    Returns the lower-cased bytes, and of each word its start, length and document.
+    Returns the lower-cased bytes (unchanged ones without lower), and of each word its start, length and document.
     """
-    low = _LOWER[raw]
+    low = _LOWER[raw] if lower else raw
     inside = np.ones(len(raw) + 2, bool)
     inside[0] = inside[-1] = False
     inside[1:-1] = ~_SPACE[raw]

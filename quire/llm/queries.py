@@ -6,14 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op5_html
 from .katz import op1_katz
+from .packing import op3_packing
+from .quality import op4_quality
+from .warc import op6_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+     d AS (SELECT page_id, url, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to, url
+FROM f
+"""
+
 
 def queries() -> dict[str, Query]:
-    return {"op1_katz": op1_katz}
+    return {
+        "op1_katz": op1_katz,
+        "op3_packing": op3_packing,
+        "op4_quality": op4_quality,
+        "op5_html": op5_html,
+        "op6_warc": op6_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": OP6_SQL}
