@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import op8_embeddings
 from .html_text import op5_html
 from .katz import op1_katz
+from .ngram_join import op7_jaccard
 from .packing import op3_packing
 from .quality import op4_quality
 from .warc import op6_warc
@@ -32,6 +34,8 @@ def queries() -> dict[str, Query]:
         "op4_quality": op4_quality,
         "op5_html": op5_html,
         "op6_warc": op6_warc,
+        "op7_jaccard": op7_jaccard,
+        "op8_embeddings": op8_embeddings,
     }
 
 
