@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP2_SQL, op2_decontaminate
 from .embedding_dedup import op8_embeddings
 from .html_text import op5_html
 from .katz import op1_katz
 from .ngram_join import op7_jaccard
 from .packing import op3_packing
 from .quality import op4_quality
+from .substring_dedup import op9_substrings
 from .warc import op6_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,14 +32,16 @@ FROM f
 def queries() -> dict[str, Query]:
     return {
         "op1_katz": op1_katz,
+        "op2_decontaminate": op2_decontaminate,
         "op3_packing": op3_packing,
         "op4_quality": op4_quality,
         "op5_html": op5_html,
         "op6_warc": op6_warc,
         "op7_jaccard": op7_jaccard,
         "op8_embeddings": op8_embeddings,
+        "op9_substrings": op9_substrings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op6_warc": OP6_SQL}
