@@ -24,14 +24,24 @@ from pyspark.sql import functions as F
 from .common import grouped_batches, utf8, word_hashes, words
 
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 2_000_000
+# Kinds of bytes for words that need no care: other signs, letters (ASCII, and the Latin letters whose UTF-8 starts
+# with C3), digits; 3 marks bytes whose words are encoded one by one.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[0x21:0x7F] = 0
+_KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
+_KIND[48:58] = 2
+_KIND[[0x27, 0x3C]] = 3
 
 
 class WordEncoder:
     """Ids of whole texts from the ids of their words.
 
-    Right only for tokenizers that drop white space and never join across it;
-    each distinct word of a batch is encoded once.
+    Right only for tokenizers that drop white space, never join across it and mark
+    the last id of each pre-token by </w>. Each distinct word is encoded once
+    while it is remembered; plain words are encoded many at a time, and told
+    apart by the count of their pre-tokens (runs of letters, single digits, runs
+    of other signs).
     """
 
     def __init__(self, path: str):
@@ -39,44 +49,89 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[int, int] = {}
-        self.ids: list[np.ndarray] = [np.zeros(0, np.uint32)]
-        self.start: list[int] = []
-        self.size: list[int] = []
-        self.total = 0
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([y for x in got for y in x], np.uint32), np.array([len(x) for x in got], np.int64)
+
+    def _plain(self, texts: list[str], count: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Of words joined by spaces in texts, whose pre-tokens are counted; None if the counts don't add up."""
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(self.last[ids])
+        upto = np.cumsum(count)
+        if len(ends) != upto[-1] or ends[-1] != len(ids) - 1:
+            return None
+        return ids, np.diff(ends[upto - 1] + 1, prepend=0)
+
+    def _words(self, low: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has."""
+        size = n + 1
+        begin = np.cumsum(size) - size
+        raw = np.full(int(size.sum()), 32, np.uint8)
+        inner = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        raw[inner] = low[inner - np.repeat(begin, n) + np.repeat(s, n)]
+        kind = _KIND[raw]
+        kind[begin + n] = 0
+        odd = (raw[1:] == 0x97) | (raw[1:] == 0xB7)  # C3 97 and C3 B7 are signs, not letters
+        kind[np.flatnonzero(odd & (raw[:-1] == 0xC3))] = 3
+        care = np.maximum.reduceat(kind, begin) == 3
+        new = np.r_[True, kind[1:] != kind[:-1]] | (kind == 2)
+        new[begin] = True
+        new[begin + n] = False
+        count = np.add.reduceat(new.astype(np.int64), begin)
+        text = lambda i, j: raw[begin[i] : begin[j - 1] + n[j - 1]].tobytes().decode("utf-8", "replace")
+        if care.any():
+            order = np.argsort(care, kind="stable")
+            cut = len(care) - int(care.sum())
+            a_ids, a_size = self._words(low, s[order[:cut]], n[order[:cut]]) if cut else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            b_ids, b_size = self._each([text(i, i + 1) for i in order[cut:].tolist()])
+            ids, size = np.concatenate([a_ids, b_ids]), np.concatenate([a_size, b_size])
+            at = np.cumsum(size) - size
+            back = np.argsort(order)
+            size = size[back]
+            return ids[np.repeat(at[back] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], size
+        ids, sizes = [], []
+        for lo in range(0, len(s), 65_536):
+            hi = min(lo + 65_536, len(s))
+            got = self._plain([text(i, min(i + 256, hi)) for i in range(lo, hi, 256)], count[lo:hi])
+            got = got or self._each([text(i, i + 1) for i in range(lo, hi)])
+            ids.append(got[0])
+            sizes.append(got[1])
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def __call__(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an `end` after each document; and how many each document has."""
         low, s, n, doc = words(raw, start, length, lower=False)
         code, uniq = pd.factorize(word_hashes(low, s, n))
-        if len(self.at) > REMEMBERED:
+        if len(self.keys) > REMEMBERED:
             self.forget()
-        first = np.zeros(len(uniq), np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
-        keys = uniq.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.at]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            f = first[part]
-            texts = [low[a : a + b].tobytes().decode("utf-8", "replace") for a, b in zip(s[f].tolist(), n[f].tolist(), strict=True)]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = [len(x) for x in got]
-            flat = np.fromiter((y for x in got for y in x), np.uint32, sum(sizes))
-            for i, z in zip(part, sizes, strict=True):
-                self.at[keys[i]] = len(self.start)
-                self.start.append(self.total)
-                self.size.append(z)
-                self.total += z
-            self.ids.append(flat)
-        if len(self.ids) > 1:
-            self.ids = [np.concatenate(self.ids)]
-        where = np.fromiter((self.at[k] for k in keys), np.int64, len(keys))
-        begin, size = np.array(self.start, np.int64)[where][code], np.array(self.size, np.int64)[where][code]
+        at = np.searchsorted(self.keys, uniq)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == uniq if len(self.keys) else np.zeros(len(uniq), bool)
+        new = np.flatnonzero(~known)
+        slot = np.zeros(len(uniq), np.int64)
+        slot[known] = self.slot[at[known]]
+        if len(new):
+            first = np.zeros(len(uniq), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            ids, size = self._words(low, s[first[new]], n[first[new]])
+            slot[new] = len(self.start) + np.arange(len(new))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, ids])
+            keys, slots = np.concatenate([self.keys, uniq[new]]), np.concatenate([self.slot, slot[new]])
+            order = np.argsort(keys)
+            self.keys, self.slot = keys[order], slots[order]
+        begin, size = self.start[slot][code], self.size[slot][code]
         before = np.cumsum(size) - size
-        tokens = self.ids[0][np.repeat(begin - before, size) + np.arange(int(size.sum()))]
+        tokens = self.ids[np.repeat(begin - before, size) + np.arange(int(size.sum()))]
         per_doc = np.bincount(doc, size, len(start)).astype(np.int64) + 1
         out = np.full(int(per_doc.sum()), end, np.uint32)
         out[np.arange(len(tokens)) + np.repeat(doc, size)] = tokens
