@@ -4,8 +4,10 @@ An ARC file starts with a version block, whose second line gives the version and
 whose third names the fields of the record lines: version 1 has five (URL, IP
 address, date, type, length), version 2 ten (with result code, checksum,
 location, offset and file name before the length). The last field is the
-declared length of what follows the line. Each record is a gzip member of its
-own, as in .arc.gz and .warc.gz files.
+declared length of what follows the line. Archives
+whose records are gzip members of their own (.arc.gz, .warc.gz) are read as
+well; those written here are plain, since the table that holds them is
+compressed as a whole.
 
 For each ARC record a WARC record is made up: an identifier (a name-based UUID
 of URL, date and digest), an ISO date, a type, a SHA-256 payload digest. Of the
@@ -39,6 +41,7 @@ _ARCHIVES_ARROW = pa.schema([("name", pa.string()), ("content", pa.binary())])
 
 
 def member(data: bytes) -> bytes:
+    """A record as a gzip member."""
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
 
@@ -120,10 +123,10 @@ def write_arc(pages: DataFrame, id_: str = "page_id", url: str = "url", html: st
                 version = 1 + serial % 2
                 if not parts:
                     made = f"quire-{block_number(serial):016d}.arc"
-                    parts = [member(arc_version_block(made, version, date))]
+                    parts = [arc_version_block(made, version, date)]
                 payload = (text or "").encode()
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n" + ("" if page is None else f"X-Page-Id: {page}\r\n") + ("" if link is None else f"X-Url: {_one_line(link)}\r\n") + "\r\n"
-                parts.append(member(arc_record(version, _one_line(link or "urn:none").replace(" ", "%20") or "urn:none", date, "text/html", made, size, head.encode() + payload)))
+                parts.append(arc_record(version, _one_line(link or "urn:none").replace(" ", "%20") or "urn:none", date, "text/html", made, size, head.encode() + payload))
                 size += len(payload) + 200
                 if size >= ARCHIVE_BYTES:
                     yield _archive(made, parts)
@@ -206,15 +209,15 @@ def write_warc(archives: DataFrame, scratch: Scratch, least: int = 100) -> DataF
             for page, url, rid, date, mime, n, digest, kind, first, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if not parts:
                     made = f"quire-{block_number(serial):016d}.warc"
-                    parts = [member(_warc_record("warcinfo", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, made)}>", date, "application/warc-fields", [], b"software: quire\r\nformat: WARC File Format 1.1\r\n"))]
+                    parts = [_warc_record("warcinfo", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, made)}>", date, "application/warc-fields", [], b"software: quire\r\nformat: WARC File Format 1.1\r\n")]
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: {mime}\r\nContent-Length: {n}\r\n\r\n".encode()
                 more = [("WARC-Target-URI", url or "urn:none"), ("WARC-Payload-Digest", f"sha256:{digest}")]
                 if page is not None:
                     more.append(("X-Page-Id", str(page)))
                 if kind == "revisit":
                     more += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", str(first))]
-                parts.append(member(_warc_record(kind, rid, date, "application/http; msgtype=response", more, head + (payload or b""))))
-                size += len(parts[-1]) * 3
+                parts.append(_warc_record(kind, rid, date, "application/http; msgtype=response", more, head + (payload or b"")))
+                size += len(parts[-1])
                 if size >= ARCHIVE_BYTES:
                     yield _archive(made, parts)
                     serial, parts, size = serial + 1, [], 0
