@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP2_SQL, op2_decontaminate
@@ -13,6 +14,7 @@ from .katz import op1_katz
 from .ngram_join import op7_jaccard
 from .packing import op3_packing
 from .quality import op4_quality
+from .quotes import op10_quotes
 from .substring_dedup import op9_substrings
 from .warc import op6_warc
 
@@ -40,8 +42,11 @@ def queries() -> dict[str, Query]:
         "op7_jaccard": op7_jaccard,
         "op8_embeddings": op8_embeddings,
         "op9_substrings": op9_substrings,
+        "op10_quotes": op10_quotes,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op6_warc": OP6_SQL}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {"op2_decontaminate": OP2_SQL, "op6_warc": OP6_SQL}
