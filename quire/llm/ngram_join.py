@@ -11,8 +11,9 @@ position. If an n-gram is the first that two sets share, their overlap is at
 most what is left from there in either, so a pair of blocks whose bound misses
 the threshold is skipped without looking at its sets.
 
-Answers from answers: a list is first compared with one set only, its pivot (the
-smallest fingerprint, so that lists of one group choose alike). Sets that link
+Answers from answers: a list is first compared with one set only, its pivot: the
+one with the smallest position, which has the fewest n-grams of its own and so is
+nearest to what a group of near copies has in common. Sets that link
 with it are one component, and pairs within a component are settled. Of the
 rest, a pair is skipped if the distances to the pivot differ by more than 1 - t,
 since the Jaccard distance is a metric: what the pivot's answers rule out for
@@ -97,8 +98,8 @@ def compatible(s1, p1, s2, p2, num: int, den: int):
 
 
 def _lists(token: np.ndarray, node: np.ndarray, size: np.ndarray, pos: np.ndarray):
-    """Entries sorted by token and node, each once; starts and lengths of the lists with two or more."""
-    o = np.lexsort((node, token))
+    """Entries sorted by token, position and node, each once; starts and lengths of the lists with two or more."""
+    o = np.lexsort((node, pos, token))
     token, node, size, pos = token[o], node[o], size[o], pos[o]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
@@ -200,7 +201,7 @@ def _made(kind, token, a, b, size, pos):
 def _rest(num: int, den: int, pivots: int | None):
     """Pairs of a list in different components that neither the bounds nor the pivot's distances rule out.
 
-    With pivots, only pairs with one of that many sets of the list: the smallest
+    With pivots, only pairs with one of that many sets of the list: the first
     of the components other than its largest. Without, all.
     """
 
@@ -236,7 +237,7 @@ def _pivot_pairs(begin, many, node, size, pos, label, num, den, pivots):
         kinds, first, count = np.unique(label[at : at + k], return_index=True, return_counts=True)
         if len(kinds) < 2:
             continue
-        others = np.sort(np.delete(first, count.argmax()))[:pivots]  # entries are sorted by node
+        others = np.sort(np.delete(first, count.argmax()))[:pivots]  # entries are sorted by position
         i, j = np.repeat(others, k) + at, np.tile(np.arange(at, at + k), len(others))
         ok = compatible(size[i], pos[i], size[j], pos[j], num, den)
         left.append(i[ok])
@@ -384,7 +385,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             break
         rest = lists.join(stars, "node", "left").select("token", "node", "size", "pos", F.coalesce("component", "node").alias("label"), "far")
         rest = rest.repartition("token").mapInArrow(_rest(num, den, more), "a long, b long").distinct()
-        rest = scratch.write(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), f"rest{step}")
+        rest = scratch.write(rest.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), f"rest{step}")
         tested = tested.unionAll(_verified(rest, sets, scratch, f"tested{step}"))
     links = scratch.write(tested.where(near).select("a", "b").distinct(), "links")
     parts = components(links, scratch, "all")
