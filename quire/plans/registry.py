@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import documents, scalars
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return documents.QUERIES | scalars.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return documents.SQL | scalars.SQL
