@@ -9,17 +9,20 @@ and the verification compares all tokens of the item along it: no token may be
 inserted or deleted, but up to a fifth may differ.
 
 Texts never move: everything up to the verified pairs happens in the scan's
-stage, and only (document, item) pairs are grouped.
+stage, and only (document, item, start) triples are grouped. Documents with a
+hit are read once more for the verification.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Places of a window that count (1); at most one or two of its tokens are ignored together.
 MASKS = ("11101011", "11010111", "10111101")
-#: Seeds of a benchmark that may be broadcast: 24 bytes each.
+#: Seeds of a benchmark, or hits, that may be broadcast: 24 bytes each.
 MOST = 1_000_000
 # What parts words: all but letters and digits.
 _BETWEEN = "[^\\\\p{L}\\\\p{N}]+"
@@ -30,13 +33,17 @@ def _tokens(column: str) -> str:
     return f"transform(filter(split(lower(coalesce({column}, '')), '{_BETWEEN}'), w -> w <> ''), w -> xxhash64(w))"
 
 
-def _keys(h: str, i: str, masks: list[str]) -> str:
-    """One hash for each mask at place i of the array h, null where the window passes the end."""
-    one = []
-    for k, m in enumerate(masks):
-        picked = ", ".join(f"get({h}, {i} + {p})" for p, c in enumerate(m) if c == "1")
-        one.append(f"case when {i} + {len(m)} <= size({h}) then xxhash64({k}, {picked}) end")
-    return f"array({', '.join(one)})"
+def _windows(rows: DataFrame, h: str, keep: list[str], span: int) -> DataFrame:
+    """A row for each place i of the array h with the span hashes from there, c0 and so on (null beyond the end)."""
+    cols = [F.expr(f"slice({h}, {k + 1}, size({h}))").alias(f"c{k}") for k in range(span)]
+    shifted = rows.select(*keep, *cols)
+    at = shifted.select(*keep, F.posexplode(F.arrays_zip(*(f"c{k}" for k in range(span)))).alias("i", "w"))
+    return at.select(*keep, "i", *(F.col(f"w.c{k}").alias(f"c{k}") for k in range(span)))
+
+
+def _keys(masks: list[str]) -> Column:
+    """One hash for each mask, null where the window passes the end."""
+    return F.array(*(F.when(F.col(f"c{len(m) - 1}").isNotNull(), F.xxhash64(F.lit(k), *(F.col(f"c{p}") for p, c in enumerate(m) if c == "1"))) for k, m in enumerate(masks)))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, masks: tuple[str, ...] = MASKS, id_: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -45,25 +52,33 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, masks: tu
     n_matched is of the best alignment, start the place in the document (in
     tokens, from 0, negative if the item begins before it) of the first best one.
     Items shorter than the masks are found if their whole sequence occurs; items
-    without tokens, and null texts, match nothing. Pairs with a null id are kept
-    with the null. Rows that repeat an id count as one. Other columns are ignored.
+    without tokens, and null texts, match nothing; so do rows and items without an
+    id. Rows that repeat an id count as one. Other columns are ignored.
     """
+    scratch = Scratch(docs.sparkSession, "overlaps")
     span = max(len(m) for m in masks)
-    items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.expr(_tokens(f"`{item_text}`")).alias("b")).where("size(b) > 0")
+    items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.expr(_tokens(f"`{item_text}`")).alias("b")).where("size(b) > 0 and item_id is not null")
     short = sorted(r[0] for r in items.where(f"size(b) < {span}").select(F.size("b")).distinct().collect())
     every = [*masks, *("1" * n for n in short)]  # a whole short item is a seed of its own
-    seeds = items.select("item_id", "b", F.explode(F.expr("sequence(0, size(b) - 1)")).alias("j"))
-    seeds = seeds.select("item_id", "b", "j", F.posexplode(F.expr(_keys("b", "j", every))).alias("m", "key"))
-    seeds = seeds.where(F.col("key").isNotNull() & ((F.col("m") < len(masks)) | ((F.col("j") == 0) & (F.size("b") == F.array(*(F.lit(len(x)) for x in every))[F.col("m")])))).select("key", "item_id", "b", "j").distinct()
-    words = docs.select(F.col(id_).cast("long").alias("doc_id"), F.expr(_tokens(f"`{text}`")).alias("h")).where("size(h) > 0")
-    places = words.select("doc_id", "h", F.explode(F.expr("sequence(0, size(h) - 1)")).alias("i"))
-    probes = places.select("doc_id", "h", "i", F.explode(F.expr(_keys("h", "i", every))).alias("key")).where("key is not null")
-    small = seeds.count() <= MOST
-    hits = probes.join(F.broadcast(seeds) if small else seeds, "key")
-    aligned = hits.select("doc_id", "item_id", F.expr("i - j").alias("start"), F.size("b").alias("n"), F.expr("aggregate(sequence(0, size(b) - 1), 0, (s, k) -> s + case when i - j + k >= 0 and get(h, i - j + k) = get(b, k) then 1 else 0 end)").alias("same"))
+    rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+    seeds = _windows(items.select("item_id", "b", F.size("b").alias("n")), "b", ["item_id", "n"], span)
+    seeds = seeds.select("item_id", "n", F.col("i").alias("j"), F.posexplode(_keys(every)).alias("m", "key"))
+    whole = (F.col("j") == 0) & (F.col("n") == F.array(*(F.lit(len(x)) for x in every))[F.col("m")])
+    seeds = seeds.where(F.col("key").isNotNull() & ((F.col("m") < len(masks)) | whole)).select("key", "item_id", "j").distinct()
+    words = rows.select("doc_id", F.expr(_tokens("text")).alias("h"))
+    probes = _windows(words, "h", ["doc_id"], span).select("doc_id", "i", F.explode(_keys(every)).alias("key")).where("key is not null")
+    seeds = scratch.write(seeds, "seeds")
+    hits = probes.join(F.broadcast(seeds) if seeds.count() <= MOST else seeds, "key")
+    hits = scratch.write(hits.select("doc_id", "item_id", F.expr("i - j").alias("start")).distinct(), "hits")
+    # verification: only documents with a hit are read again
+    few = hits.count() <= MOST
+    near = rows.join(F.broadcast(hits) if few else hits, "doc_id").join(items, "item_id").withColumn("h", F.expr(_tokens("text")))
+    aligned = near.select("doc_id", "item_id", "start", F.size("b").alias("n"), F.expr("aggregate(sequence(0, size(b) - 1), 0, (s, k) -> s + case when start + k >= 0 and get(h, start + k) = get(b, k) then 1 else 0 end)").alias("same"))
     found = aligned.where(f"same * 100 >= n * {percent}")
-    best = found.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_item_tokens"), F.max(F.struct("same", (-F.col("start")).alias("back"))).alias("best"))
-    return best.select("doc_id", "item_id", "n_item_tokens", F.col("best.same").alias("n_matched"), (-F.col("best.back")).alias("start"))
+    # most matches, then the smallest start, in one number
+    code = F.col("same").cast("long") * (1 << 32) + (1 << 31) - F.col("start")
+    best = found.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_item_tokens"), F.max(code).alias("code"))
+    return best.select("doc_id", "item_id", "n_item_tokens", F.shiftright("code", 32).cast("int").alias("n_matched"), ((1 << 31) - F.col("code").bitwiseAND(F.lit((1 << 32) - 1))).cast("int").alias("start"))
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_: str = "doc_id", text: str = "text") -> DataFrame:
