@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import classify as K
@@ -81,13 +81,12 @@ def count(x: str, p: str) -> str:
     return f"len(regexp_extract_all({x}, {q(p)}))"
 
 
-def on_lines(name: str, columns: dict[str, tuple[object, str]]) -> None:
-    """A query of functions of the line x: column -> (Spark column, DuckDB expression)."""
-    QUERIES[name] = lambda spark, d: lines(spark, d).select("id", *(c.alias(k) for k, (c, _) in columns.items()))
+def on_lines(name: str, columns: dict[str, tuple[Callable[[Column], Column], str]]) -> None:
+    """A query of functions of the line x: column -> (function of x, DuckDB expression)."""
+    QUERIES[name] = lambda spark, d: lines(spark, d).select("id", *(c(F.col("x")).alias(k) for k, (c, _) in columns.items()))
     SQL[name] = f"{WITH} SELECT id, {', '.join(f'{s} AS {k}' for k, (_, s) in columns.items())} FROM t"
 
 
-X = F.col("x")
 tag = lambda x: r(r(x, r"<[^>]*(>|$)"), ">")
 squash = lambda x: r(x, r"\s+", " ")
 un = lambda x: f"replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
@@ -104,18 +103,18 @@ dots = f"(length({r(run_, '[^.·]')}) + 3 * length({r(run_, '[^…]')}) >= 4)"
 on_lines(
     "captions",
     {
-        "is_figure": (K.caption_is_figure(X), is_fig),
-        "number": (K.caption_number(X), f"CASE WHEN {is_cap} THEN {e('x', cap, 2)} || {letter} END"),
-        "tail": (K.caption_tail(X), tail),
-        "xref": (K.is_inline_xref(X), xref),
-        "opens": (K.opens_figure_caption(X), f"((coalesce({is_fig}, false) OR {m('x', r'(?i)^\s*(?:figure|fig\.|fig[ \t])\s*[a-z]{1,2}[.-]?[0-9]')}) AND NOT {xref})"),
-        "continued": (K.caption_is_continued(X), f"coalesce({core} IN ('continued', 'cont', 'cont''d'), false)"),
-        "leaders": (K.dotleader_tail(X), dots),
+        "is_figure": (lambda X: K.caption_is_figure(X), is_fig),
+        "number": (lambda X: K.caption_number(X), f"CASE WHEN {is_cap} THEN {e('x', cap, 2)} || {letter} END"),
+        "tail": (lambda X: K.caption_tail(X), tail),
+        "xref": (lambda X: K.is_inline_xref(X), xref),
+        "opens": (lambda X: K.opens_figure_caption(X), f"((coalesce({is_fig}, false) OR {m('x', r'(?i)^\s*(?:figure|fig\.|fig[ \t])\s*[a-z]{1,2}[.-]?[0-9]')}) AND NOT {xref})"),
+        "continued": (lambda X: K.caption_is_continued(X), f"coalesce({core} IN ('continued', 'cont', 'cont''d'), false)"),
+        "leaders": (lambda X: K.dotleader_tail(X), dots),
     },
 )
 number = r(e("trim(x)", r"(?i)^(?:table|figure|fig\.|fig)\s*([\p{L}\p{N}.]+)", 1), r"\.+$")
 word = e("trim(x)", r"(?i)^(table|figure|fig\.|fig)", 1)
-on_lines("caption_label", {"label": (K.caption_label(X), f"CASE WHEN {word} <> '' AND {number} <> '' THEN {word} || ' ' || {number} END")})
+on_lines("caption_label", {"label": (lambda X: K.caption_label(X), f"CASE WHEN {word} <> '' AND {number} <> '' THEN {word} || ' ' || {number} END")})
 
 weak = r("x", rf"^\s*[{K.WEAK}]")
 prose = f"len(list_filter(regexp_split_to_array({weak}, '\\s+'), lambda w: w <> '')) >= 3 AND {count(weak, r'\p{L}')} >= 6"
@@ -123,10 +122,10 @@ bullets = K.BULLETS
 on_lines(
     "lists",
     {
-        "ordered": (K.list_ordered(X), f"CASE WHEN {m('x', rf'^\s*[{bullets}]')} OR ({m('x', rf'^\s*[{K.WEAK}]\s')} AND {prose}) THEN false WHEN {m('x', K.ORDERED)} THEN true END"),
-        "number": (K.ordered_num(X), f"CAST(nullif({e('x', K.ORDERED, 1)}, '') AS INT)"),
-        "bare": (K.strip_marker(X), r(r("x", rf"^\s*[{bullets}{K.WEAK}]*\s*"), r"^[0-9]+[.)]\s*")),
-        "introduces": (K.introduces_list(X), f"({r(tag('x'), r'\s+$')} LIKE '%:')"),
+        "ordered": (lambda X: K.list_ordered(X), f"CASE WHEN {m('x', rf'^\s*[{bullets}]')} OR ({m('x', rf'^\s*[{K.WEAK}]\s')} AND {prose}) THEN false WHEN {m('x', K.ORDERED)} THEN true END"),
+        "number": (lambda X: K.ordered_num(X), f"CAST(nullif({e('x', K.ORDERED, 1)}, '') AS INT)"),
+        "bare": (lambda X: K.strip_marker(X), r(r("x", rf"^\s*[{bullets}{K.WEAK}]*\s*"), r"^[0-9]+[.)]\s*")),
+        "introduces": (lambda X: K.introduces_list(X), f"({r(tag('x'), r'\s+$')} LIKE '%:')"),
     },
 )
 num = e("x", K.NUMBERED, 1)
@@ -137,14 +136,14 @@ depth = f"len(list_filter(string_split({first}, '.'), lambda p: p <> ''))"
 on_lines(
     "heading_marks",
     {
-        "numbered": (K.numbered_level(X), f"CASE WHEN {num} <> '' THEN least(3, 1 + length({r(num, '[^.]')})) END"),
-        "roman": (K.roman_section(X), f"CASE WHEN {m('x', r'^\s*[IVXLCDM]{1,5}\. +\p{L}')} THEN 1 END"),
-        "sec": (K.sec_anchor(X), f"CASE WHEN {m('x', r'^(?i:part )\s*[IVXivx]{1,5}[:.—,-]*(?:\s*$|\s+[^a-z\s])')} THEN 1 WHEN {m('x', r'^(?i:item )\s*[0-9]{1,2}[A-Za-z]{0,2}(?:\s*$|[.:]|\s+[^a-z\s])')} THEN 2 END"),
+        "numbered": (lambda X: K.numbered_level(X), f"CASE WHEN {num} <> '' THEN least(3, 1 + length({r(num, '[^.]')})) END"),
+        "roman": (lambda X: K.roman_section(X), f"CASE WHEN {m('x', r'^\s*[IVXLCDM]{1,5}\. +\p{L}')} THEN 1 END"),
+        "sec": (lambda X: K.sec_anchor(X), f"CASE WHEN {m('x', r'^(?i:part )\s*[IVXivx]{1,5}[:.—,-]*(?:\s*$|\s+[^a-z\s])')} THEN 1 WHEN {m('x', r'^(?i:item )\s*[0-9]{1,2}[A-Za-z]{0,2}(?:\s*$|[.:]|\s+[^a-z\s])')} THEN 2 END"),
         "doctags": (
-            K.doctags_level(X),
+            lambda X: K.doctags_level(X),
             f"CASE WHEN length({trimmed}) < 3 OR length({trimmed}) > 75 THEN NULL WHEN {m(first, r'^[0-9.]*[0-9][0-9.]*$')} AND {m(trimmed, r'^\S+\s+\S')} THEN least(greatest({depth}, 1), 4) WHEN {letters} > 0 AND {upper} * 100 >= {letters} * 85 AND NOT {trimmed} LIKE '%.' THEN 1 END",
         ),
-        "size": (K.size_level((F.col("id") % 20) / 10), "CASE WHEN (id % 20) / 10 >= 1.5 THEN 1 WHEN (id % 20) / 10 >= 1.2 THEN 2 ELSE 3 END"),
+        "size": (lambda X: K.size_level((F.col("id") % 20) / 10), "CASE WHEN (id % 20) / 10 >= 1.5 THEN 1 WHEN (id % 20) / 10 >= 1.2 THEN 2 ELSE 3 END"),
     },
 )
 commas = f"length({r('x', '[^,]')})"
@@ -153,11 +152,11 @@ clause_core = r("x", r"^\s*(?:[0-9][0-9.]*|[IVXLCDM]+|[A-Z])\.\s+")
 on_lines(
     "references",
     {
-        "has_year": (K.has_year(X), year),
-        "initials": (K.initials_count(X), count("x", r"(?:^| )[A-Z]\.")),
-        "reference": (K.looks_like_reference(X), f"({commas} >= 2 OR x LIKE '%.' OR ({year} AND {commas} >= 1) OR {m('x', r'\S\s* [A-Z]\.')})"),
+        "has_year": (lambda X: K.has_year(X), year),
+        "initials": (lambda X: K.initials_count(X), count("x", r"(?:^| )[A-Z]\.")),
+        "reference": (lambda X: K.looks_like_reference(X), f"({commas} >= 2 OR x LIKE '%.' OR ({year} AND {commas} >= 1) OR {m('x', r'\S\s* [A-Z]\.')})"),
         "clause": (
-            K.looks_like_clause(X),
+            lambda X: K.looks_like_clause(X),
             "(" + " OR ".join([m("x", r",$"), m("x", rf"(?i)(?:^|\s)[^\p{{L}}\s]*(?:{K.TRAILING})[^\p{{L}}\s]*\s*$"), m(clause_core, r"\. [\p{Lu}(]"), m("x", rf"\S\s+[^\p{{L}}\s]*(?:{K.VERBS})[^\p{{L}}\s]*(?:\s|$)"), m("x", rf"^\s*[0-9]\S*\s+[^\p{{L}}\s]*(?i:{K.UNITS})[^\p{{L}}\s]*\s+(?:\S+\s+)*\p{{Ll}}")]) + ")",
         ),
     },
@@ -168,27 +167,27 @@ flat = r(tag("x"), r"^\s+|\s+$")
 on_lines(
     "figure_text",
     {
-        "axis": (K.is_axis_label(X), f"({trimmed} <> '' AND (({ticks} >= 1 AND {ticks} * 2 >= len({toks})) OR (len({toks}) <= 2 AND strlen({trimmed}) <= 14 AND contains({trimmed}, '(') AND contains({trimmed}, ')'))))"),
-        "numeric": (K.is_num_token(F.split_part(X, F.lit(" "), F.lit(1))), f"({m('split_part(x, chr(32), 1)', '[0-9]')} AND {m('split_part(x, chr(32), 1)', r'^[0-9.,%+±()*-]+$')})"),
-        "math": (K.is_math_fragment(X), f"(length({flat}) > 0 AND length({flat}) <= 60 AND {count(flat, r'\p{L}{2,}')} <= 1 AND ({m(flat, '[' + K.MATH + K.GREEK + ']')} OR length({flat}) <= 2 OR NOT {m(flat, r'\p{L}')}))"),
-        "text_image": (K.is_text_image(X), f"(length({r(tag('x'), r'\s')}) >= 8)"),
-        "gate": (K.gate_says_text(F.col("id") % 40, F.col("id") % 11, F.col("id") % 60), "(id % 40 >= 25 OR id % 11 >= 8 OR id % 60 >= 40)"),
+        "axis": (lambda X: K.is_axis_label(X), f"({trimmed} <> '' AND (({ticks} >= 1 AND {ticks} * 2 >= len({toks})) OR (len({toks}) <= 2 AND strlen({trimmed}) <= 14 AND contains({trimmed}, '(') AND contains({trimmed}, ')'))))"),
+        "numeric": (lambda X: K.is_num_token(F.split_part(X, F.lit(" "), F.lit(1))), f"({m('split_part(x, chr(32), 1)', '[0-9]')} AND {m('split_part(x, chr(32), 1)', r'^[0-9.,%+±()*-]+$')})"),
+        "math": (lambda X: K.is_math_fragment(X), f"(length({flat}) > 0 AND length({flat}) <= 60 AND {count(flat, r'\p{L}{2,}')} <= 1 AND ({m(flat, '[' + K.MATH + K.GREEK + ']')} OR length({flat}) <= 2 OR NOT {m(flat, r'\p{L}')}))"),
+        "text_image": (lambda X: K.is_text_image(X), f"(length({r(tag('x'), r'\s')}) >= 8)"),
+        "gate": (lambda X: K.gate_says_text(F.col("id") % 40, F.col("id") % 11, F.col("id") % 60), "(id % 40 >= 25 OR id % 11 >= 8 OR id % 60 >= 40)"),
     },
 )
 plain = f"CASE WHEN contains(x, '<') THEN replace(replace(replace(replace(replace({r('x', '<[^>]+>')}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', '''') ELSE x END"
 on_lines(
     "markup",
     {
-        "joined": (T.strip_tags(X), tag("x")),
-        "closed": (T.strip_tags(X, "close"), r(r(r("x", "<[^>]*>", ">"), "<[^>]*$"), ">", " ")),
-        "plain": (T.plain(X), plain),
-        "unescaped": (T.unescape_entities(X), un("x")),
-        "inline": (T.strip_inline(X), un(tag("x"))),
-        "escaped": (T.esc(X), "replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"),
-        "escaped_text": (T.esc_text(X), "replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"),
-        "attribute": (T.esc_attr(X), "replace(replace(replace(x, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;')"),
-        "cell": (T.md_cell(X), r(r"replace(replace(x, chr(10), ' '), '|', '\|')", r"^\s+|\s+$")),
-        "unbold": (T.strip_full_bold(X), f"CASE WHEN {e(trimmed, r'(?s)^\*\*(.+)\*\*$', 1)} <> '' AND NOT contains({e(trimmed, r'(?s)^\*\*(.+)\*\*$', 1)}, '**') THEN {e(trimmed, r'(?s)^\*\*(.+)\*\*$', 1)} ELSE {trimmed} END"),
+        "joined": (lambda X: T.strip_tags(X), tag("x")),
+        "closed": (lambda X: T.strip_tags(X, "close"), r(r(r("x", "<[^>]*>", ">"), "<[^>]*$"), ">", " ")),
+        "plain": (lambda X: T.plain(X), plain),
+        "unescaped": (lambda X: T.unescape_entities(X), un("x")),
+        "inline": (lambda X: T.strip_inline(X), un(tag("x"))),
+        "escaped": (lambda X: T.esc(X), "replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"),
+        "escaped_text": (lambda X: T.esc_text(X), "replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"),
+        "attribute": (lambda X: T.esc_attr(X), "replace(replace(replace(x, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;')"),
+        "cell": (lambda X: T.md_cell(X), r(r"replace(replace(x, chr(10), ' '), '|', '\|')", r"^\s+|\s+$")),
+        "unbold": (lambda X: T.strip_full_bold(X), f"CASE WHEN {e(trimmed, r'(?s)^\*\*(.+)\*\*$', 1)} <> '' AND NOT contains({e(trimmed, r'(?s)^\*\*(.+)\*\*$', 1)}, '**') THEN {e(trimmed, r'(?s)^\*\*(.+)\*\*$', 1)} ELSE {trimmed} END"),
     },
 )
 lab = f"CASE WHEN {m(trimmed, r'(?i)^(figure|fig\.|fig )')} AND {m(trimmed, '[:–-]')} THEN {r(trimmed, r'^[^:–-]*[:–-]')} ELSE {trimmed} END"
@@ -196,30 +195,30 @@ dashed = r(r(r(f"({lab})", r"^\s+|\s+$"), r"[^A-Za-z0-9]+", "-"), "^-")
 on_lines(
     "slugs",
     {
-        "slug": (T.slug(X), r("x", r"[^A-Za-z0-9._-]", "-")),
-        "section": (T.section_slug(X), r("'sec-' || " + r("lower(x)", r"[^A-Za-z0-9._-]", "-"), r"^-+|-+$")),
-        "number": (T.num_id(X), "translate(replace(x, '.', '-'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"),
-        "caption": (T.caption_slug(X), r(f"lower(left({dashed}, 20))", r"^-+|-+$")),
-        "title_key": (T.title_key(X), r("lower(x)", r"[^\p{L}\p{N}]")),
-        "demote_key": (T.demote_key(X), f"trim({squash('lower(' + r(tag('x'), r'^\s*[\p{L}\p{N}.]*') + ')')})"),
-        "anchor": (T.md_anchor(F.concat(F.lit("#sec-"), X)), "'#' || x"),
+        "slug": (lambda X: T.slug(X), r("x", r"[^A-Za-z0-9._-]", "-")),
+        "section": (lambda X: T.section_slug(X), r("'sec-' || " + r("lower(x)", r"[^A-Za-z0-9._-]", "-"), r"^-+|-+$")),
+        "number": (lambda X: T.num_id(X), "translate(replace(x, '.', '-'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"),
+        "caption": (lambda X: T.caption_slug(X), r(f"lower(left({dashed}, 20))", r"^-+|-+$")),
+        "title_key": (lambda X: T.title_key(X), r("lower(x)", r"[^\p{L}\p{N}]")),
+        "demote_key": (lambda X: T.demote_key(X), f"trim({squash('lower(' + r(tag('x'), r'^\s*[\p{L}\p{N}.]*') + ')')})"),
+        "anchor": (lambda X: T.md_anchor(F.concat(F.lit("#sec-"), X)), "'#' || x"),
     },
 )
 on_lines(
     "spaces",
     {
-        "collapsed": (T.collapse_ws(X), squash("x")),
-        "normal": (T.normalize_ws(X), f"trim({squash('x')})"),
-        "squeezed": (T.squeeze_blanks(F.concat(X, F.lit("  \n\n\n\n"), X, F.lit("\n\n"))), f"{r(r(r('x || chr(32) || chr(32) || chr(10) || chr(10) || chr(10) || chr(10) || x || chr(10) || chr(10)', r'(?m)[ \t]+$'), r'\n{3,}', chr(10) * 2), r'\n+$')} || chr(10)"),
-        "word_like": (T.word_like_count(X), f"len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '' AND len(regexp_extract_all(w, '[\\p{{L}}\\p{{N}}]')) >= 2))"),
-        "proxy": (T.token_proxy(X), "greatest(1, length(x) // 4)"),
-        "wrapped": (T.join_wrapped(F.concat(X, F.lit("ab-\ncd \n e"))), r(r("x || 'ab-' || chr(10) || 'cd ' || chr(10) || ' e'", r"(\p{L})[-\x{AD}][ \t]*\n[ \t]*(\p{Ll})", r"\1\2"), r"[ \t]*\n[ \t]*", " ")),
-        "adjacent": (T.glyph_adjacent((F.col("id") % 17 - 8).cast("double"), F.lit(10.0)), "(id % 17 - 8 <= 2 AND id % 17 - 8 >= -3.5)"),
+        "collapsed": (lambda X: T.collapse_ws(X), squash("x")),
+        "normal": (lambda X: T.normalize_ws(X), f"trim({squash('x')})"),
+        "squeezed": (lambda X: T.squeeze_blanks(F.concat(X, F.lit("  \n\n\n\n"), X, F.lit("\n\n"))), f"{r(r(r('x || chr(32) || chr(32) || chr(10) || chr(10) || chr(10) || chr(10) || x || chr(10) || chr(10)', r'(?m)[ \t]+$'), r'\n{3,}', chr(10) * 2), r'\n+$')} || chr(10)"),
+        "word_like": (lambda X: T.word_like_count(X), f"len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '' AND len(regexp_extract_all(w, '[\\p{{L}}\\p{{N}}]')) >= 2))"),
+        "proxy": (lambda X: T.token_proxy(X), "greatest(1, length(x) // 4)"),
+        "wrapped": (lambda X: T.join_wrapped(F.concat(X, F.lit("ab-\ncd \n e"))), r(r("x || 'ab-' || chr(10) || 'cd ' || chr(10) || ' e'", r"(\p{L})[-\x{AD}][ \t]*\n[ \t]*(\p{Ll})", r"\1\2"), r"[ \t]*\n[ \t]*", " ")),
+        "adjacent": (lambda X: T.glyph_adjacent((F.col("id") % 17 - 8).cast("double"), F.lit(10.0)), "(id % 17 - 8 <= 2 AND id % 17 - 8 >= -3.5)"),
     },
 )
 legible = "list_reduce(list_prepend(row(0, 0, 0), list_transform(regexp_extract_all(x, '[<>\\[\\]\\p{L}\\p{N}]'), lambda c: row(0, 0, 0))), lambda a, b: a)"
 depth_free = r(r(r(r("x", r"<[^<>]*>"), r"\[[^\[\]]*\]"), r"\[[^\[\]]*\]"), r"[^\p{L}\p{N}]")
-on_lines("legible", {"legible": (K.legible_chars(X), f"length({depth_free})"), "outcome": (K.ocr_outcome(K.legible_chars(X), F.lit(30)), f"CASE WHEN length({depth_free}) / 30.0 >= 0.5 THEN 'ocr_ok' WHEN length({depth_free}) / 30.0 >= 0.05 THEN 'ocr_partial' ELSE 'ocr_illegible' END")})
+on_lines("legible", {"legible": (lambda X: K.legible_chars(X), f"length({depth_free})"), "outcome": (lambda X: K.ocr_outcome(K.legible_chars(X), F.lit(30)), f"CASE WHEN length({depth_free}) / 30.0 >= 0.5 THEN 'ocr_ok' WHEN length({depth_free}) / 30.0 >= 0.05 THEN 'ocr_partial' ELSE 'ocr_illegible' END")})
 
 
 def garbled(spark: SparkSession, d: str) -> DataFrame:
