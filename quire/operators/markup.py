@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.functions import text as T
 
@@ -371,8 +372,22 @@ def pair_figures(a: Column, b: Column) -> Column:
 
 
 def build_nav(sections: DataFrame) -> DataFrame:
-    """(doc_id, nav): a list of links to the sections(doc_id, ord, level, title, id); deeper levels than 3 are left out, level 3 is nested."""
-    item = F.concat(F.lit('<li data-level="'), F.col("level").cast("string"), F.lit('"><a href="#'), T.esc_attr(F.col("id")), F.lit('">'), T.esc(F.col("title")), F.lit("</a></li>"))
-    item = F.when(F.col("level") == 3, F.concat(F.lit("<li><ul>"), item, F.lit("</ul></li>"))).otherwise(item)
+    """(doc_id, nav): nested links to the sections(doc_id, ord, level, title, id).
+
+    Levels 1 and 2 are top entries, those of level 3 a list within the last top
+    entry (or top entries before the first), deeper ones are left out; an entry
+    without an id is plain text.
+    """
+    link = F.concat(F.lit('<a href="#'), F.col("id"), F.lit('">'), T.esc(F.col("title")), F.lit("</a>"))
+    item = F.concat(F.lit('<li data-level="'), F.col("level").cast("string"), F.lit('">'), F.when(F.coalesce("id", F.lit("")) == "", T.esc(F.col("title"))).otherwise(link))
     kept = sections.where("level <= 3").withColumn("item", item)
-    return kept.groupBy("doc_id").agg(F.concat(F.lit("<nav><ul>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "item"))), lambda x: x["item"]), ""), F.lit("</ul></nav>")).alias("nav"))
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    top = F.col("level") <= 2
+    kept = kept.withColumn("group", F.sum(top.cast("int")).over(w))
+    # one entry for each top section with its children; group 0 holds what comes before the first
+    rows = kept.groupBy("doc_id", "group").agg(F.min("ord").alias("ord"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "level", "item"))), lambda x: F.struct(x["level"].alias("level"), x["item"].alias("item"))).alias("x"))
+    closed = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat(x["item"], F.lit("</li>"))), "")
+    under = F.filter("x", lambda x: x["level"] > 2)
+    nested = F.concat(F.get("x", 0)["item"], F.when(F.size(under) > 0, F.concat(F.lit("<ul>"), closed(under), F.lit("</ul>"))).otherwise(""), F.lit("</li>"))
+    rows = rows.withColumn("h", F.when(F.col("group") == 0, closed(F.col("x"))).otherwise(nested))
+    return rows.groupBy("doc_id").agg(F.concat(F.lit("<nav><ul>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "h"))), lambda x: x["h"]), ""), F.lit("</ul></nav>\n")).alias("nav"))

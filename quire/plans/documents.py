@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import numeric as N
 from quire.functions import text as T
-from quire.operators import markup, model, search, sequence, tables
+from quire.operators import markup, model, render, search, sequence, tables
 
 from .scalars import LINE, table
 
@@ -455,11 +455,110 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", markup.pair_figures(F.when(k % 3 == 1, cap_).otherwise(img), F.when(k % 3 == 0, cap_).otherwise(img)).alias("figure"))
 
 
-@query("build_nav", TREE + ", s AS (SELECT doc_id, ord, lv, pr FROM own WHERE head AND lv <= 3) SELECT doc_id, '<nav><ul>' || string_agg(CASE WHEN lv = 3 THEN '<li><ul>' ELSE '' END || '<li data-level=\"' || lv || '\"><a href=\"#b' || ord || '\">' || pr || '</a></li>' || CASE WHEN lv = 3 THEN '</ul></li>' ELSE '' END, '' ORDER BY ord) || '</ul></nav>' AS nav FROM s GROUP BY doc_id")
+def heads(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").where(k % 3 == 0).select(F.col("o_custkey").alias("doc_id"), k.cast("int").alias("ord"), (k % 4 + 1).cast("int").alias("level"), F.col("o_orderpriority").alias("title"), F.when(k % 5 > 0, F.concat(F.lit("b"), k.cast("string"))).otherwise("").alias("id"), F.lit("p").alias("parent"))
+
+
+HEADS = "WITH h AS (SELECT o_custkey AS doc_id, CAST(o_orderkey AS INT) AS ord, CAST(o_orderkey % 4 + 1 AS INT) AS level, o_orderpriority AS title, CASE WHEN o_orderkey % 5 > 0 THEN 'b' || o_orderkey ELSE '' END AS id FROM orders WHERE o_orderkey % 3 = 0)"
+
+
+@query("build_nav", HEADS + ", s AS (SELECT *, sum(CASE WHEN level <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS g, '<li data-level=\"' || level || '\">' || CASE WHEN id = '' THEN title ELSE '<a href=\"#' || id || '\">' || title || '</a>' END AS li FROM h WHERE level <= 3), e AS (SELECT doc_id, g, min(ord) AS ord, coalesce(min(li) FILTER (level <= 2), '') AS top, coalesce(string_agg(li || '</li>', '' ORDER BY ord) FILTER (level = 3), '') AS sub FROM s GROUP BY doc_id, g), r AS (SELECT doc_id, ord, CASE WHEN g = 0 THEN sub ELSE top || CASE WHEN sub <> '' THEN '<ul>' || sub || '</ul>' ELSE '' END || '</li>' END AS x FROM e) SELECT doc_id, '<nav><ul>' || string_agg(x, '' ORDER BY ord) || '</ul></nav>' || chr(10) AS nav FROM r GROUP BY doc_id")
+def _(spark, d):
+    return markup.build_nav(heads(spark, d))
+
+
+@query("section_slices", HEADS + "SELECT a.doc_id, a.ord, min(b.ord) AS end_ FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.ord > a.ord AND b.level <= a.level GROUP BY a.doc_id, a.ord")
+def _(spark, d):
+    return render.section_slices(heads(spark, d)).withColumnRenamed("end", "end_")
+
+
+@query("section_neighbours", HEADS + "SELECT doc_id, ord, lag(id) OVER w AS prev, lead(id) OVER w AS next FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY ord)")
+def _(spark, d):
+    return render.section_neighbours(heads(spark, d)).select("doc_id", "ord", "prev", "next")
+
+
+@query("section_by_name", HEADS + "SELECT doc_id, min(ord) AS ord FROM h WHERE contains(lower(title), 'medium') GROUP BY doc_id")
 def _(spark, d):
+    return render.section_by_name(heads(spark, d), "Medium").select("doc_id", "ord")
+
+
+def elements(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of a customer as headings, paragraphs, grouped and loose list items and notes."""
     k = F.col("o_orderkey")
-    heads = table(spark, d, "orders").where(k % 3 == 0).select(F.col("o_custkey").alias("doc_id"), k.alias("ord"), (k % 4 + 1).alias("level"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("b"), k.cast("string")).alias("id"))
-    return markup.build_nav(heads)
+    kind = F.array(*(F.lit(x) for x in ("heading", "list_item", "list_item", "para", "footnote", "list_item", "list_item")))[(k % 7).cast("int")]
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), (k % 2 + 1).cast("int").alias("page"), k.cast("int").alias("ord"), kind.alias("kind"), F.concat("o_orderpriority", F.lit(" <b>"), "o_orderstatus", F.lit("</b>")).alias("text"), (k % 3 == 0).alias("list_ordered"), F.when(k % 5 > 0, (k % 2).cast("int")).alias("el_group"), (k % 4 + 1).cast("int").alias("heading_level"))
+
+
+ELEMENTS = """
+WITH b AS (SELECT o_custkey AS doc_id, o_orderkey % 2 + 1 AS page, o_orderkey AS ord, ['heading', 'list_item', 'list_item', 'para', 'footnote', 'list_item', 'list_item'][o_orderkey % 7 + 1] AS k0, o_orderpriority || ' <b>' || o_orderstatus || '</b>' AS text, o_orderkey % 3 = 0 AS lo, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 2 END AS g, o_orderkey % 4 + 1 AS lv FROM orders),
+     c AS (SELECT *, CASE WHEN k0 = 'list_item' AND g IS NULL THEN 'para' ELSE k0 END AS kind FROM b),
+     n AS (SELECT *, CASE WHEN kind IN ('list_item', 'footnote') AND lag(kind) OVER w = kind AND lag(g) OVER w IS NOT DISTINCT FROM g THEN 0 ELSE 1 END AS fresh FROM c WINDOW w AS (PARTITION BY doc_id, page ORDER BY ord)),
+     i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY ord) AS i FROM n),
+     e AS (SELECT doc_id, page, min(ord) AS ord, any_value(kind) AS kind, arg_min(lo, ord) AS lo, arg_min(lv, ord) AS lv, min(text) AS one, string_agg('<li>' || text || '</li>', '' ORDER BY ord) AS li, string_agg('<p>' || text || '</p>', '' ORDER BY ord) AS ps, count(*) AS n FROM i GROUP BY doc_id, page, i)
+"""
+
+
+@query("elements", ELEMENTS + "SELECT doc_id, page, ord, kind, n FROM e")
+def _(spark, d):
+    return render.elements(elements(spark, d)).select("doc_id", "page", "ord", "kind", F.size("texts").cast("long").alias("n"))
+
+
+@query("page_html", ELEMENTS + ", h AS (SELECT doc_id, page, string_agg(CASE kind WHEN 'heading' THEN '<h' || lv || '>' || one || '</h' || lv || '>' WHEN 'list_item' THEN CASE WHEN lo THEN '<ol>' || li || '</ol>' ELSE '<ul>' || li || '</ul>' END WHEN 'footnote' THEN '<aside class=\"footnotes\">' || ps || '</aside>' ELSE '<p>' || one || '</p>' END || chr(10), '' ORDER BY ord) AS b FROM e GROUP BY doc_id, page), p AS (SELECT DISTINCT o_custkey AS doc_id, unnest([1, 2, 3]) AS page FROM orders) SELECT p.doc_id, p.page, md5('<section data-page=\"' || p.page || '\">' || chr(10) || coalesce(b, '') || '</section>' || chr(10)) AS digest FROM p LEFT JOIN h ON h.doc_id = p.doc_id AND h.page = p.page")
+def _(spark, d):
+    b = elements(spark, d)
+    pages = b.select("doc_id").distinct().withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    return render.page_html(pages, b).select("doc_id", "page", F.md5("html").alias("digest"))
+
+
+@query("document_text", ELEMENTS + ", t AS (SELECT doc_id, page, string_agg(replace(replace(text, '<b>', ' '), '</b>', ''), ' ' ORDER BY ord) AS t FROM b GROUP BY doc_id, page), p AS (SELECT DISTINCT o_custkey AS doc_id, unnest([1, 2, 3]) AS page FROM orders), x AS (SELECT p.doc_id, p.page, trim(regexp_replace(coalesce(t, ''), '\\s+', ' ', 'g')) AS t FROM p LEFT JOIN t ON t.doc_id = p.doc_id AND t.page = p.page) SELECT doc_id, string_agg(t || chr(10), '' ORDER BY page) AS text FROM x GROUP BY doc_id")
+def _(spark, d):
+    b = elements(spark, d)
+    pages = b.select("doc_id").distinct().withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    return render.document_text(pages, b)
+
+
+@query("document_markdown")
+def _(spark, d):
+    b = elements(spark, d)
+    return render.document_markdown(b.select("doc_id", "page").distinct(), b)
+
+
+@query("merge_lists")
+def _(spark, d):
+    return render.merge_fragmented_lists(render.elements(elements(spark, d))).select("doc_id", "ord", "kind", F.array_join("texts", "|").alias("texts"))
+
+
+def recognised(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, d, "events").select((e % 50).alias("page"), (e % 97 * 3).cast("int").alias("x1"), (e % 701).cast("int").alias("y1"), (e % 97 * 3 + 40).cast("int").alias("x2"), (e % 701 + 9).cast("int").alias("y2"), F.when(e % 9 == 0, " ").otherwise(F.concat("event_type", F.lit(" "), e.cast("string"))).alias("text"), (e % 13 * 8).cast("double").alias("conf"))
+
+
+RECOGNISED = "WITH l AS (SELECT event_id % 50 AS page, event_id % 97 * 3 AS x1, event_id % 701 AS y1, event_id % 97 * 3 + 40 AS x2, event_id % 701 + 9 AS y2, CASE WHEN event_id % 9 = 0 THEN ' ' ELSE event_type || ' ' || event_id END AS t, event_id % 13 * 8 AS conf FROM events)"
+
+
+@query("recognised_order", RECOGNISED + ", k AS (SELECT *, '<loc_' || CAST(least(500, round(x1 / 400.0 * 500)) AS INT) || '><loc_' || CAST(least(500, round(y1 / 800.0 * 500)) AS INT) || '><loc_' || CAST(least(500, round(x2 / 400.0 * 500)) AS INT) || '><loc_' || CAST(least(500, round(y2 / 800.0 * 500)) AS INT) || '>' || trim(t) || chr(10) AS line FROM l WHERE trim(t) <> '' AND conf >= 30) SELECT page, md5(string_agg(line, '' ORDER BY y1, x1, line)) AS digest FROM k GROUP BY page")
+def _(spark, d):
+    return render.recognised_order(recognised(spark, d), 400, 800).select("page", F.md5("doctags").alias("digest"))
+
+
+@query("line_stats", RECOGNISED + "SELECT page, sum(len(list_filter(string_split(t, ' '), lambda w: length(w) >= 2))) AS raw_words, sum(CASE WHEN conf >= 30 THEN length(replace(t, ' ', '')) ELSE 0 END) AS conf_chars FROM l GROUP BY page")
+def _(spark, d):
+    return render.line_stats(recognised(spark, d))
+
+
+@query("assets", "SELECT page_id AS doc_id, CASE WHEN page_id % 4 = 0 THEN 'dropped' ELSE 'embedded' END AS storage, CASE WHEN page_id % 4 > 0 THEN sha256(html) END AS sha256, CASE WHEN page_id % 4 > 0 THEN strlen(html) END AS bytes FROM pages")
+def _(spark, d):
+    figures = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit("img/fig_1.png").alias("id"), F.when(F.col("page_id") % 4 > 0, F.col("html").cast("binary")).alias("data"))
+    return render.assets(figures).drop("id")
+
+
+@query("join_space", "WITH p AS (SELECT p_partkey, ['33', '(', 'a', '1:', 'x', '']['1234561234'[p_partkey % 6 + 1]::INT] AS l, ['.', 'b', ')', '20', '%', 'z', '4'][p_partkey % 7 + 1] AS r FROM part) SELECT p_partkey, l <> '' AND NOT regexp_matches(r, '^[)\\]},.;:!?%]') AND NOT l = '(' AND NOT (l = '1:' AND regexp_matches(r, '^[0-9]')) AS space FROM p")
+def _(spark, d):
+    k = F.col("p_partkey")
+    left = F.array(*(F.lit(x) for x in ("33", "(", "a", "1:", "x", "")))[(k % 6).cast("int")]
+    right = F.array(*(F.lit(x) for x in (".", "b", ")", "20", "%", "z", "4")))[(k % 7).cast("int")]
+    return table(spark, d, "part").select("p_partkey", render.join_space(left, right).alias("space"))
 
 
 # ---- vectors and passes
