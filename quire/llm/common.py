@@ -60,6 +60,30 @@ def partitions_for(spark: SparkSession, rows: float, per_task: float) -> int:
     return max(spark.sparkContext.defaultParallelism, int(-(-rows // per_task)), 1)
 
 
+_LIBC: list = []
+
+
+def lean_memory(threshold: int = 2 << 20) -> None:
+    """Called as a task begins: gives back what earlier tasks of this worker have freed, and keeps it so.
+
+    The C library raises its bound for returning arrays as it goes and holds on to
+    what is below; a worker that is reused from stage to stage would keep the
+    most that any of them took.
+    """
+    if not _LIBC:
+        import ctypes
+
+        try:
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, threshold)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, threshold)  # M_TRIM_THRESHOLD
+            _LIBC.append(libc.malloc_trim)
+        except (AttributeError, OSError):  # another C library
+            _LIBC.append(lambda _: None)
+    pa.default_memory_pool().release_unused()
+    _LIBC[0](0)
+
+
 # ---------------------------------------------------------------- payloads
 
 _pack, _unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -175,6 +199,7 @@ def word_hashes(low: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def grouped_batches(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """Batches put together to tables of about limit bytes of text; a larger batch is cut between documents."""
+    lean_memory()
     held, size = [], 0
     for b in batches:
         col = b.column(b.schema.get_field_index(text))

@@ -33,17 +33,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, block_number, grouped_batches, mixed, pack, unpack, utf8
+from .common import Scratch, block_number, grouped_batches, lean_memory, mixed, pack, unpack, utf8
 
 BLOCK = 4 << 20
 #: Bytes of a shard, and of one suffix array.
-SHARD = 4 << 20
-ARRAY = 6 << 20
+SHARD = 3 << 20
+ARRAY = 3 << 20
 #: Documents above which the windows of an anchor travel one by one.
 HOT = 4096
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
-_BYTE2 = mixed(np.arange(1001, 1257, dtype=np.uint64))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers (a sort is several times faster here than np.unique's hash table)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
 def _power(n: int) -> np.uint64:
@@ -53,12 +58,20 @@ def _power(n: int) -> np.uint64:
 # ---------------------------------------------------------------- anchors
 
 
-def poly(raw: np.ndarray, at: np.ndarray, size: int, table: np.ndarray = _BYTE) -> np.ndarray:
-    """Hashes of `size` bytes at the given places."""
-    h = np.zeros(len(at), np.uint64)
-    for k in range(size):
-        h = h * np.uint64(_BASE) + table[raw[at + k]]
-    return h
+def loads(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of raw (seven or more bytes must follow the last one read)."""
+    return np.ndarray((max(len(raw) - 7, 0),), "<u8", np.ascontiguousarray(raw), 0, (1,))
+
+
+def span_hash(raw: np.ndarray, at: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Hashes of `size` (eight or more) bytes at the given places, eight bytes at a time; the last eight may overlap."""
+    eight = loads(raw)
+    h = np.full(len(at), seed * 2 + 1, np.uint64)
+    for o in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
+        h ^= eight[at + o]
+        h *= np.uint64(_BASE)
+        h ^= h >> np.uint64(29)
+    return mixed(h)
 
 
 def runs(raw: np.ndarray, start: np.ndarray, length: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +111,12 @@ def runs(raw: np.ndarray, start: np.ndarray, length: np.ndarray, width: int, gra
     stop = ok.copy()
     stop[:-1] &= new[1:] | ~ok[1:]
     first = np.flatnonzero(new)
-    return first, np.flatnonzero(stop) - first + 1, at[first], np.searchsorted(start + length, first, "right")
+    return first, np.flatnonzero(stop) - first + 1, at[first], owners(first, start + length)
+
+
+def owners(at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The document of each of the rising places, by where the documents end."""
+    return np.repeat(np.arange(len(end)), np.diff(np.searchsorted(at, end, "left"), prepend=0))
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -114,7 +132,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     padded = np.zeros(n + 8, np.uint8)
     padded[:n] = text
-    key = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1))).view(">u8").reshape(-1).astype(np.uint64)
+    key = loads(padded)[:n].byteswap()
     sa = np.argsort(key)
     k = key[sa]
     new = np.ones(n, bool)
@@ -155,7 +173,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 819
         return lcp
     padded = np.zeros(n + cap + 8, np.uint8)
     padded[:n] = text
-    eight = np.lib.stride_tricks.as_strided(padded, (n + cap, 8), (1, 1))
+    eight = loads(padded)
     place = np.empty(n, np.int64)
     place[sa] = np.arange(n)
     lanes = min(lanes, n)
@@ -172,7 +190,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 819
         todo = np.flatnonzero(live & (p > 0))
         while len(todo):
             at = held[todo]
-            x = np.ascontiguousarray(eight[i[todo] + at]).view("<u8").reshape(-1) ^ np.ascontiguousarray(eight[j[todo] + at]).view("<u8").reshape(-1)
+            x = eight[i[todo] + at] ^ eight[j[todo] + at]
             same = x == 0
             held[todo] = np.minimum(at + np.where(same, 8, np.bitwise_count((x & -x) - np.uint64(1)) >> 3), cap)
             todo = todo[same & (held[todo] < cap)]
@@ -200,9 +218,9 @@ def least_in_groups(text: np.ndarray, at: np.ndarray, doc: np.ndarray, width: in
 
 def _rows_of(text: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
     """Windows as whole numbers that compare as their bytes do, eight at a time (the last eight overlap)."""
-    eight = np.lib.stride_tricks.as_strided(text, (max(len(text) - 7, 1), 8), (1, 1))
+    eight = loads(text)
     offs = [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]
-    return [np.ascontiguousarray(eight[at + o]).view(">u8").reshape(-1).astype(np.uint64) for o in offs]
+    return [eight[at + o].byteswap() for o in offs]
 
 
 def lower_bound(hay: list[np.ndarray], needles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -279,11 +297,15 @@ def _others(t: pa.Table) -> bytes:
 
 def _to_blocks(id_: str, text: str, width: int, gram: int):
     def run(batches):
+        lean_memory()
         for serial, t in enumerate(grouped_batches(batches, text, BLOCK)):
             raw, start, length = utf8(t.column(text))
             ids = t.column(id_).combine_chunks().cast(pa.int64())
             null = np.asarray(ids.is_null().to_numpy(zero_copy_only=False), bool)
-            first, many, anchor, doc = runs(raw, start, np.where(null, 0, length), width, gram) if not null.any() else _some(raw, start, length, ~null, width, gram)
+            first, many, anchor, doc = _in_slices(raw, start, length, width, gram)
+            if null.any():
+                keep = ~null[doc]
+                first, many, anchor = first[keep], many[keep], anchor[keep]
             gap = np.diff(first, prepend=0)
             payload = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), length.astype(np.int64), raw.tobytes(), _others(t.drop_columns([text])), gap.astype(np.uint32), many.astype(np.uint8), (anchor - first).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array([block_number(serial)]), pa.array([len(raw)]), pa.array([payload], pa.binary())], schema=_BLOCKS_ARROW)
@@ -291,10 +313,17 @@ def _to_blocks(id_: str, text: str, width: int, gram: int):
     return run
 
 
-def _some(raw, start, length, use, width, gram):
-    first, many, anchor, doc = runs(raw, start, length, width, gram)
-    keep = use[doc]
-    return first[keep], many[keep], anchor[keep], doc[keep]
+def _in_slices(raw, start, length, width, gram, most: int = 1 << 20):
+    """runs() of some documents at a time: its arrays take sixty bytes for each byte of text."""
+    out, lo = [], 0
+    end = start + length
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + most, "right")))
+        base = start[lo]
+        f, m, a, d = runs(raw[base : end[hi - 1]], start[lo:hi] - base, length[lo:hi], width, gram)
+        out.append((f + base, m, a + base, d + lo))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
 
 class Block:
@@ -305,8 +334,8 @@ class Block:
         self.first = np.cumsum(gap.astype(np.int64))
         self.many = many.astype(np.int64)
         self.off = off.astype(np.int64)
-        self.doc = np.searchsorted(self.start + self.length, self.first, "right")
-        self.hash = mixed(poly(self.raw, self.first + self.off, gram))
+        self.doc = owners(self.first, self.start + self.length)
+        self.hash = span_hash(self.raw, self.first + self.off, gram)
         self.width, self.gram = width, gram
 
     def short(self) -> np.ndarray:
@@ -318,8 +347,12 @@ class Block:
         Sets where they start, their sizes, the gram's offset (255: a window on its
         own), shard, smallest document, and of every occurrence its string.
         """
-        kinds = np.unique(self.short())
-        flag = flags[np.searchsorted(kinds, self.short())] if len(kinds) else np.zeros(0, np.uint8)
+        short = self.short()
+        order = np.argsort(short)
+        short = short[order]
+        flag = np.zeros(len(short), np.uint8)
+        if len(short):
+            flag[order] = flags[np.cumsum(np.r_[False, short[1:] != short[:-1]])]
         warm, hot = np.flatnonzero(flag == 1), np.flatnonzero(flag == 2)
         m = self.many[hot]
         each = np.repeat(self.first[hot], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
@@ -327,8 +360,8 @@ class Block:
         many = np.concatenate([self.many[warm], np.ones(len(each), np.int64)])
         off = np.concatenate([self.off[warm], np.full(len(each), 255)])
         doc = np.concatenate([self.doc[warm], np.repeat(self.doc[hot], m)])
-        head = poly(self.raw, at, self.width)
-        tail = poly(self.raw, at + many - 1, self.width, _BYTE2)
+        head = span_hash(self.raw, at, self.width)
+        tail = span_hash(self.raw, at + many - 1, self.width, 1)
         key = np.concatenate([self.hash[warm], mixed(head[len(warm) :])])
         low = self.ids[doc]
         o = np.lexsort((low, many, tail, head))
@@ -356,11 +389,14 @@ def _parts(rows: list[tuple]) -> list[pa.RecordBatch]:
 
 def _anchors(width: int, gram: int, ranges: int):
     def run(batches):
+        lean_memory()
         for batch in batches:
             for block, _, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 b = Block(payload, width, gram)
                 pair = b.short().astype(np.uint64) << np.uint64(32) | b.doc.astype(np.uint64)
-                kind, docs = np.unique(np.unique(pair) >> np.uint64(32), return_counts=True)
+                each = distinct(pair) >> np.uint64(32)
+                kind = distinct(each)
+                docs = np.diff(np.append(np.searchsorted(each, kind), len(each)))
                 cut = np.searchsorted(kind * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
                 yield from _parts([(r, block, pack(np.diff(kind[cut[r] : cut[r + 1]].astype(np.int64), prepend=0).astype(np.uint32), np.minimum(docs[cut[r] : cut[r + 1]], 65535).astype(np.uint16))) for r in np.flatnonzero(np.diff(cut)).tolist()])
 
@@ -371,9 +407,12 @@ def _answers(hot: int):
     """Of a range of hashes: 0 for those in one document, 1 for more, 2 for very many."""
 
     def run(key, group):
+        lean_memory()
         got = [unpack(p) for p in group.column("payload").to_pylist()]
         kinds = [np.cumsum(k.astype(np.int64)) for k, _ in got]
-        uniq, inverse = np.unique(np.concatenate(kinds), return_inverse=True)
+        every = np.concatenate(kinds)
+        uniq = distinct(every)
+        inverse = np.searchsorted(uniq, every)
         total = np.bincount(inverse, np.concatenate([n for _, n in got]), len(uniq))
         flag = ((total > 1).astype(np.uint8) + (total > hot)).astype(np.uint8)
         rows, at = [], 0
@@ -395,6 +434,7 @@ def _opened(group: pa.Table, width: int, gram: int, shards: int) -> Block:
 
 def _to_shards(width: int, gram: int, shards: int):
     def run(key, group):
+        lean_memory()
         b = _opened(group, width, gram, shards)
         cut = np.searchsorted(b.shard, np.arange(shards + 1))
         rows = []
@@ -410,6 +450,7 @@ def _to_shards(width: int, gram: int, shards: int):
 
 def _in_shard(width: int, gram: int, array: int):
     def run(key, group):
+        lean_memory()
         got = [unpack(p) for p in group.column("payload").to_pylist()]
         many = np.concatenate([g[0] for g in got]).astype(np.int64)
         off = np.concatenate([g[1] for g in got]).astype(np.int64)
@@ -418,7 +459,7 @@ def _in_shard(width: int, gram: int, array: int):
         size = many + width - 1
         begin = np.cumsum(size) - size
         # equal strings of several blocks are one, with the smallest document
-        head, tail = poly(text, begin, width), poly(text, begin + many - 1, width, _BYTE2)
+        head, tail = span_hash(text, begin, width), span_hash(text, begin + many - 1, width, 1)
         o = np.lexsort((many, tail, head))
         new = np.ones(len(o), bool)
         new[1:] = (head[o][1:] != head[o][:-1]) | (tail[o][1:] != tail[o][:-1]) | (many[o][1:] != many[o][:-1])
@@ -428,9 +469,9 @@ def _in_shard(width: int, gram: int, array: int):
         least = np.minimum.reduceat(low[o], np.flatnonzero(new))
         # a string alone with its anchor has no other windows to meet
         alone = off[lead] == 255
-        anchor = np.where(alone, head[lead], poly(text, begin[lead] + np.where(alone, 0, off[lead]), gram))
-        _, back, count = np.unique(anchor, return_inverse=True, return_counts=True)
-        meet = count[back] > 1
+        anchor = np.where(alone, head[lead], span_hash(text, begin[lead] + np.where(alone, 0, off[lead]), gram))
+        in_order = np.sort(anchor)
+        meet = np.searchsorted(in_order, anchor, "right") - np.searchsorted(in_order, anchor, "left") > 1
         m = many[lead]
         at = np.cumsum(m) - m
         answer = np.repeat(least, m)
@@ -452,15 +493,16 @@ def _in_shard(width: int, gram: int, array: int):
 
 
 def covered(size: int, at: np.ndarray, width: int) -> np.ndarray:
-    """Flags of the bytes covered by windows that start at the given places."""
-    edge = np.zeros(size + 1, np.int32)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, np.minimum(at + width, size), -1)
-    return np.cumsum(edge[:size]) > 0
+    """Flags of the bytes covered by windows that start at the given places, each given once."""
+    edge = np.zeros(size + width, np.int16)
+    edge[at] += 1
+    edge[at + width] -= 1
+    return np.cumsum(edge[:size], dtype=np.int16) > 0
 
 
 def _removed(width: int, gram: int, shards: int, schema: pa.Schema):
     def run(key, group, answers):
+        lean_memory()
         b = _opened(group, width, gram, shards)
         parts = sorted(zip(answers.column("key").to_pylist(), answers.column("payload").to_pylist(), strict=True))
         least = np.concatenate([unpack(p)[0] for _, p in parts]) if parts else np.zeros(0, np.int64)
@@ -514,7 +556,7 @@ def dedup_substrings(docs: DataFrame, width: int = 50, gram: int = 26, id_: str
     blocks = scratch.write(rows.mapInArrow(_to_blocks(id_, text, width, gram), "block long, size long, payload binary"), "blocks")
     total = int(blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0])
     shards = max(spark.sparkContext.defaultParallelism, -(-total // shard))
-    ranges = max(spark.sparkContext.defaultParallelism, -(-total // (8 * shard)))
+    ranges = max(spark.sparkContext.defaultParallelism, -(-total // (4 * shard)))
     flags = blocks.mapInArrow(_anchors(width, gram, ranges), _PART).groupBy("key").applyInArrow(_answers(hot), _PART)
     flags = scratch.write(flags, "flags")
     both = blocks.select(F.lit(-1).cast("long").alias("key"), "block", "payload").unionAll(flags)
