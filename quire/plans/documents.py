@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import numeric as N
 from quire.functions import text as T
-from quire.operators import markup, model, render, search, sequence, tables
+from quire.operators import layout, markup, model, render, search, sequence, tables
 
 from .scalars import LINE, table
 
@@ -628,3 +628,99 @@ def _(spark, d):
 @query("detect_language")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", T.detect_language(F.col("text")).alias("language"))
+
+
+# ---- positioned text: events are spans of a user's pages
+
+
+def positioned(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, d, "events").select(
+        F.col("user_id").alias("doc_id"),
+        (e % 3 + 1).cast("int").alias("page"),
+        e.alias("n"),
+        (e % 23 * 25).cast("double").alias("x"),
+        (700 - e % 41 * 12).cast("double").alias("y"),
+        (F.when(e % 19 == 0, 16).when(e % 17 == 0, 13).otherwise(10)).cast("double").alias("size"),
+        F.lit(0.0).alias("width"),
+        F.when(e % 29 == 0, "Figure 1").otherwise(F.concat("event_type", F.lit(" "), (e % 7).cast("string"))).alias("text"),
+        (e % 17 == 0).alias("bold"),
+        F.when(e % 19 == 0, 2).otherwise(1).alias("font"),
+        F.when(e % 31 == 0, 1.5).otherwise(0.0).alias("angle"),
+    )
+
+
+SPANS_SQL = "WITH s AS (SELECT user_id AS doc_id, event_id % 3 + 1 AS page, event_id AS n, CAST(event_id % 23 * 25 AS DOUBLE) AS x, CAST(700 - event_id % 41 * 12 AS DOUBLE) AS y, CAST(CASE WHEN event_id % 19 = 0 THEN 16 WHEN event_id % 17 = 0 THEN 13 ELSE 10 END AS DOUBLE) AS size, CASE WHEN event_id % 29 = 0 THEN 'Figure 1' ELSE event_type || ' ' || event_id % 7 END AS text, event_id % 17 = 0 AS bold, CASE WHEN event_id % 19 = 0 THEN 2 ELSE 1 END AS font, CASE WHEN event_id % 31 = 0 THEN 1.5 ELSE 0 END AS angle FROM events)"
+
+
+@query("dedup_coincident", SPANS_SQL + "SELECT doc_id, page, min(n) AS n FROM s GROUP BY doc_id, page, round(x), round(y), text")
+def _(spark, d):
+    return layout.dedup_coincident(positioned(spark, d)).select("doc_id", "page", "n")
+
+
+@query("link_at", SPANS_SQL + "SELECT doc_id, page, n, CASE WHEN x BETWEEN 50 AND 300 AND y BETWEEN 300 AND 600 THEN 'a' || doc_id WHEN x BETWEEN 200 AND 500 AND y BETWEEN 200 AND 400 THEN 'b' END AS href FROM s")
+def _(spark, d):
+    s = positioned(spark, d)
+    pages = s.select("doc_id", "page").distinct()
+    a = pages.selectExpr("doc_id", "page", "0 as k", "50.0 as x0", "300.0 as y0", "300.0 as x1", "600.0 as y1", "concat('a', doc_id) as href")
+    b = pages.selectExpr("doc_id", "page", "1 as k", "200.0 as x0", "200.0 as y0", "500.0 as x1", "400.0 as y1", "'b' as href")
+    return layout.link_at(s, a.unionAll(b)).select("doc_id", "page", "n", "href")
+
+
+@query("clip_spans", SPANS_SQL + "SELECT doc_id, page, count(*) AS n FROM s WHERE x <= 300 AND x + length(text) * size * 0.5 >= 100 AND y <= 500 AND y + size >= 400 GROUP BY doc_id, page")
+def _(spark, d):
+    return layout.clip(positioned(spark, d), N.box(F.lit(100.0), F.lit(400.0), F.lit(300.0), F.lit(500.0))).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+
+
+@query("bind_to_bands", SPANS_SQL + "SELECT doc_id, page, n, CASE WHEN x <= 125 THEN 0 WHEN x <= 325 THEN 1 ELSE 2 END AS band FROM s")
+def _(spark, d):
+    s = positioned(spark, d).select("doc_id", "page", "n", F.col("x").alias("center"))
+    pages = s.select("doc_id", "page").distinct()
+    bands = pages.selectExpr("doc_id", "page", "inline(array(struct(0 as band, 0.0 as lo, 100.0 as hi), struct(1 as band, 150.0 as lo, 300.0 as hi), struct(2 as band, 350.0 as lo, 600.0 as hi)))")
+    return layout.bind_to_bands(s, bands).select("doc_id", "page", "n", "band")
+
+
+CLUSTERS = SPANS_SQL + ", c AS (SELECT doc_id, CAST(round(size) AS INT) AS size, bold, font, sum(length(text)) AS chars, count(*) AS spans, count(*) FILTER (text LIKE 'Figure%') AS captions, count(DISTINCT page) AS pages FROM s WHERE angle < 0.01 GROUP BY ALL)"
+
+
+@query("style_clusters", CLUSTERS + "SELECT * FROM c")
+def _(spark, d):
+    return layout.style_clusters(positioned(spark, d))
+
+
+@query("heading_tiers", CLUSTERS + ", b AS (SELECT doc_id, arg_max(size, (chars, size)) AS bs, max(chars) AS bc FROM c GROUP BY doc_id), t AS (SELECT c.doc_id, max(size) AS ts FROM c JOIN b USING (doc_id) WHERE size > bs AND chars >= 15 GROUP BY c.doc_id), k AS (SELECT c.*, bs, row_number() OVER (PARTITION BY c.doc_id ORDER BY size DESC, bold DESC, chars DESC) AS level FROM c JOIN b USING (doc_id) LEFT JOIN t USING (doc_id) WHERE size > bs AND NOT coalesce(ts > bs * 1.15 AND size >= ts, false) AND chars < bc * 0.4 AND captions * 2 < spans AND NOT (font = 1 AND NOT bold AND size < bs * 1.18)) SELECT doc_id, CAST(level AS INT) AS level, size, bold, font FROM k WHERE level <= 4")
+def _(spark, d):
+    return layout.heading_tiers(positioned(spark, d)).select("doc_id", "level", "size", "bold", "font")
+
+
+@query("tier_levels")
+def _(spark, d):
+    s = positioned(spark, d)
+    return layout.tier_levels(s.select("doc_id", "n", "size", "bold", "font"), layout.heading_tiers(s)).select("doc_id", "n", "level")
+
+
+@query("visual_rows")
+def _(spark, d):
+    return layout.visual_rows(positioned(spark, d)).select("doc_id", "page", "n", "row")
+
+
+@query("row_cells")
+def _(spark, d):
+    return layout.row_cells(layout.visual_rows(positioned(spark, d)))
+
+
+@query("column_anchors")
+def _(spark, d):
+    return layout.column_anchors(positioned(spark, d), 30.0)
+
+
+@query("page_text")
+def _(spark, d):
+    return layout.page_text(layout.reading_order(positioned(spark, d)))
+
+
+@query("footnote_lines", SPANS_SQL + ", l AS (SELECT doc_id, page, n AS ord, 700 - row_number() OVER (PARTITION BY doc_id, page ORDER BY n) * 9.0 AS y, CASE WHEN n % 5 < 2 THEN 8.0 ELSE 10.0 END AS size FROM s), m AS (SELECT *, size < 8.6 AS small, min(y) OVER p + (max(y) OVER p - min(y) OVER p) * 0.45 AS cut FROM l WINDOW p AS (PARTITION BY doc_id, page)), i AS (SELECT *, sum(CASE WHEN small AND b THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY ord) AS i FROM (SELECT *, coalesce(lag(small) OVER (PARTITION BY doc_id, page ORDER BY ord), false) AS b FROM m)) SELECT doc_id, page, ord, small AND count(*) OVER w BETWEEN 2 AND 12 AND max(y) OVER w < cut AS footnote FROM i WINDOW w AS (PARTITION BY doc_id, page, i)")
+def _(spark, d):
+    w = Window.partitionBy("doc_id", "page").orderBy("n")
+    lines_ = positioned(spark, d).select("doc_id", "page", F.col("n").alias("ord"), (700 - F.row_number().over(w) * 9.0).alias("y"), F.when(F.col("n") % 5 < 2, 8.0).otherwise(10.0).alias("size"), "text", F.lit(10.0).alias("body"))
+    return layout.footnote_lines(lines_).select("doc_id", "page", "ord", "footnote")
