@@ -12,7 +12,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import distill, markup, model
+from quire.operators import build, markup, model
 from quire.plans.session import ship
 
 
@@ -28,8 +28,8 @@ def convert(spark: SparkSession, path: str, target: str, to: str, kind: str = "h
     rows = sources(spark, path)
     good = rows.where("error is null")
     if to == "model":
-        blocks = distill.page_blocks(good.select("doc_id", F.col("text").alias("html")), "doc_id") if kind == "html" else model.line_blocks(good)
-        distill.write(distill.distill(blocks), target)
+        blocks = build.page_blocks(good.select("doc_id", F.col("text").alias("html")), "doc_id") if kind == "html" else model.line_blocks(good)
+        build.write(build.build_model(blocks), target)
     else:
         value = F.col("text") if kind == "text" else markup.to_markdown(F.col("text")) if to == "markdown" else None
         out = good.select("doc_id", value.alias("value")) if value is not None else markup.text_of(good.select("doc_id", F.col("text").alias("html")), "doc_id").withColumnRenamed("text", "value")

@@ -34,7 +34,7 @@ def page_blocks(pages: DataFrame, id_: str = "page_id", html: str = "html") -> D
     return made.withColumn("ord", place).select("doc_id", "ord", F.format_string("b%04d", "ord").alias("id"), "kind", F.lit(1).alias("page"), "text", level.alias("heading_level"))
 
 
-def distill(blocks: DataFrame) -> dict[str, DataFrame]:
+def build_model(blocks: DataFrame) -> dict[str, DataFrame]:
     """The model's tables: blocks (with section), sections, chunks and a row of totals for each document."""
     named = model.sections(blocks)
     ids = named.select("doc_id", F.col("ord").alias("section_ord"), F.col("id").alias("section"))

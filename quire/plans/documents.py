@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import numeric as N
 from quire.functions import text as T
-from quire.operators import distill, layout, markup, model, render, search, sequence, tables
+from quire.operators import build, layout, markup, model, render, search, sequence, tables
 
 from .scalars import LINE, table
 
@@ -731,13 +731,13 @@ def _(spark, d):
 
 @query("page_blocks", "WITH h AS (SELECT page_id AS doc_id, regexp_extract_all(html, '<(?:p|li|h1)>') AS tags, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1 FROM pages) SELECT doc_id, trim(regexp_replace(replace(replace(replace(h1, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, CAST(len(list_filter(tags, lambda t: t = '<li>')) AS BIGINT) AS items FROM h")
 def _(spark, d):
-    b = distill.page_blocks(table(spark, d, "pages"))
+    b = build.page_blocks(table(spark, d, "pages"))
     return b.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == "heading", F.col("text"))).alias("title"), F.count_if(F.col("kind") == "list_item").alias("items"))
 
 
-@query("distill")
+@query("build_model")
 def _(spark, d):
-    t = distill.distill(distill.page_blocks(table(spark, d, "pages")))
+    t = build.build_model(build.page_blocks(table(spark, d, "pages")))
     return t["blocks"].select("doc_id", "ord", "kind", "section")
 
 
@@ -745,9 +745,9 @@ def _(spark, d):
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text", F.lit(500000.0).alias("area"), F.when(F.col("doc_id") % 4 == 0, "ScanSnap").otherwise("TeX").alias("producer"))
     images = table(spark, d, "pages").where("page_id % 3 > 0").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), (F.length("url") * 9000.0).alias("area"))
-    return distill.ocr_plan(docs, images).select("doc_id", "decision")
+    return build.ocr_plan(docs, images).select("doc_id", "decision")
 
 
 @query("nest_sections")
 def _(spark, d):
-    return distill.nest_sections(table(spark, d, "pages").select("page_id", "html"))
+    return build.nest_sections(table(spark, d, "pages").select("page_id", "html"))

@@ -3,22 +3,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire import cli
-from quire.operators import distill, layout
+from quire.operators import build, layout
 
 PAGE = "<html><body><h1>One</h1><p>first <b>para</b><ul><li>a<li></ul><h2>Two</h2><p>second<h1>One</h1><p></p></body></html>"
 
 
 def test_pages_become_a_model(spark, tmp_path):
-    b = distill.page_blocks(spark.createDataFrame([(7, PAGE), (8, None)], "page_id long, html string"))
+    b = build.page_blocks(spark.createDataFrame([(7, PAGE), (8, None)], "page_id long, html string"))
     assert [(r.ord, r.kind, r.text, r.heading_level) for r in b.orderBy("ord").collect()] == [(1, "heading", "One", 1), (2, "para", "first para", None), (3, "list_item", "a", None), (4, "heading", "Two", 2), (5, "para", "second", None), (6, "heading", "One", 1)]
-    distill.write(distill.distill(b), str(tmp_path / "m"))
-    m = distill.read(spark, str(tmp_path / "m"))
+    build.write(build.build_model(b), str(tmp_path / "m"))
+    m = build.read(spark, str(tmp_path / "m"))
     assert {(r.ord, r.section) for r in m["blocks"].collect()} == {(1, "sec-one"), (2, "sec-one"), (3, "sec-one"), (4, "sec-two"), (5, "sec-two"), (6, "sec-one-2")}
     assert m["chunks"].count() == 3 and m["documents"].head().n_heading == 3
 
 
 def test_sections_nest(spark):
-    html = distill.nest_sections(spark.createDataFrame([(PAGE,), (None,)], "html string")).collect()
+    html = build.nest_sections(spark.createDataFrame([(PAGE,), (None,)], "html string")).collect()
     assert html[0].html.replace("<html><body>", "") == '<section id="sec-one"><h1>One</h1><p>first <b>para</b><ul><li>a<li></ul><section id="sec-two"><h2>Two</h2><p>second</section></section><section id="sec-one-2"><h1>One</h1><p></p></section></body></html>'
     assert html[1].html is None
 

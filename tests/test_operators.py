@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import markup, model, render, search, sequence, tables
-from quire.sources import dpdf
+from quire.sources import containers as box
 from quire.streaming.ingest import ingest, latest
 
 MODEL = {
@@ -25,26 +25,26 @@ MODEL = {
 
 def test_containers(spark, tmp_path):
     member = np.array([1, 0], "<f4").tobytes()
-    data = dpdf.write_container(MODEL, {"vec/s.bin": member, "img/fig_1.png": b"png"})
-    assert data == dpdf.write_container(json.loads(json.dumps(MODEL)), {"img/fig_1.png": b"png", "vec/s.bin": member})
-    (tmp_path / "a.dpdf").write_bytes(data)
-    with zipfile.ZipFile(tmp_path / "a.dpdf") as z:
+    data = box.write_container(MODEL, {"vec/s.bin": member, "img/fig_1.png": b"png"})
+    assert data == box.write_container(json.loads(json.dumps(MODEL)), {"img/fig_1.png": b"png", "vec/s.bin": member})
+    (tmp_path / "a.model").write_bytes(data)
+    with zipfile.ZipFile(tmp_path / "a.model") as z:
         assert z.namelist() == ["model.json", "img/fig_1.png", "vec/s.bin"] and all(i.compress_type == zipfile.ZIP_STORED for i in z.infolist())
-    files = dpdf.load(spark, str(tmp_path))
-    blocks = dpdf.entity(files, "blocks", dpdf.BLOCK).orderBy("ord").collect()
+    files = box.load(spark, str(tmp_path))
+    blocks = box.entity(files, "blocks", box.BLOCK).orderBy("ord").collect()
     assert [(b.id, b.kind, b.cells) for b in blocks] == [("b0001", "heading", None), ("b0002", "table", [["x", "y"], ["1"]])]
-    assert dpdf.entity(files, "pages", dpdf.PAGE).where("n = 1").head().labels == {"pdf": "i"}
-    assert bytes(dpdf.member(files, "vec/s.bin").head()["bytes"]) == member and dpdf.member(files, "none").head()["bytes"] is None
+    assert box.entity(files, "pages", box.PAGE).where("n = 1").head().labels == {"pdf": "i"}
+    assert bytes(box.member(files, "vec/s.bin").head()["bytes"]) == member and box.member(files, "none").head()["bytes"] is None
     again = spark.createDataFrame([("a", json.dumps(MODEL), {"vec/s.bin": bytearray(member), "img/fig_1.png": bytearray(b"png")})], "doc_id string, model string, members map<string,binary>")
-    assert bytes(dpdf.containers(again).head()["content"]) == data
+    assert bytes(box.containers(again).head()["content"]) == data
 
 
-@pytest.mark.parametrize("bad", [b"no zip", dpdf.write_container({"schema_version": 0}, {})])
+@pytest.mark.parametrize("bad", [b"no zip", box.write_container({"schema_version": 0}, {})])
 def test_other_files_are_errors(bad):
     with pytest.raises(ValueError, match="not a container|no model"):
-        dpdf.read_container(bad)
+        box.read_container(bad)
     with pytest.raises(ValueError, match="8 bytes"):
-        dpdf.write_container(MODEL, {"vec/s.bin": b"123"})
+        box.write_container(MODEL, {"vec/s.bin": b"123"})
 
 
 def test_ingestion_is_incremental(spark, tmp_path):
