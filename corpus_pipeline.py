@@ -15,6 +15,7 @@ from quire.llm.ngram_join import jaccard_components
 from quire.llm.packing import pack_documents, public_tokenizer
 from quire.llm.quality import quality_scores
 from quire.llm.substring_dedup import dedup_substrings
+from quire.plans.session import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows."""
-    scratch = Scratch(spark, "pipeline")
+    scratch = Scratch(ship(spark), "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")

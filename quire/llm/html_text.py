@@ -12,7 +12,8 @@ every other subtree that reaches it and has no part in boilerplate joins in.
 
 Boilerplate (menus, headers, footers, sidebars, notices, adverts, forms,
 comments, scripts, styles) is known by element, role, or the words of id and
-class, and leaves the tree before densities are taken. A main node inside an
+class, and leaves the tree before densities are taken; words alone don't remove
+what holds an h1 or main element. A main node inside an
 article or main element stands for that element. One page is one row: pages
 never meet, so nothing is shuffled.
 """
@@ -51,34 +52,34 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("c", "density", "drop", "kids", "lc", "lt", "main", "sum", "t", "tag", "up")
+    __slots__ = ("c", "density", "drop", "kids", "lc", "lt", "main", "soft", "sum", "t", "tag", "up")
 
-    def __init__(self, tag: str, up: Node | None = None, drop: bool = False, main: bool = False):
-        self.tag, self.up, self.drop, self.main, self.kids = tag, up, drop, main, []
+    def __init__(self, tag: str, up: Node | None = None, drop: bool = False, main: bool = False, soft: bool = False):
+        self.tag, self.up, self.drop, self.main, self.soft, self.kids = tag, up, drop, main, soft, []
 
 
-def _boilerplate(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """(leaves the tree, is a main element)."""
+def _boilerplate(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, bool]:
+    """(leaves the tree, is a main element, leaves it only for a word of its id or class)."""
     if tag in DROPPED and not (tag == "header" and inside):
-        return True, False
+        return True, False, False
     main = tag in ("article", "main")
     if not attrs or tag in ("html", "body"):
-        return False, main
+        return False, main, False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, False
+            return True, False, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False
+            return True, False, False
         if name == "role":
             if value.lower() in ROLES:
-                return True, False
+                return True, False, False
             main = main or value.lower() in ("main", "article")
         elif name in ("id", "class") and not main and not WORDS.isdisjoint(_SPLIT.split(_CAMEL.sub(" ", value).lower())):
-            return True, False
+            return True, False, True
         elif name == "itemprop" and value.lower() == "articlebody":
             main = True
-    return False, main
+    return False, main, False
 
 
 def parse(page: str) -> Node:
@@ -132,8 +133,14 @@ def parse(page: str) -> Node:
         inside = node
         while inside is not None and not inside.main:
             inside = inside.up
-        drop, main = _boilerplate(name, attrs, inside is not None)
-        new = Node(name, node, drop, main)
+        drop, main, soft = _boilerplate(name, attrs, inside is not None)
+        if name in ("h1", "main"):
+            # a word in a class doesn't outweigh the title or main element within
+            up = node
+            while up is not None:
+                up.drop = up.drop and not up.soft
+                up = up.up
+        new = Node(name, node, drop, main, soft)
         node.kids.append(new)
         if name in RAW:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(page, pos)

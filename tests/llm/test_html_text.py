@@ -19,6 +19,7 @@ NOISE = "<nav><ul><li><a href='/a'>Home</a><li><a href='/b'>News</a></ul></nav>"
         f"<body><div class='cookie-notice'>We use cookies and say so at some length here.</div><main>{ARTICLE}<div class=\"ad\">Buy this thing now</div></main><div id='comments'><p>I disagree with all of this, and at length.</p></div></body>",
         f"<body><div><div><div>{ARTICLE}</div></div></div><form><p>Your name, your address and your opinion</p><input></form>",
         f"<BODY><TABLE class=menu><tr><td><a href=x>one</a><td><a href=y>two</a></table><DIV CLASS='Story'>{ARTICLE}</DIV><!-- <p>hidden</p> -->",
+        f"<body><div class='layout with-sidebar'><div class='sidebar'><p>Things on the side, rather many of them.</p></div><main>{ARTICLE}</main></div>",
         f"<body><section role='navigation'>a b c</section><article><div class='share-buttons'>Share</div>{ARTICLE}<section class='related'><p>You may also like</p></section></article>",
     ],
 )
