@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, block_number, grouped_batches, mixed, pack, unpack, utf8, word_hashes, words
+from .common import Scratch, block_number, grouped_batches, lean_memory, mixed, pack, unpack, utf8, word_hashes, words
 
 END, START, FIRST = 0, 1, 2  # numbers of the end token, the start context and the first word
 #: Scores are added up in units of 2**-28, so that no order of additions changes a result.
@@ -135,6 +135,7 @@ def _vocabulary(k: int, buckets: int):
     schema = _vocab_arrow(k)
 
     def run(key, group):
+        lean_memory()
         bucket = key[0].as_py()
         got = [(b, *unpack(p)) for b, p in zip(group.column("block").to_pylist(), group.column("payload").to_pylist(), strict=True)]
         n = np.concatenate([x[1] for x in got]).astype(np.int64)
@@ -194,6 +195,7 @@ _TOKENS_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block
 
 def _to_tokens(low: Lower, n_train: int, hot: int, buckets: int):
     def run(key, group):
+        lean_memory()
         block = key[0].as_py()
         kinds, bodies = group.column("kind").to_pylist(), group.column("payload").to_pylist()
         seq, part, per_doc, out, ids, null = unpack(next(p for q, p in zip(kinds, bodies, strict=True) if not q))
@@ -296,6 +298,7 @@ def _counts(low: Lower, k: int, hot: int):
     schema = pa.schema([("ctx", pa.int64()), ("c1", pa.int64()), ("s", pa.list_(pa.float64()))])
 
     def run(key, group):
+        lean_memory()
         b = _Bucket(group, low)
         rows = [(-1, 0, [float((b.r == i).sum()) for i in range(1, k + 2)] + [0.0])]
         big = np.flatnonzero(b.c1 > hot)
@@ -325,6 +328,7 @@ def backoff_weights(sums: np.ndarray, c1: np.ndarray, d: np.ndarray, k: int) ->
 
 def _scores(low: Lower, k: int, hot: int):
     def run(key, group, facts):
+        lean_memory()
         bucket = key[0].as_py()
         b = _Bucket(group, low)
         s = b.sums(k)

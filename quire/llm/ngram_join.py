@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, grouped_batches, mixed, pack, unpack, utf8, word_hashes, words
+from .common import Scratch, components, grouped_batches, lean_memory, mixed, pack, unpack, utf8, word_hashes, words
 
 #: Buckets of the sketch of n-gram counts, whose levels are sent to every task: 4 MB, whatever the input.
 SKETCH_BITS = 22
@@ -165,6 +165,7 @@ def _stars(num: int, den: int):
     """kind 0: pairs (pivot a, b); kind 1: entries (pivot a, set b) of lists where pairs without the pivot may link."""
 
     def run(batches):
+        lean_memory()
         token, node, size, pos = _table(batches, 4)
         size, pos = size.astype(np.int64), pos.astype(np.int64)
         _, token, node, size, pos, begin, many = _lists(token, node, size, pos)
@@ -206,6 +207,7 @@ def _rest(num: int, den: int, pivots: int | None):
     """
 
     def run(batches):
+        lean_memory()
         token, node, size, pos, label, far = _table(batches, 6)
         size, pos = size.astype(np.int64), pos.astype(np.int64)
         o, token, node, size, pos, begin, many = _lists(token, node, size, pos)
@@ -255,6 +257,7 @@ def _pivot_pairs(begin, many, node, size, pos, label, num, den, pivots):
 
 def _overlaps(batches):
     """Overlap of each pair (a, b): the rows of a key (a, salt) are a's set once and the sets of its partners."""
+    lean_memory()
     held: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
     waiting: list[tuple[int, int, int, bytes]] = []
     for batch in batches:
