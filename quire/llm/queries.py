@@ -30,6 +30,32 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REACH = """
+     r AS (SELECT id, id AS c FROM n UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.c),
+     k AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
+"""
+OP7_SQL = f"""
+WITH RECURSIVE
+     w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS t FROM documents),
+     g AS (SELECT doc_id, CASE WHEN len(t) >= 4 THEN list_distinct(list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' '))) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END AS s FROM w),
+     n AS (SELECT doc_id AS id, len(s) AS z FROM g),
+     e AS (SELECT doc_id AS id, unnest(s) AS x FROM g),
+     h AS (SELECT x, count(*) AS c FROM e GROUP BY x HAVING count(*) > 1),
+     f AS (SELECT id, x FROM e JOIN h USING (x)),
+     p AS (SELECT u.id AS a, v.id AS b, count(*) AS c FROM f u JOIN f v ON u.x = v.x AND u.id <> v.id GROUP BY ALL),
+     l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 85 * (x.z + y.z - c)),
+     {_REACH}
+SELECT n.id AS doc_id, z AS n_shingles, component_id FROM n JOIN k USING (id)
+"""
+OP8_SQL = f"""
+WITH RECURSIVE
+     n AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+     l AS (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.id <> y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
+     {_REACH}
+SELECT n.id AS vec_id, (SELECT count(*) FROM l WHERE l.a = n.id) AS n_links, component_id, n.id = component_id AS kept FROM n JOIN k USING (id)
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -49,4 +75,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return pipeline | {"op2_decontaminate": OP2_SQL, "op6_warc": OP6_SQL}
+    return pipeline | {"op2_decontaminate": OP2_SQL, "op6_warc": OP6_SQL, "op7_jaccard": OP7_SQL, "op8_embeddings": OP8_SQL}
