@@ -33,11 +33,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, grouped_batches, lean_memory, mixed, pack, unpack, utf8, word_hashes, words
 
-#: Buckets of the sketch of n-gram counts, whose levels are sent to every task: 4 MB, whatever the input.
-SKETCH_BITS = 22
+#: Buckets of the sketch of n-gram counts, whose levels are sent to every task: 2 MB, whatever the input.
+SKETCH_BITS = 21
 _CHUNKS = 64
+#: Partners of a set that share a key when pairs are verified.
+PARTNERS = 32
+#: Requests for sets that may be broadcast (20 bytes each); beyond that the sets are shuffled to them.
+ASKED = 1_000_000
 #: Pivots that a list gets in each round between the first and the last.
-PIVOTS = (4, 8)
+PIVOTS = (8,)
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -278,12 +282,15 @@ def _overlaps(batches):
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(a, b, sa, sb, both) of distinct pairs.
 
-    A set with many partners is spread over up to 1,024 keys by the partner, so
-    a popular pivot is no hot key. Each partner's set travels once for each pair.
+    A set is spread over a key for each PARTNERS partners, so a popular pivot is
+    no hot key. Each partner's set travels once for each pair, a's once for each key.
     """
-    salted = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(1024)).cast("int").alias("salt"), "b")
+    ways = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("ways"))
+    salted = pairs.join(ways, "a").select("a", F.pmod(F.xxhash64("b"), "ways").cast("int").alias("salt"), "b")
     asked = salted.select("a", "salt", F.col("b").alias("node")).unionAll(salted.select("a", "salt", F.col("a").alias("node")).distinct())
-    rows = sets.join(asked, "node").select("a", "salt", "node", "payload")
+    asked = scratch.write(asked, f"{name}-asked")
+    few = asked.count() <= ASKED
+    rows = sets.join(F.broadcast(asked) if few else asked, "node").select("a", "salt", "node", "payload")
     return scratch.write(rows.repartition("a", "salt").mapInArrow(_overlaps, "a long, b long, sa long, sb long, both long"), name)
 
 
@@ -404,4 +411,4 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; sets of 4-word n-grams link at a Jaccard similarity of 0.85."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, num=85, den=100)
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, num=85, den=100).drop("n_links")
