@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import grouped_batches, utf8, word_hashes, words
 
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 600_000
 # Kinds of bytes for words that need no care: other signs, letters (ASCII, and the Latin letters whose UTF-8 starts
 # with C3), digits; 3 marks bytes whose words are encoded one by one.
 _KIND = np.full(256, 3, np.uint8)
