@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+from itertools import combinations
+
+import pytest
+
 from quire.llm.decontaminate import overlaps, without_overlaps
 
 ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
@@ -32,3 +36,12 @@ def test_no_python_in_the_plan(spark):
     d, b = spark.createDataFrame([(1, ITEM)], "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     plan = overlaps(d, b)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "InArrow"))
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 10, 11, 14, 15, 20])
+def test_every_pattern_within_the_budget_is_found(spark, n):
+    words = [f"w{i}" for i in range(n)]
+    patterns = list(combinations(range(n), n // 5))
+    d = spark.createDataFrame([(k, " ".join("x" if i in p else w for i, w in enumerate(words))) for k, p in enumerate(patterns)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert [(r.doc_id, r.n_matched, r.start) for r in overlaps(d, b).orderBy("doc_id").collect()] == [(k, n - n // 5, 0) for k in range(len(patterns))]
