@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import Scratch
-from quire.llm.decontaminate import without_overlaps
+from quire.llm.decontaminate import PART, without_overlaps
 from quire.llm.ngram_join import jaccard_components
 from quire.llm.packing import pack_documents, public_tokenizer
 from quire.llm.quality import quality_scores
@@ -45,8 +45,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    return without_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold no item of the benchmark and no longer part of one (stage 3 may have left a part)."""
+    return without_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), part=PART)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ item and place) are the small side: while there are at most MOST of them they
 are broadcast and a document's seeds are looked up where it is read; beyond
 that, the join is shuffled. Each hit gives an alignment of document and item,
 and the verification compares all tokens of the item along it: no token may be
-inserted or deleted, but up to a fifth may differ.
+inserted or deleted, but up to a fifth may differ. Where parts of items count
+too, matches around the hits of alignments near each other are joined, so that
+inserted and deleted tokens and items cut short don't hide an overlap.
 
 Texts never move: everything up to the verified pairs happens in the scan's
 stage, and only (document, item, start) triples are grouped. Documents with a
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch
 
@@ -28,6 +31,10 @@ SEEDS = ("1111", "11101", "11011", "10111")
 MASKS = ("11101011", "11010111", "10111101")
 #: Seeds of a benchmark, or hits, that may be broadcast: 24 bytes each.
 MOST = 1_000_000
+#: Tokens of the shortest part of an item that counts as an overlap, where parts count.
+PART = 13
+#: Tokens that may be inserted or deleted between the pieces of one overlap.
+DRIFT = 8
 # What parts words: all but letters and digits.
 _BETWEEN = "[^\\\\p{L}\\\\p{N}]+"
 
@@ -50,7 +57,7 @@ def _keys(masks: list[str]) -> Column:
     return F.array(*(F.when(F.col(f"c{len(m) - 1}").isNotNull(), F.xxhash64(F.lit(k), *(F.col(f"c{p}") for p, c in enumerate(m) if c == "1"))) for k, m in enumerate(masks)))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, masks: tuple[str, ...] | None = None, id_: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, masks: tuple[str, ...] | None = None, id_: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", part: int | None = None) -> DataFrame:
     """(doc_id, item_id, n_item_tokens, n_matched, start): pairs whose best alignment has percent of the item's tokens.
 
     n_matched is of the best alignment, start the place in the document (in
@@ -59,6 +66,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, masks: tu
     pair while percent is 80 or more. Items shorter than the masks are found if
     their whole sequence occurs; items without tokens, and null texts, match nothing; so do rows and items without an
     id. Rows that repeat an id count as one. Other columns are ignored.
+
+    With part, also pairs that share part of an item: percent of at least part
+    tokens in a row, or percent of the item with tokens inserted or deleted. Then
+    n_matched counts the matches of alignments at most DRIFT apart, and start is
+    of the first of these.
     """
     scratch = Scratch(docs.sparkSession, "overlaps")
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.expr(_tokens(f"`{item_text}`")).alias("b")).where("size(b) > 0 and item_id is not null")
@@ -81,17 +93,39 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, masks: tu
     # verification: only documents with a hit are read again
     few = hits.count() <= MOST
     near = rows.join(F.broadcast(hits) if few else hits, "doc_id").join(items, "item_id").withColumn("h", F.expr(_tokens("text")))
-    aligned = near.select("doc_id", "item_id", "start", F.size("b").alias("n"), F.expr("aggregate(sequence(0, size(b) - 1), 0, (s, k) -> s + case when start + k >= 0 and get(h, start + k) = get(b, k) then 1 else 0 end)").alias("same"))
-    found = aligned.where(f"same * 100 >= n * {percent}")
+    match = F.expr("transform(b, (x, k) -> case when start + k >= 0 and get(h, start + cast(k as int)) = x then 1 else 0 end)")
+    aligned = near.select("doc_id", "item_id", "start", F.size("b").alias("n"), match.alias("m")).withColumn("same", F.expr("aggregate(m, 0, (s, x) -> s + x)"))
+    found = aligned.where(f"same * 100 >= n * {percent}") if part is None else _joined(aligned, percent, part)
     # most matches, then the smallest start, in one number
     code = F.col("same").cast("long") * (1 << 32) + (1 << 31) - F.col("start")
     best = found.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_item_tokens"), F.max(code).alias("code"))
     return best.select("doc_id", "item_id", "n_item_tokens", F.shiftright("code", 32).cast("int").alias("n_matched"), ((1 << 31) - F.col("code").bitwiseAND(F.lit((1 << 32) - 1))).cast("int").alias("start"))
 
 
-def without_overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that hold an item of the benchmark; rows without an id are kept."""
-    bad = overlaps(docs, benchmark, percent, id_=id_, text=text).select(F.col("doc_id").alias(id_)).where(F.col(id_).isNotNull()).distinct()
+def _joined(aligned: DataFrame, percent: int, part: int) -> DataFrame:
+    """The rows (doc_id, item_id, start, n, m, same) from which on an overlap is found, with same of all alignments it joins.
+
+    A match counts if four of five tokens in a row around it match on its
+    alignment. Tokens of the item and of the document count once each, so
+    repeated words don't pass for more.
+    """
+    near5 = "exists(sequence(greatest(k - 4, 0), least(k, greatest(n - 5, 0))), a -> aggregate(slice(m, a + 1, 5), 0, (s, y) -> s + y) * 5 >= 4 * least(n, 5))"
+    sure = aligned.withColumn("v", F.expr(f"filter(sequence(0, n - 1), k -> m[k] = 1 and {near5})")).where(f"size(v) > 0 or same * 100 >= n * {percent}")
+    w = Window.partitionBy("doc_id", "item_id").orderBy("start").rangeBetween(0, DRIFT)
+    both = sure.withColumn("items", F.array_distinct(F.flatten(F.collect_list("v").over(w))))
+    both = both.withColumn("places", F.size(F.array_distinct(F.flatten(F.collect_list(F.expr("transform(v, k -> k + start)")).over(w)))))
+    both = both.withColumn("all", F.greatest("same", F.least(F.size("items"), "places")))
+    whole = f"all * 100 >= n * {percent}"
+    # a stretch begins and ends with a match
+    sums = "aggregate(sequence(0, n - 1), array(0), (s, k) -> concat(s, array(element_at(s, -1) + int(array_contains(items, k)))))"
+    some = f"exists(sequence({part}, n), z -> exists(sequence(0, n - z), a -> sums[a + 1] > sums[a] and sums[a + z] > sums[a + z - 1] and (sums[a + z] - sums[a]) * 100 >= z * {percent}))"
+    both = both.withColumn("sums", F.expr(f"case when n >= {part} and least(size(items), places) * 100 >= {part * percent} then {sums} end"))
+    return both.where(f"{whole} or (sums is not null and case when sums is not null then {some} end)").select("doc_id", "item_id", "start", "n", F.col("all").alias("same"))
+
+
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_: str = "doc_id", text: str = "text", part: int | None = None) -> DataFrame:
+    """docs without those that hold an item of the benchmark (or, with part, that much of one); rows without an id are kept."""
+    bad = overlaps(docs, benchmark, percent, id_=id_, text=text, part=part).select(F.col("doc_id").alias(id_)).where(F.col(id_).isNotNull()).distinct()
     return docs.join(bad, id_, "left_anti").select(docs.columns)
 
 

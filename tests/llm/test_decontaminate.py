@@ -45,3 +45,25 @@ def test_every_pattern_within_the_budget_is_found(spark, n):
     d = spark.createDataFrame([(k, " ".join("x" if i in p else w for i, w in enumerate(words))) for k, p in enumerate(patterns)], "doc_id long, text string")
     b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     assert [(r.doc_id, r.n_matched, r.start) for r in overlaps(d, b).orderBy("doc_id").collect()] == [(k, n - n // 5, 0) for k in range(len(patterns))]
+
+
+def test_parts_of_items_and_moved_tokens(spark):
+    words = [f"w{i}" for i in range(59)]
+    fifteen = ITEM.split()
+    docs = {
+        1: "x y " + " ".join(words[:47]) + " z",  # 79.7 % of the item
+        2: " ".join(words[30:]) + " the item begins before this text",
+        3: "the text ends in the item " + " ".join(words[:20]),
+        4: " ".join(fifteen[:7] + ["inserted"] + fifteen[7:]),
+        5: " ".join(fifteen[:7] + fifteen[8:]),
+        6: " ".join(words[:12]) + " too little",
+        7: " ".join(words[20:33]) + " just enough",
+        8: "a a a a a a",  # an item of one word, repeated
+        9: " ".join(fifteen[8:] + ["and"] + fifteen[:8]),
+        10: " ".join(words[:6] + ["X"] + words[7:10] + ["Y"] + words[11:15]),
+    }
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    b = spark.createDataFrame([(100, " ".join(words)), (101, ITEM), (102, "a " * 15)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_item_tokens, r.n_matched, r.start) for r in overlaps(d, b, part=13).collect()}
+    assert got == {(1, 100): (59, 47, 2), (2, 100): (59, 29, -30), (3, 100): (59, 20, 6), (4, 101): (15, 15, 0), (5, 101): (15, 14, -1), (7, 100): (59, 13, -20), (10, 100): (59, 13, 0)}
+    assert sorted(r.doc_id for r in without_overlaps(d, b, part=13).collect()) == [6, 8, 9]
