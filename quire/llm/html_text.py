@@ -13,7 +13,8 @@ every other subtree that reaches it and has no part in boilerplate joins in.
 Boilerplate (menus, headers, footers, sidebars, notices, adverts, forms,
 comments, scripts, styles) is known by element, role, or the words of id and
 class, and leaves the tree before densities are taken; words alone don't remove
-what holds an h1 or main element. A main node inside an
+what holds an h1 or main element, nor prose inside a main element, and a form
+that holds one of these, an article or most of the text stays. A main node inside an
 article or main element stands for that element. One page is one row: pages
 never meet, so nothing is shuffled.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes template noscript".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("head script style noscript template title nav header footer aside form button select option textarea input fieldset iframe noembed noframes xmp object embed applet canvas svg math audio video map dialog menu".split())
+DROPPED = frozenset("head script style noscript template title nav header footer aside form button select option textarea input fieldset iframe noembed noframes xmp object embed applet canvas svg annotation annotation-xml audio video map dialog menu".split())
 #: An open element of the key closes when one of the values opens in it.
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "head": {"body"}}
 SCOPE = frozenset("table td th ul ol dl div article section main aside body html blockquote".split())
@@ -47,6 +48,8 @@ WORDS = frozenset(
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: Characters from which on a part of a main element outweighs its words, unless half of it is links.
+PROSE = 60
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
@@ -59,12 +62,13 @@ class Node:
 
 
 def _boilerplate(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, bool]:
-    """(leaves the tree, is a main element, leaves it only for a word of its id or class)."""
-    if tag in DROPPED and not (tag == "header" and inside):
+    """(leaves the tree, is a main element, leaves it only for a word of its id or class, or as a form)."""
+    form = tag in ("form", "fieldset")
+    if tag in DROPPED and not form and not (tag == "header" and inside):
         return True, False, False
     main = tag in ("article", "main")
     if not attrs or tag in ("html", "body"):
-        return False, main, False
+        return form, main, form
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -79,7 +83,7 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, bool]:
             return True, False, True
         elif name == "itemprop" and value.lower() == "articlebody":
             main = True
-    return False, main, False
+    return form, main, form
 
 
 def parse(page: str) -> Node:
@@ -134,11 +138,11 @@ def parse(page: str) -> Node:
         while inside is not None and not inside.main:
             inside = inside.up
         drop, main, soft = _boilerplate(name, attrs, inside is not None)
-        if name in ("h1", "main"):
-            # a word in a class doesn't outweigh the title or main element within
+        if name in ("h1", "main", "article"):
+            # a word in a class doesn't outweigh the title or main element within, nor a form an article
             up = node
             while up is not None:
-                up.drop = up.drop and not up.soft
+                up.drop = up.drop and not (up.soft and (name != "article" or up.tag in ("form", "fieldset")))
                 up = up.up
         new = Node(name, node, drop, main, soft)
         node.kids.append(new)
@@ -155,6 +159,38 @@ def parse(page: str) -> Node:
     return root
 
 
+def _rescue(root: Node) -> None:
+    """Keeps prose that only words of an id or class, or a form, would remove."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(k for k in x.kids if k.__class__ is Node and (k.soft or not k.drop))
+    soft = [x for x in order if x.soft and x.drop]
+    if not soft:
+        return
+    for x in reversed(order):
+        x.c = x.lc = 0
+        for k in x.kids:
+            if k.__class__ is not Node:
+                x.c += len(k.strip())
+            elif not k.drop:
+                x.c += k.c
+                x.lc += k.lc
+        if x.tag == "a":
+            x.lc = x.c
+        if x.soft and x.drop and x.tag not in ("form", "fieldset") and x.c >= PROSE and x.lc * 2 < x.c:
+            up = x.up
+            while up is not None and not up.main:
+                up = up.up
+            x.drop = up is None
+    rest = root.c
+    for x in soft:
+        if x.drop and x.tag in ("form", "fieldset") and x.c - x.lc > rest:
+            x.drop = False
+            rest += x.c
+
+
 def _measure(root: Node) -> None:
     """c, t, lc, lt of each node, bottom up, without recursion."""
     order, stack = [], [root]
@@ -225,6 +261,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _rescue(root)
     _measure(root)
     body = next((k for k in root.kids if k.__class__ is Node and k.tag == "body"), root)
     order, stack = [], [body]

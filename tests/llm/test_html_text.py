@@ -27,6 +27,19 @@ def test_the_article_and_nothing_else(page):
     assert main_text(page) == TEXT
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><form id='aspnetForm'><div class='menu'><a href=x>one</a></div><article>{ARTICLE}</article></form>", TEXT),
+        (f"<body><form><div>{ARTICLE}</div></form><div>little</div>", TEXT),
+        (f"<article><p>Start.<section id='discussion'>{ARTICLE}</section><p class='legal'>The court said that the law of the land had to be read in another way.</article>", "Start.\n" + TEXT + "\nThe court said that the law of the land had to be read in another way."),
+        (f"<article>{ARTICLE}<p>Since <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds.</article>", TEXT + "\nSince a=b holds."),
+    ],
+)
+def test_forms_words_and_formulas_keep_prose(page, text):
+    assert main_text(page) == text
+
+
 @pytest.mark.parametrize(("page", "text"), [("", ""), (None, ""), ("just text", "just text"), ("<p>", ""), ("<div>a<div>b", "a\nb"), ("<script>x", ""), ("a < b <i>c</i>", "a < b c"), ("<body><p>one &#x41;&nbsp;two</p>", "one A two"), ("<b>" * 3000 + "deep", "deep"), ("<td>a<td>b", "a\nb"), ("<textarea>no</textarea>yes", "yes")])
 def test_odd_pages(page, text):
     assert main_text(page) == text
