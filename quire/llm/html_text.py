@@ -15,7 +15,8 @@ comments, scripts, styles) is known by element, role, or the words of id and
 class, and leaves the tree before densities are taken; words alone don't remove
 what holds an h1 or main element, nor prose inside a main element, and a form
 that holds one of these, an article or most of the text stays. A main node inside an
-article or main element stands for that element. One page is one row: pages
+article or main element stands for that element, which the page's first
+h1 joins. One page is one row: pages
 never meet, so nothing is shuffled.
 """
 
@@ -113,7 +114,10 @@ def parse(page: str) -> Node:
                 node = x.up
             continue
         if name in ("html", "body"):
-            if name == "body":
+            if name == "body" and at is not root:
+                # a repeated body goes on in the first
+                node = at if node is root else node
+            elif name == "body":
                 while node.up is not None:
                     node = node.up
                 at = Node("body", root)
@@ -156,6 +160,14 @@ def parse(page: str) -> Node:
             continue
         if not attrs.endswith("/") or name not in ("svg", "path", "g", "use", "rect", "circle"):
             node = new
+    if at is not root:
+        # what strays before or after the body is part of it
+        k = root.kids.index(at)
+        at.kids = root.kids[:k] + at.kids + root.kids[k + 1 :]
+        root.kids = [at]
+        for x in at.kids:
+            if x.__class__ is Node:
+                x.up = at
     return root
 
 
@@ -282,20 +294,25 @@ def main_text(page: str | None) -> str:
             best = up
         up = up.up
     chosen = {id(best)}
-    if not best.main:
-        # other subtrees as dense as the path, unless they hold the main one
-        above, x = set(), best
-        while x is not None:
-            above.add(id(x))
-            x = x.up
-        stack = [body]
-        while stack:
-            x = stack.pop()
-            if id(x) in above:
-                if x is not best:
-                    stack.extend(k for k in x.kids if k.__class__ is Node and not k.drop)
-            elif x.density >= threshold > 0 and x.lc * 2 < x.c:
-                chosen.add(id(x))
+    # other subtrees as dense as the path, unless they hold the main one; and the page's title
+    above, x = set(), best
+    while x is not None:
+        above.add(id(x))
+        x = x.up
+    stack = [body]
+    while stack:
+        x = stack.pop()
+        if id(x) in above:
+            if x is not best:
+                stack.extend(k for k in x.kids if k.__class__ is Node and not k.drop)
+        elif x.density >= threshold > 0 and x.lc * 2 < x.c:
+            chosen.add(id(x))
+    title = next((x for x in order if x.tag == "h1"), None) if best.main else None
+    up = title
+    while up is not None and id(up) not in chosen:
+        up = up.up
+    if title is not None and up is None:
+        chosen.add(id(title))
     return _blocks([x for x in order if id(x) in chosen])
 
 

@@ -40,6 +40,19 @@ def test_forms_words_and_formulas_keep_prose(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body><article>{ARTICLE}</article><article>{ARTICLE}</article></body>", TEXT + "\n" + TEXT),
+        (f"<body><div><h1>Title</h1><p>The lead paragraph says in a few more words what the story is all about.</p></div><article>{ARTICLE}</article><div><a href=x>more</a></div></body>", "Title\nThe lead paragraph says in a few more words what the story is all about.\n" + TEXT),
+        (f"<body><h1>Title</h1><ul><li><a href=x>more</a></ul><article>{ARTICLE}</article></body>", "Title\n" + TEXT),
+        (f"<p>Before the body there are words as many as in it.<body>{ARTICLE}<body><p>A second body has words as well as the first.</p></body><p>After the body there are words too, and not so few.</p>", f"Before the body there are words as many as in it.\n{TEXT}\nA second body has words as well as the first.\nAfter the body there are words too, and not so few."),
+    ],
+)
+def test_dense_text_beside_the_article_and_the_body(page, text):
+    assert main_text(page) == text
+
+
 @pytest.mark.parametrize(("page", "text"), [("", ""), (None, ""), ("just text", "just text"), ("<p>", ""), ("<div>a<div>b", "a\nb"), ("<script>x", ""), ("a < b <i>c</i>", "a < b c"), ("<body><p>one &#x41;&nbsp;two</p>", "one A two"), ("<b>" * 3000 + "deep", "deep"), ("<td>a<td>b", "a\nb"), ("<textarea>no</textarea>yes", "yes")])
 def test_odd_pages(page, text):
     assert main_text(page) == text
