@@ -93,7 +93,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, masks: tu
     # verification: only documents with a hit are read again
     few = hits.count() <= MOST
     near = rows.join(F.broadcast(hits) if few else hits, "doc_id").join(items, "item_id").withColumn("h", F.expr(_tokens("text")))
-    match = F.expr("transform(b, (x, k) -> case when start + k >= 0 and get(h, start + cast(k as int)) = x then 1 else 0 end)")
+    match = F.expr("transform(array(h), g -> transform(b, (x, k) -> case when start + k >= 0 and get(g, start + cast(k as int)) = x then 1 else 0 end))[0]")  # the words, once a row
     aligned = near.select("doc_id", "item_id", "start", F.size("b").alias("n"), match.alias("m")).withColumn("same", F.expr("aggregate(m, 0, (s, x) -> s + x)"))
     found = aligned.where(f"same * 100 >= n * {percent}") if part is None else _joined(aligned, percent, part)
     # most matches, then the smallest start, in one number
@@ -109,8 +109,8 @@ def _joined(aligned: DataFrame, percent: int, part: int) -> DataFrame:
     alignment. Tokens of the item and of the document count once each, so
     repeated words don't pass for more.
     """
-    near5 = "exists(sequence(greatest(k - 4, 0), least(k, greatest(n - 5, 0))), a -> aggregate(slice(m, a + 1, 5), 0, (s, y) -> s + y) * 5 >= 4 * least(n, 5))"
-    sure = aligned.withColumn("v", F.expr(f"filter(sequence(0, n - 1), k -> m[k] = 1 and {near5})")).where(f"size(v) > 0 or same * 100 >= n * {percent}")
+    near5 = "exists(sequence(greatest(k - 4, 0), least(k, greatest(n - 5, 0))), a -> aggregate(slice(o, a + 1, 5), 0, (s, y) -> s + y) * 5 >= 4 * least(n, 5))"
+    sure = aligned.withColumn("v", F.expr(f"transform(array(m), o -> filter(sequence(0, n - 1), k -> o[k] = 1 and {near5}))[0]")).where(f"size(v) > 0 or same * 100 >= n * {percent}")
     w = Window.partitionBy("doc_id", "item_id").orderBy("start").rangeBetween(0, DRIFT)
     both = sure.withColumn("items", F.array_distinct(F.flatten(F.collect_list("v").over(w))))
     both = both.withColumn("places", F.size(F.array_distinct(F.flatten(F.collect_list(F.expr("transform(v, k -> k + start)")).over(w)))))
@@ -118,9 +118,8 @@ def _joined(aligned: DataFrame, percent: int, part: int) -> DataFrame:
     whole = f"all * 100 >= n * {percent}"
     # a stretch begins and ends with a match
     sums = "aggregate(sequence(0, n - 1), array(0), (s, k) -> concat(s, array(element_at(s, -1) + int(array_contains(items, k)))))"
-    some = f"exists(sequence({part}, n), z -> exists(sequence(0, n - z), a -> sums[a + 1] > sums[a] and sums[a + z] > sums[a + z - 1] and (sums[a + z] - sums[a]) * 100 >= z * {percent}))"
-    both = both.withColumn("sums", F.expr(f"case when n >= {part} and least(size(items), places) * 100 >= {part * percent} then {sums} end"))
-    return both.where(f"{whole} or (sums is not null and case when sums is not null then {some} end)").select("doc_id", "item_id", "start", "n", F.col("all").alias("same"))
+    some = f"exists(array({sums}), t -> exists(sequence({part}, n), z -> exists(sequence(0, n - z), a -> t[a + 1] > t[a] and t[a + z] > t[a + z - 1] and (t[a + z] - t[a]) * 100 >= z * {percent})))"
+    return both.where(f"{whole} or case when n >= {part} and least(size(items), places) * 100 >= {part * percent} then {some} else false end").select("doc_id", "item_id", "start", "n", F.col("all").alias("same"))
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_: str = "doc_id", text: str = "text", part: int | None = None) -> DataFrame:
