@@ -30,16 +30,24 @@ class Scratch:
     """Tables in the shared folder that the cluster names in spark.checkpoint.dir.
 
     A table written here cuts lineage and survives the loss of executors. Where
-    the setting is unset (tests, one machine), a temporary folder is made and
-    kept as the setting of this session.
+    the setting is unset and the master is local (tests, one machine), a temporary
+    folder is made and kept as the setting of this session; on a cluster, whose
+    machines don't share one, that is an error. Results may still read the tables,
+    so what drop() doesn't delete goes when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = f"file://{tempfile.mkdtemp(prefix='quire-')}"
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path, conf = spark._jvm.org.apache.hadoop.fs.Path(self.root), spark._jsc.hadoopConfiguration()
+        files = path.getFileSystem(conf)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def write(self, df: DataFrame, table: str, by: str | None = None) -> DataFrame:
         path = f"{self.root}/{table}"
@@ -228,7 +236,30 @@ def block_number(serial: int) -> int:
     return TaskContext.get().partitionId() << 32 | serial
 
 
-# ---------------------------------------------------------------- components
+# ---------------------------------------------------------------- hot keys and components
+
+
+def hot_limit(rows: float) -> int:
+    """Rows above which a key counts as hot: at most 100,000 keys are."""
+    return max(1_000, int(rows // 100_000))
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, weight: str, limit: int, how: str = "inner") -> DataFrame:
+    """big joined with small, whose keys are unique and whose column weight says how many rows of big have the key.
+
+    Keys above the limit (of hot_limit, so no more than 100,000) are broadcast, so
+    their rows stay where they are; only the others are shuffled. how: inner or left.
+    A null key of big meets nothing. weight is left out of the result.
+    """
+    hot = small.where(F.col(weight) > limit).drop(weight).withColumn("_hot", F.lit(True))
+    cold = small.where(F.col(weight) <= limit).drop(weight)
+    tried = big.join(F.broadcast(hot), key, "left")
+    found = tried.where("_hot").drop("_hot")
+    left = big.join(F.broadcast(hot.select(key)), key, "left_anti")
+    if how == "inner":
+        return found.unionByName(left.join(cold, key))
+    loose = left.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in cold.schema if f.name != key))
+    return found.unionByName(left.where(F.col(key).isNotNull()).join(cold, key, "left")).unionByName(loose)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
@@ -237,22 +268,27 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     Large-star and small-star rounds (Kiveris et al. 2014) until nothing
     changes; each round is written to the shared folder, so neither lineage nor
     the driver grows. A node's neighbours are never gathered: both stars are a
-    minimum per node (aggregated before the shuffle) and a join back.
-    Null ends and loops are ignored.
+    minimum per node (aggregated before the shuffle) and a join back, in which a
+    node with very many neighbours is broadcast. Null ends and loops are ignored.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     cur, was, rnd = scratch.write(e, f"{name}0"), None, 0
+
+    def back(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+        limit = hot_limit(n)
+        return join_hot(rows, least, "u", "n", limit) if n > limit else rows.join(least.drop("n"), "u")
+
     while True:
         stamp = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if stamp == was:
             break
         was = stamp
-        both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        turned = cur.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        least = cur.select("u", "v").unionAll(turned).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+        large = back(turned, least, stamp[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch.write(large.where("u <> v").distinct(), f"{name}{rnd}L")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = back(large, least, stamp[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         nxt = scratch.write(small.where("u <> v").distinct(), f"{name}{rnd + 1}")
         scratch.drop(f"{name}{rnd}", f"{name}{rnd}L")
         cur, rnd = nxt, rnd + 1
