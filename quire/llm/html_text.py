@@ -5,19 +5,22 @@ LT (of its subtree). Its density is
 
     C / T * log(C / LC * T / LT) / log(ln(C / (C - LC) * LC + LB / CB * C + e))
 
-with LB / CB of the whole body and every zero divisor taken as one. The density
+with LB / CB of the whole body and every zero divisor taken as one (without any
+link on a page, the lower logarithm is such a zero). The density
 sum of a node is the sum over its children. The node with the largest sum is the
 main one; the smallest density on its path up to the body is the threshold, and
 every other subtree that reaches it and has no part in boilerplate joins in.
 
 Boilerplate (menus, headers, footers, sidebars, notices, adverts, forms,
 comments, scripts, styles) is known by element, role, or the words of id and
-class, and leaves the tree before densities are taken; words alone don't remove
-what holds an h1 or main element, nor prose inside a main element, and a form
-that holds one of these, an article or most of the text stays. A main node inside an
+class, and leaves the tree before densities are taken. Words alone don't remove
+what holds an h1 or main element. Words that articles use for parts of their own
+(legal, related, discussion) are only evidence inside a main element: links or a
+scrap of text have to come with them. A form that holds an h1, a main element,
+an article or most of the text stays. A main node inside an
 article or main element stands for that element, which the page's first
-h1 joins. One page is one row: pages
-never meet, so nothing is shuffled.
+h1 joins. One page is one row: pages never meet, so nothing is shuffled; the time
+for a page grows in proportion to its length, however deep its elements nest.
 """
 
 from __future__ import annotations
@@ -47,108 +50,152 @@ WORDS = frozenset(
     "comment comments commentlist disqus respond replies discussion reactions "
     "share sharing social related recommended recommendations trending pagination pager skip search legal copyright disclaimer".split()
 )
+#: Of these, words that an article may use for a part of its own.
+PARTS = frozenset("discussion related legal copyright disclaimer search social rail share sharing promotion overlay recommended recommendations trending reactions".split())
+_CELLS = frozenset("td th tr thead tbody".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-#: Characters from which on a part of a main element outweighs its words, unless half of it is links.
+#: Characters from which on a part of a main element outweighs its words, unless half of it is links; below, it must be a sentence.
 PROSE = 60
+_SENTENCE = re.compile(r"(?:\S+\s+){3,}\S+[.!?…][\"'”’»)]*\s*$")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("c", "density", "drop", "kids", "lc", "lt", "main", "soft", "sum", "t", "tag", "up")
+    __slots__ = ("c", "density", "drop", "freed", "inside", "kids", "lc", "lt", "main", "part", "soft", "sum", "t", "tag", "up")
 
-    def __init__(self, tag: str, up: Node | None = None, drop: bool = False, main: bool = False, soft: bool = False):
-        self.tag, self.up, self.drop, self.main, self.soft, self.kids = tag, up, drop, main, soft, []
+    def __init__(self, tag: str, up: Node | None = None, drop: bool = False, main: bool = False, soft: bool = False, part: bool = False):
+        self.tag, self.up, self.drop, self.main, self.soft, self.part, self.kids = tag, up, drop, main, soft, part, []
+        self.inside = up is not None and (up.inside or up.main)
+        self.freed = 0
 
 
-def _boilerplate(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, bool]:
-    """(leaves the tree, is a main element, leaves it only for a word of its id or class, or as a form)."""
+def _boilerplate(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, bool, bool]:
+    """(leaves the tree, is a main element, leaves it only for a word of its id or class or as a form, has only words of PARTS)."""
     form = tag in ("form", "fieldset")
     if tag in DROPPED and not form and not (tag == "header" and inside):
-        return True, False, False
+        return True, False, False, False
     main = tag in ("article", "main")
     if not attrs or tag in ("html", "body"):
-        return form, main, form
+        return form, main, form, False
+    said: set[str] = set()
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, False, False
+            return True, False, False, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False, False
+            return True, False, False, False
         if name == "role":
             if value.lower() in ROLES:
-                return True, False, False
+                return True, False, False, False
             main = main or value.lower() in ("main", "article")
-        elif name in ("id", "class") and not main and not WORDS.isdisjoint(_SPLIT.split(_CAMEL.sub(" ", value).lower())):
-            return True, False, True
+        elif name in ("id", "class") and not main:
+            said |= WORDS.intersection(_SPLIT.split(_CAMEL.sub(" ", value).lower()))
         elif name == "itemprop" and value.lower() == "articlebody":
             main = True
-    return form, main, form
+    if said and tag not in ("article", "main"):
+        return True, False, True, said <= PARTS and not form
+    return form, main, form, False
+
+
+class _Open:
+    """The elements that are open, and where on the stack each tag, each scope, and each that others close is."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.scopes, self.gates = [root], {}, [0], [0]
+
+    def push(self, x: Node) -> None:
+        k = len(self.stack)
+        self.stack.append(x)
+        self.at.setdefault(x.tag, []).append(k)
+        if x.tag in SCOPE:
+            self.scopes.append(k)
+        if x.tag in SCOPE or x.tag in CLOSES:
+            self.gates.append(k)
+
+    def close(self, k: int) -> None:
+        """Closes what is open from place k on."""
+        while len(self.stack) > k:
+            x = self.stack.pop()
+            self.at[x.tag].pop()
+            if x.tag in SCOPE:
+                self.scopes.pop()
+            if x.tag in SCOPE or x.tag in CLOSES:
+                self.gates.pop()
+
+    def end(self, tag: str) -> None:
+        places = self.at.get(tag)
+        if places and (tag in BLOCK or places[-1] >= self.scopes[-1]):
+            self.close(places[-1])
+
+    def begin(self, tag: str) -> None:
+        """Closes what an element of this tag closes as it opens."""
+        k = len(self.stack) - 1
+        while k:
+            x = self.stack[k]
+            if tag in CLOSES.get(x.tag, ()):
+                self.close(k)
+                if x.tag not in _CELLS or tag == x.tag:
+                    return
+                k -= 1
+                continue
+            if x.tag in SCOPE or tag not in BLOCK:
+                return
+            # the gates are few: closed by their own kind, or by any block
+            g = len(self.gates) - 1
+            while self.gates[g] >= k:
+                g -= 1
+            k = self.gates[g]
 
 
 def parse(page: str) -> Node:
     """A lenient DOM: unclosed p, li, cells and formatting close where HTML closes them; stray ends are ignored."""
     root = Node("html")
-    at, node, pos, n = root, root, 0, len(page)
-    inside = 0
+    at, open_, pos, n = root, _Open(root), 0, len(page)
+    stack = open_.stack
+    last = page.rfind(">")
     while pos < n:
-        m = _TOKEN.search(page, pos)
+        m = _TOKEN.search(page, pos) if pos <= last or "<!--" in page[pos:] else None
         if m is None:
-            node.kids.append(page[pos:])
+            stack[-1].kids.append(page[pos:])
             break
         if m.start() > pos:
-            node.kids.append(page[pos : m.start()])
+            stack[-1].kids.append(page[pos : m.start()])
         pos = m.end()
         name = m[3] or m[6]
         if name is None:
             if m[1] is not None:
-                node.kids.append(m[1])
+                stack[-1].kids.append(m[1])
             continue
         name, close, attrs = name.lower(), m[2] or m[5], m[4] or m[7] or ""
         if close:
-            x = node
-            while x is not None and x.tag != name:
-                x = None if name not in BLOCK and x.tag in SCOPE else x.up
-            if x is not None and x is not root:
-                node = x.up
+            open_.end(name)
             continue
-        if name in ("html", "body"):
-            if name == "body" and at is not root:
-                # a repeated body goes on in the first
-                node = at if node is root else node
-            elif name == "body":
-                while node.up is not None:
-                    node = node.up
+        if name == "html":
+            continue
+        if name == "body":
+            if at is root:
+                open_.close(1)
                 at = Node("body", root)
                 root.kids.append(at)
-                node = at
+                open_.push(at)
+            elif len(stack) == 1:
+                open_.push(at)  # a repeated body goes on in the first
             continue
-        x = node
-        while x is not root and x.tag not in SCOPE or x.tag in CLOSES and name in CLOSES[x.tag]:
-            if x.tag in CLOSES and name in CLOSES[x.tag]:
-                node = x.up
-                if x.tag in ("td", "th", "tr", "thead", "tbody") and name != x.tag:
-                    x = node
-                    continue
-                break
-            if name not in BLOCK or x.up is None:
-                break
-            x = x.up
+        open_.begin(name)
+        node = stack[-1]
         if name in VOID:
             node.kids.append(Node(name, node, name in DROPPED))
             continue
-        inside = node
-        while inside is not None and not inside.main:
-            inside = inside.up
-        drop, main, soft = _boilerplate(name, attrs, inside is not None)
+        drop, main, soft, part = _boilerplate(name, attrs, node.inside or node.main)
         if name in ("h1", "main", "article"):
             # a word in a class doesn't outweigh the title or main element within, nor a form an article
-            up = node
-            while up is not None:
+            up, rank = node, 1 if name == "article" else 2
+            while up is not None and up.freed < rank:
                 up.drop = up.drop and not (up.soft and (name != "article" or up.tag in ("form", "fieldset")))
-                up = up.up
-        new = Node(name, node, drop, main, soft)
+                up.freed, up = rank, up.up
+        new = Node(name, node, drop, main, soft, part)
         node.kids.append(new)
         if name in RAW:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(page, pos)
@@ -159,7 +206,7 @@ def parse(page: str) -> Node:
                 pos = n if gt < 0 else gt + 1
             continue
         if not attrs.endswith("/") or name not in ("svg", "path", "g", "use", "rect", "circle"):
-            node = new
+            open_.push(new)
     if at is not root:
         # what strays before or after the body is part of it
         k = root.kids.index(at)
@@ -172,7 +219,7 @@ def parse(page: str) -> Node:
 
 
 def _rescue(root: Node) -> None:
-    """Keeps prose that only words of an id or class, or a form, would remove."""
+    """Keeps parts of an article that only words of an id or class would remove, and forms that hold most of the text."""
     order, stack = [], [root]
     while stack:
         x = stack.pop()
@@ -191,11 +238,8 @@ def _rescue(root: Node) -> None:
                 x.lc += k.lc
         if x.tag == "a":
             x.lc = x.c
-        if x.soft and x.drop and x.tag not in ("form", "fieldset") and x.c >= PROSE and x.lc * 2 < x.c:
-            up = x.up
-            while up is not None and not up.main:
-                up = up.up
-            x.drop = up is None
+        if x.part and x.drop and x.inside and x.lc * 2 < x.c:
+            x.drop = x.c < PROSE and not _SENTENCE.search(_blocks(x.kids))
     rest = root.c
     for x in soft:
         if x.drop and x.tag in ("form", "fieldset") and x.c - x.lc > rest:
@@ -203,6 +247,12 @@ def _rescue(root: Node) -> None:
             rest += x.c
 
 
+def density(c: int, t: int, lc: int, lt: int, rate: float) -> float:
+    """The composite density of c characters and t tags, of which lc and lt in links; rate: the body's link characters a character."""
+    base = math.log(math.log(c / max(c - lc, 1) * lc + rate * c + math.e))
+    return c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / (base or 1.0)
+
+
 def _measure(root: Node) -> None:
     """c, t, lc, lt of each node, bottom up, without recursion."""
     order, stack = [], [root]
@@ -231,9 +281,7 @@ def _measure(root: Node) -> None:
         if not x.c:
             x.density = 0.0
             continue
-        base = math.log(x.c / max(x.c - x.lc, 1) * x.lc + rate * x.c + math.e)
-        top = x.c / max(x.lc, 1) * max(x.t, 1) / max(x.lt, 1)
-        x.density = x.c / max(x.t, 1) * max(math.log(max(top, 1e-9)), 0.0) / max(math.log(base + math.e - 1), 1e-9)
+        x.density = density(x.c, x.t, x.lc, x.lt, rate)
     for x in order:
         x.sum = sum(k.density for k in x.kids if k.__class__ is Node and not k.drop)
 

@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import math
+import random
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from quire.llm import html_text as H
 from quire.llm.html_text import extract_text, main_text
 
 ARTICLE = "<p>The first paragraph of the story has quite some words in it.<p>The <b>second</b> one follows<br>it &amp; has &eacute;ven more words than the first one had.</p>"
@@ -70,3 +75,59 @@ def test_rows(spark):
     got = sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in extract_text(pages).collect())
     assert got == [(0, "", "", 0), (1, "u", TEXT, len(TEXT)), (1, "u", TEXT, len(TEXT)), (2, "v", ("word " * 60000).strip(), 299999)]
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_parts_of_an_article_stay_whatever_their_class():
+    page = (
+        '<body><nav>x</nav><article><h1>T</h1><p>First.</p><div class="related-work"><p>Others did it too.</p></div><section id="legal"><p>The law says so.</p></section>'
+        '<div class="share"><a href="x">Share</a></div><div class="related"><a href="y">More of the same kind, and more, and more, and more, and more</a></div>'
+        '<div class="comments"><p>I, a reader, do not agree with any of this, and I say so at some length here.</p></div></article></body>'
+    )
+    assert H.main_text(page) == "T\nFirst.\nOthers did it too.\nThe law says so."
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<span>" * 50_000 + "<hr>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<article>" * 50_000 + "a", '<div class="legal">' * 30_000 + "x", '<a "' * 50_000, "<p><b>" * 50_000])
+def test_time_in_proportion_to_length(page):
+    began = time.perf_counter()
+    H.main_text(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_densities_by_their_definition():
+    rng = random.Random(7)
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["div", "p", "a", "span", "section"])
+            out.append(rng.choice(["", "some words here ", "x"]))
+            if depth:
+                out.append(f"<{tag}>{tree(depth - 1) if tag not in ('a', 'p') else 'linked text'}</{tag}>")
+        return "".join(out)
+
+    def numbers(x):
+        kids = [k for k in x.kids if not isinstance(k, str)]
+        below = [numbers(k) for k in kids]
+        c = sum(len(k.strip()) for k in x.kids if isinstance(k, str)) + sum(b[0] for b in below)
+        t = len(kids) + sum(b[1] for b in below)
+        lc = c if x.tag == "a" else sum(b[2] for b in below)
+        lt = t if x.tag == "a" else sum(b[3] for b in below) + sum(k.tag == "a" for k in kids)
+        return c, t, lc, lt
+
+    for _ in range(60):
+        root = H.parse(f"<body>{tree(3)}</body>")
+        H._measure(root)
+        body = root.kids[0]
+        bc, _, blc, _ = numbers(body)
+        stack = [body]
+        while stack:
+            x = stack.pop()
+            c, t, lc, lt = numbers(x)
+            one = lambda v: v or 1
+            want = 0.0
+            if c:
+                low = math.log(math.log(c / one(c - lc) * lc + blc / one(bc) * c + math.e))
+                want = c / one(t) * math.log(c / one(lc) * one(t) / one(lt)) / one(low)
+            kids = [k for k in x.kids if not isinstance(k, str)]
+            assert math.isclose(x.density, want, abs_tol=1e-9) and math.isclose(x.sum, sum(k.density for k in kids), abs_tol=1e-9)
+            stack += kids
