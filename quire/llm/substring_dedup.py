@@ -33,12 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, block_number, grouped_batches, lean_memory, mixed, pack, unpack, utf8
+from .common import Scratch, block_number, grouped_batches, lean_memory, mixed, pack, partitions_for, unpack, utf8
 
 BLOCK = 4 << 20
 #: Bytes of a shard, and of one suffix array.
 SHARD = 3 << 20
 ARRAY = 3 << 20
+#: Bytes of text whose anchors are taken at once; longer documents are cut there, with the windows across the cut.
+SLICE = 1 << 20
+#: Bytes of payload that a task opens in all.
+TASK = 48 << 20
 #: Documents above which the windows of an anchor travel one by one.
 HOT = 4096
 _BASE = 0x9E3779B97F4A7C15
@@ -92,7 +96,7 @@ def runs(raw: np.ndarray, start: np.ndarray, length: np.ndarray, width: int, gra
             done += k
     del parts
     v = mixed(v)
-    bits = np.uint64(n.bit_length())
+    bits = np.uint64((2 * SLICE).bit_length())  # the same for every slice, so that equal windows have equal anchors
     v = (v >> bits << bits) | np.arange(len(v), dtype=np.uint64)
     k = 1
     while 2 * k <= span:
@@ -313,15 +317,21 @@ def _to_blocks(id_: str, text: str, width: int, gram: int):
     return run
 
 
-def _in_slices(raw, start, length, width, gram, most: int = 1 << 20):
-    """runs() of some documents at a time: its arrays take sixty bytes for each byte of text."""
+def _in_slices(raw, start, length, width, gram, most: int = SLICE):
+    """runs() of some documents at a time: its arrays take sixty bytes for each byte of text. A longer document is cut."""
     out, lo = [], 0
     end = start + length
     while lo < len(start):
         hi = max(lo + 1, int(np.searchsorted(end, start[lo] + most, "right")))
         base = start[lo]
-        f, m, a, d = runs(raw[base : end[hi - 1]], start[lo:hi] - base, length[lo:hi], width, gram)
-        out.append((f + base, m, a + base, d + lo))
+        if hi > lo + 1 or length[lo] <= most:
+            f, m, a, d = runs(raw[base : end[hi - 1]], start[lo:hi] - base, length[lo:hi], width, gram)
+            out.append((f + base, m, a + base, d + lo))
+        else:
+            for at in range(0, int(length[lo]), most):
+                piece = raw[base + at : min(base + at + most + width - 1, end[lo])]
+                f, m, a, d = runs(piece, np.zeros(1, np.int64), np.array([len(piece)]), width, gram)
+                out.append((f + base + at, m, a + base + at, d + lo))
         lo = hi
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
@@ -531,45 +541,49 @@ def _removed(width: int, gram: int, shards: int, schema: pa.Schema):
             whole = np.logical_or.reduceat(kept[s:e], lead)
             texts.append(part[np.repeat(whole, np.diff(np.append(lead, e - s)))].tobytes().decode())
         t = pa.ipc.open_stream(b.others).read_all()
-        more = {"kept_text": pa.array(texts, pa.string()), "n_bytes": pa.array(b.length), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array(digests, pa.string())}
-        return pa.table([t.column(f.name).cast(f.type) if f.name in t.column_names else more[f.name] for f in schema], schema=schema)
+        more = [pa.array(texts, pa.string()), pa.array(b.length), pa.array(removed), pa.array(spans), pa.array(digests, pa.string())]
+        keep = len(schema) - len(more)  # the columns of the input that stay come first
+        return pa.table([t.column(f.name).cast(f.type) for f in list(schema)[:keep]] + more, schema=schema)
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, width: int = 50, gram: int = 26, id_: str = "doc_id", text: str = "text", hot: int = HOT, shard: int = SHARD, array: int = ARRAY) -> DataFrame:
-    """The columns of docs without the text, and kept_text, n_bytes, n_removed, n_spans, kept_sha256: a row for each.
+#: The columns that are added: the text that remains, its bytes before, bytes removed, removed runs, digest of the remaining bytes.
+ADDED = ("kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def dedup_substrings(docs: DataFrame, width: int = 50, gram: int = 26, id_: str = "doc_id", text: str = "text", hot: int = HOT, shard: int = SHARD, array: int = ARRAY, added: tuple[str, ...] = ADDED) -> DataFrame:
+    """The columns of docs without the text, and those of `added`: a row for each.
 
     kept_sha256 is of the remaining bytes; kept_text leaves whole any character
     that is removed in part. A null text is empty. Rows without an id are neither
     searched nor found. Rows that repeat an id aren't earlier than each other.
-    Other columns stay as they are, but must not have the names added here.
+    Other columns stay as they are, but one with a name of `added` gives way to
+    the new column; choose other names to keep it. No rows give no rows.
     """
     spark: SparkSession = docs.sparkSession
-    added = ("kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    if set(added) & set(docs.columns):
-        raise ValueError(f"the columns {added} are added here")
     if not 9 <= gram < width <= 255:
         raise ValueError("9 <= gram < width <= 255")
     scratch = Scratch(spark, "substrings")
-    rows = docs.withColumn(text, F.col(text).cast("string")).withColumn(id_, F.col(id_).cast("long"))
+    rows = docs.drop(*(c for c in added if c not in (id_, text))).withColumn(text, F.col(text).cast("string")).withColumn(id_, F.col(id_).cast("long"))
     blocks = scratch.write(rows.mapInArrow(_to_blocks(id_, text, width, gram), "block long, size long, payload binary"), "blocks")
     total = int(blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0])
     shards = max(spark.sparkContext.defaultParallelism, -(-total // shard))
     ranges = max(spark.sparkContext.defaultParallelism, -(-total // (4 * shard)))
-    flags = blocks.mapInArrow(_anchors(width, gram, ranges), _PART).groupBy("key").applyInArrow(_answers(hot), _PART)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), partitions_for(spark, total, TASK))
+    flags = blocks.mapInArrow(_anchors(width, gram, ranges), _PART).repartition(tasks, "key").groupBy("key").applyInArrow(_answers(hot), _PART)
     flags = scratch.write(flags, "flags")
     both = blocks.select(F.lit(-1).cast("long").alias("key"), "block", "payload").unionAll(flags)
-    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = both.repartition(wide, "block")
+    both = both.repartition(tasks, "block")
     strings = both.groupBy("block").applyInArrow(_to_shards(width, gram, shards), _PART)
-    least = strings.groupBy("key").applyInArrow(_in_shard(width, gram, array), _PART)
+    least = strings.repartition(tasks, "key").groupBy("key").applyInArrow(_in_shard(width, gram, array), _PART)
     kept = rows.drop(text).schema
-    out = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    kinds = ("string", "long", "long", "long", "string")
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{c}` {k}" for c, k in zip(added, kinds, strict=True)])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = pa.schema([*to_arrow_schema(kept), ("kept_text", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    return both.groupBy("block").cogroup(least.groupBy("block")).applyInArrow(_removed(width, gram, shards, arrow), out)
+    arrow = pa.schema([*to_arrow_schema(kept), *((c, pa.string() if k == "string" else pa.int64()) for c, k in zip(added, kinds, strict=True))])
+    return both.groupBy("block").cogroup(least.repartition(tasks, "block").groupBy("block")).applyInArrow(_removed(width, gram, shards, arrow), out)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

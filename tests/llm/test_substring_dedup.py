@@ -51,11 +51,9 @@ def test_bytes_removed(spark, hot, shard, array):
     assert all(r.kept_text == (by[r.doc_id] or "") for r in got if r.n_removed == 0 and r.doc_id is not None and r.doc_id != rows[0][0])
 
 
-def test_no_rows_and_clashing_names(spark):
+def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert S.dedup_substrings(none).count() == 0
-    with pytest.raises(ValueError, match="added here"):
-        S.dedup_substrings(none.selectExpr("*", "1 as n_bytes"))
 
 
 @settings(max_examples=60, deadline=None)
@@ -80,3 +78,24 @@ def test_binary_search_merges_arrays():
     doc = rng.permutation(50)
     one = S.shard_minimum(text, begin, size, doc, 20, 1 << 20)
     assert (one == S.shard_minimum(text, begin, size, doc, 20, 300)).all()
+
+
+def test_a_long_document_is_cut_without_a_trace():
+    rng = np.random.default_rng(5)
+    raw = rng.integers(97, 101, 9000).astype(np.uint8)
+    start, length = np.array([0, 10, 7010, 7030]), np.array([10, 7000, 20, 1970])
+
+    def each(most):
+        first, many, anchor, doc = S._in_slices(raw, start, length, 50, 26, most)
+        window = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return sorted(zip(window.tolist(), np.repeat(anchor, many).tolist(), np.repeat(doc, many).tolist(), strict=True))
+
+    assert each(1 << 20) == each(500) == each(333) and len(each(333)) == 7000 - 49 + 1970 - 49
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a" * 60, 5, "x"), (2, "a" * 60, 6, "y")], "doc_id long, text string, n_bytes long, kept_text string")
+    got = {r.doc_id: r for r in S.dedup_substrings(docs).collect()}
+    assert (got[2].n_bytes, got[2].kept_text) == (60, "") and len(got[2]) == 6
+    other = S.dedup_substrings(docs, added=("t", "b", "r", "s", "h")).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.kept_text, r.t, r.b) for r in other] == [(5, "x", "a" * 60, 60), (6, "y", "", 60)]
