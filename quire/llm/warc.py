@@ -22,6 +22,7 @@ file system but Spark's is needed.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, block_number
+from .common import Scratch, block_number, hot_limit, join_hot
 
 #: Payload bytes after which an archive is closed.
 ARCHIVE_BYTES = 8 << 20
@@ -46,17 +47,22 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def members(content: bytes) -> Iterator[bytes]:
-    """The gzip members of an archive, or the archive itself if it isn't compressed."""
+def members(content: bytes) -> Iterator[tuple[bytes, str]]:
+    """The gzip members of an archive, or the archive itself if it isn't compressed, each with what is wrong with it (mostly '')."""
     if content[:2] != b"\x1f\x8b":
-        yield content
+        yield content, ""
         return
     while content[:2] == b"\x1f\x8b":
         z = zlib.decompressobj(31)
-        data = z.decompress(content) + z.flush()
+        try:
+            data = z.decompress(content) + z.flush()
+        except zlib.error as e:
+            yield content, f"a gzip member can't be read: {e}"
+            return
         if not z.eof:
-            raise ValueError("the last gzip member is cut off")
-        yield data
+            yield data, "the last gzip member is cut off"
+            return
+        yield data, ""
         content = z.unused_data
 
 
@@ -78,9 +84,15 @@ def read_arc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields of the record line, block) of each record after the version block.
 
     Lines are split from the right, since a URL of an old crawl may hold spaces.
+    What can't be read gives a record whose only field is error, with the bytes it
+    had; since nothing says where the next record begins, the member (the archive,
+    if it isn't compressed) ends there.
     """
     fields: list[str] | None = None
-    for data in members(content):
+    for data, fault in members(content):
+        if fault:
+            yield {"error": fault}, data
+            continue
         at = 0
         while at < len(data):
             if data[at : at + 1] in b"\r\n":
@@ -88,21 +100,34 @@ def read_arc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                 continue
             end = data.find(b"\n", at)
             if end < 0:
-                raise ValueError("an ARC record line has no end")
+                yield {"error": "an ARC record line has no end"}, data[at:]
+                break
             line = data[at:end].decode("utf-8", "replace").rstrip("\r")
-            size = int(line.rpartition(" ")[2])
+            said = line.rpartition(" ")[2]
+            if not (said.isascii() and said.isdigit()):
+                yield {"error": f"an ARC record line declares no length: {line[:200]}"}, data[at:]
+                break
+            size = int(said)
             block = data[end + 1 : end + 1 + size]
             if len(block) < size:
-                raise ValueError("an ARC record is shorter than it declares")
+                yield {"error": "an ARC record is shorter than it declares"}, data[at:]
+                break
             at = end + 1 + size
             if fields is None:
                 lines = block.decode("utf-8", "replace").split("\n")
-                version = int(lines[0].split(" ")[0])
-                if version not in ARC_FIELDS:
-                    raise ValueError(f"unknown ARC version {version}")
-                fields = lines[1].strip().split(" ") if len(lines) > 1 and lines[1].strip() else ARC_FIELDS[version].split(" ")
+                version = lines[0].split(" ")[0]
+                if version not in ("1", "2"):
+                    yield {"error": f"unknown ARC version {version[:20]}"}, block
+                    fields = []
+                else:
+                    fields = lines[1].strip().split(" ") if len(lines) > 1 and lines[1].strip() else ARC_FIELDS[int(version)].split(" ")
                 continue
-            yield dict(zip(fields, line.rsplit(" ", len(fields) - 1), strict=True)), block
+            parts = line.rsplit(" ", len(fields) - 1) if fields else []
+            found = dict(zip(fields, parts, strict=False))
+            if len(parts) != len(fields) or not {"URL", "Archive-date", "Content-type"} <= found.keys() or not re.fullmatch(r"[0-9]{8}|[0-9]{12}|[0-9]{14}", found["Archive-date"]):
+                yield {"error": f"an ARC record line doesn't have the fields of its version: {line[:200]}"}, block
+                continue
+            yield found, block
 
 
 def http_block(block: bytes) -> tuple[dict[str, str], bytes]:
@@ -147,8 +172,8 @@ def _archive(name: str, parts: list[bytes]) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- conversion
 
-_RECORDS = "page_id long, url string, record_id string, date string, content_type string, payload_bytes long, digest string, payload binary"
-_RECORDS_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("payload", pa.binary())])
+_RECORDS = "page_id long, url string, record_id string, date string, content_type string, payload_bytes long, digest string, payload binary, error string"
+_RECORDS_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
 
 
 def iso_date(d: str) -> str:
@@ -158,19 +183,28 @@ def iso_date(d: str) -> str:
 
 
 def convert(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """A row for each record of ARC archives (a DataFrame with a binary column content)."""
+    """A row for each record of ARC archives (a DataFrame with a binary column content).
+
+    A record that can't be read, and a null or empty archive's rest, is a row with
+    an error and its bytes as payload; the other records of the archive stay.
+    """
 
     def run(batches):
         for b in batches:
             for content in b.column(0):
                 rows = []
                 size = 0
-                for fields, block in read_arc(content.as_py()):
-                    head, body = http_block(block)
+                for fields, block in read_arc(content.as_py() or b""):
+                    fault = fields.get("error")
+                    head, body = ({}, block) if fault else http_block(block)
                     digest = hashlib.sha256(body).hexdigest()
+                    if fault:
+                        rows.append((None, None, None, None, None, len(body), digest, body if with_payload else None, fault))
+                        continue
                     page = head.get("x-page-id")
+                    page = page if page is not None and re.fullmatch(r"-?[0-9]{1,18}", page) else None
                     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{fields['URL']} {fields['Archive-date']} {digest} {page}")
-                    rows.append((None if page is None else int(page), head.get("x-url"), f"<urn:uuid:{name}>", iso_date(fields["Archive-date"]), fields["Content-type"], len(body), digest, body if with_payload else None))
+                    rows.append((None if page is None else int(page), head.get("x-url"), f"<urn:uuid:{name}>", iso_date(fields["Archive-date"]), fields["Content-type"], len(body), digest, body if with_payload else None, None))
                     size += len(body) * with_payload
                     if size > 2 << 20 or len(rows) > 2000:
                         yield _batch(rows, _RECORDS_ARROW)
@@ -185,28 +219,31 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def write_warc(archives: DataFrame, scratch: Scratch, least: int = 100) -> DataFrame:
+def write_warc(archives: DataFrame, scratch: Scratch, least: int = 100, most: int = 32 << 20) -> DataFrame:
     """ARC archives to WARC archives with revisits.
 
     First the digests alone are grouped (counted before the shuffle); only those
-    of more than one record are kept. That table joins the records, with their
-    payloads, as Spark sees fit for its size. Rows that repeat the smallest id of
-    a payload are responses too.
+    of more than one record are kept. While that table is small it is broadcast to
+    the records; beyond `most` bytes the records go to it, with their payloads,
+    but those of the most frequent digests, which are broadcast in any case.
+    Rows that repeat the smallest id of a payload are responses too; a revisit
+    refers to the record of the first of them. Records with an error are left out.
     """
-    seen = convert(archives, with_payload=False).where(F.col("payload_bytes") >= least)
-    same = seen.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("page_id", "record_id")).alias("first"), F.min("page_id").alias("low"))
-    same = same.where("n > 1").select("digest", F.col("low").alias("first_page"))
+    seen = convert(archives, with_payload=False).where(F.col("error").isNull() & (F.col("payload_bytes") >= least))
+    same = seen.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id"))).alias("first"))
+    same = same.where("n > 1 and first is not null").select("digest", "n", F.col("first.page_id").alias("first_page"), F.col("first.record_id").alias("first_record"))
     same = scratch.write(same, "equal")
-    rows = convert(archives)
-    few = same.count() * 100 <= 32 << 20  # a digest and a number: under 32 MB in all
-    joined = rows.join(F.broadcast(same) if few else same, "digest", "left")
+    rows = convert(archives).where(F.col("error").isNull()).drop("error")
+    n_same, n_rows = same.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
+    # a digest, a number and a record id: 200 bytes
+    joined = rows.join(F.broadcast(same.drop("n")), "digest", "left") if n_same * 200 <= most else join_hot(rows, same, "digest", "n", hot_limit(n_rows), "left")
     kind = F.when(F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page")) & (F.col("payload_bytes") >= least), "revisit").otherwise("response")
-    out = joined.withColumn("kind", kind).select("page_id", "url", "record_id", "date", "content_type", "payload_bytes", "digest", "kind", "first_page", F.when(F.col("kind") == "response", F.col("payload")).alias("payload"))
+    out = joined.withColumn("kind", kind).select("page_id", "url", "record_id", "date", "content_type", "payload_bytes", "digest", "kind", "first_page", "first_record", F.when(F.col("kind") == "response", F.col("payload")).alias("payload"))
 
     def run(batches):
         serial, parts, size, made = 0, [], 0, ""
         for b in batches:
-            for page, url, rid, date, mime, n, digest, kind, first, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page, url, rid, date, mime, n, digest, kind, first, record, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if not parts:
                     made = f"quire-{block_number(serial):016d}.warc"
                     parts = [_warc_record("warcinfo", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, made)}>", date, "application/warc-fields", [], b"software: quire\r\nformat: WARC File Format 1.1\r\n")]
@@ -215,7 +252,7 @@ def write_warc(archives: DataFrame, scratch: Scratch, least: int = 100) -> DataF
                 if page is not None:
                     more.append(("X-Page-Id", str(page)))
                 if kind == "revisit":
-                    more += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", str(first))]
+                    more += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record), ("X-Refers-To-Page-Id", str(first))]
                 parts.append(_warc_record(kind, rid, date, "application/http; msgtype=response", more, head + (payload or b"")))
                 size += len(parts[-1])
                 if size >= ARCHIVE_BYTES:
@@ -233,7 +270,9 @@ def _warc_record(kind: str, rid: str, date: str, content_type: str, more: list[t
 
 
 def read_warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    for data in members(content):
+    for data, fault in members(content):
+        if fault:
+            raise ValueError(fault)
         at = 0
         while at < len(data):
             end = data.find(b"\r\n\r\n", at)
