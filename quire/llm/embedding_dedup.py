@@ -13,7 +13,9 @@ up to 1,024 components at a time.
 Vectors are dealt into tiles: by the nearest of a bounded sample of pivots, and
 within one pivot by hash into tiles of at most about `tile` rows. A pair of
 tiles whose cones (centre and widest angle) lie farther apart than the
-threshold is skipped; every other pair is one task's work. Links are never
+threshold is skipped; every other pair is one task's work. The cones are
+compared in groups, pair of groups by pair of groups, and which pairs of tiles are
+left is a table as well: the driver only knows how many tiles there are. Links are never
 listed: a task returns a count for each row and, as edges, one spanning forest.
 """
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, mixed, pack, unpack
 
+#: Tiles whose cones are compared as a group.
+GROUP = 512
 _SLACK = 1e-9  # rounding of the bounds themselves, far above what doubles lose
 
 
@@ -46,6 +50,16 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum((a[:, i : i + 1024] @ b[:, i : i + 1024].T).astype(np.float64) for i in range(0, a.shape[1], 1024))
 
 
+def _in_range(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares would over- or underflow, times a power of two, which changes no digit of a cosine."""
+    top = np.abs(x).max(1, initial=0)
+    off = np.flatnonzero((top > 1e100) | (top < 1e-100))
+    if len(off):
+        x = x.copy()
+        x[off] = np.ldexp(x[off], -np.frexp(top[off])[1][:, None])
+    return x
+
+
 def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (smallest index) after adding the edges a-b."""
     while True:
@@ -65,7 +79,7 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links within x, or between x and y (rows of any length but zero): counts of x's and y's rows, and labels over both."""
     same = y is None
-    both = x if same else np.concatenate([x, y])
+    both = _in_range(x if same else np.concatenate([x, y]))
     norm = np.sqrt((both * both).sum(1))
     q, s, e = quantised(both / norm[:, None])
     n, m = len(x), len(both)
@@ -102,17 +116,9 @@ def _valid(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.nan_to_num(np.array([0 if x is None else x for x in pa.compute.list_value_length(col).to_pylist()], float)).astype(np.int64)
     flat = np.asarray(col.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), float)
     start = np.cumsum(size) - size
-    good = np.isfinite(flat)
-    total = np.append(0, np.cumsum(np.where(good, flat * flat, 0)))
-    bad = np.append(0, np.cumsum(~good))
-    ok = (size > 0) & (bad[start + size] == bad[start])
-    length = np.zeros(len(size))
-    for d in np.unique(size[ok]).tolist():
-        rows = np.flatnonzero(ok & (size == d))
-        v = flat[start[rows][:, None] + np.arange(d)]
-        length[rows] = np.sqrt((v * v).sum(1))
-    del total
-    return flat, size, ok & (length > 0) & np.isfinite(length)
+    bad = np.append(0, np.cumsum(~np.isfinite(flat)))
+    some = np.append(0, np.cumsum(flat != 0))
+    return flat, size, (bad[start + size] == bad[start]) & (some[start + size] > some[start])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = 8192, pivots: int = 64, id_: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -130,7 +136,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = 8192
     fine = rows.where(F.expr("size(x) > 0 and not exists(x, v -> v is null or isnan(v) or abs(v) = double('infinity')) and exists(x, v -> v <> 0)"))
     # the rows with the smallest hashes are the pivots: a bounded sample
     chosen = [np.array(r["x"]) for r in fine.orderBy(F.xxhash64("row"), "row").limit(pivots).select("x").collect()]
-    by_size = {d: np.stack([p / np.sqrt(p @ p) for p in chosen if len(p) == d]) for d in {len(p) for p in chosen}}
+    unit = [(p := _in_range(c[None])[0]) / np.sqrt(p @ p) for c in chosen]
+    by_size = {d: np.stack([p for p in unit if len(p) == d]) for d in {len(p) for p in unit}}
 
     def place(batches):
         for b in batches:
@@ -140,7 +147,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = 8192
             for d in np.unique(size[ok]).tolist():
                 if d in by_size:
                     own = np.flatnonzero(ok & (size == d))
-                    near[own] = (flat[start[own][:, None] + np.arange(d)] @ by_size[d].T).argmax(1)
+                    near[own] = (_in_range(flat[start[own][:, None] + np.arange(d)]) @ by_size[d].T).argmax(1)
             keep = np.flatnonzero(ok)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), b.column(2).take(pa.array(keep)), pa.array(size[keep].astype(np.int32)), pa.array(near[keep])], names=["vec_id", "row", "x", "d", "near"])
 
@@ -178,35 +185,42 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = 8192
 
     def cone(key, group):
         v = np.concatenate([unpack(p)[3].astype(np.float64).reshape(-1, d) for p, d in zip(group.column("payload").to_pylist(), group.column("d").to_pylist(), strict=True)])
+        v = _in_range(v)
         v = v / np.sqrt((v * v).sum(1))[:, None]
         c = v.sum(0)
         length = math.sqrt(c @ c)
         c = c / length if length > 0 else v[0]
         return pa.table({"tile": pa.array([key[0].as_py()], pa.int32()), "c": pa.array([c.tolist()]), "angle": pa.array([float(np.arccos(np.clip((v @ c).min(), -1, 1)))])})
 
-    cones = {r["tile"]: (np.array(r["c"]), r["angle"]) for r in blocks.groupBy("tile").applyInArrow(cone, "tile int, c array<double>, angle double").collect()}
+    cones = scratch.write(blocks.groupBy("tile").applyInArrow(cone, "tile int, c array<double>, angle double"), "cones")
     reach = math.acos(min(threshold, 1.0)) + 1e-7
-    order = sorted(cones)
-    partners: dict[int, list[int]] = {}
-    for d in {len(c) for c, _ in cones.values()}:
-        own = [t for t in order if len(cones[t][0]) == d]
-        c, a = np.stack([cones[t][0] for t in own]), np.array([cones[t][1] for t in own])
-        for i, t in enumerate(own):
-            gap = np.arccos(np.clip(c[i:] @ c[i], -1, 1)) - a[i:] - a[i]
-            for k in np.flatnonzero(gap <= reach).tolist():
-                partners.setdefault(t, []).append(own[i + k])
-    cells = {p: i for i, p in enumerate((t, u) for t, us in sorted(partners.items()) for u in us)}
-    of_tile: dict[int, list[tuple[int, int]]] = {}
-    for (t, u), i in cells.items():
-        of_tile.setdefault(t, []).append((i, 0))
-        if u != t:
-            of_tile.setdefault(u, []).append((i, 1))
-
-    def sent(batches):
-        for b in batches:
-            for t, d, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for cell, side in of_tile[t]:
-                    yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([side], pa.int32()), pa.array([d], pa.int32()), pa.array([p], pa.binary())], names=["cell", "side", "d", "payload"])
+    groups = -(-at // GROUP)
+
+    def facing(key, group):
+        t, angle = group.column("tile").to_numpy(), group.column("angle").to_numpy()
+        left, same = group.column("side").to_numpy() == 0, key[0].as_py() == key[1].as_py()
+        c = group.column("c").to_pylist()
+        size = np.array([len(x) for x in c])
+        out = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        for d in np.unique(size).tolist():
+            one = np.flatnonzero((size == d) & left)
+            two = one if same else np.flatnonzero((size == d) & ~left)
+            if len(one) and len(two):
+                x, y = (np.array([c[i] for i in rows]) for rows in (one, two))
+                i, j = np.nonzero(np.arccos(np.clip(x @ y.T, -1, 1)) - angle[one][:, None] - angle[two] <= reach)
+                a, b = t[one[i]], t[two[j]]
+                keep = a <= b if same else np.ones(len(a), bool)
+                out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep]))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table([pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["t", "u"])
+
+    # every group of cones meets itself and each later one
+    own = F.floor(F.col("tile") / GROUP).cast("int")
+    met = cones.withColumn("g", own).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    met = met.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"), F.when(F.col("g") <= F.col("h"), 0).otherwise(1).alias("side"), "tile", "c", "angle")
+    pairs = scratch.write(met.groupBy("g", "h").applyInArrow(facing, "t int, u int"), "pairs")
+    cells = pairs.select(F.col("t").alias("tile"), "t", "u", F.lit(0).alias("side")).unionAll(pairs.where("t <> u").select("u", "t", "u", F.lit(1)))
+    few = pairs.count() <= 500_000  # 16 bytes for each of its two cells
 
     schema = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
@@ -226,7 +240,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = 8192
         void = (null[has] | null[up]).astype(bool) | (ids[has] == ids[up])
         return pa.table([pa.array(row[has]), pa.array(n[has]), pa.array(ids[has], mask=void), pa.array(ids[up], mask=void)], schema=schema)
 
-    found = blocks.select("tile", "d", "payload").mapInArrow(sent, "cell int, side int, d int, payload binary").groupBy("cell").applyInArrow(links, "row long, n long, a long, b long")
+    sent = blocks.join(F.broadcast(cells) if few else cells, "tile").select("t", "u", "side", "d", "payload")
+    found = sent.groupBy("t", "u").applyInArrow(links, "row long, n long, a long, b long")
     found = scratch.write(found, "links")
     counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
     parts = components(found.select("a", "b"), scratch)

@@ -20,16 +20,18 @@ def brute(x, t):
     return link.sum(1), E._joined(np.arange(len(x)), *np.nonzero(link))
 
 
-@pytest.mark.parametrize("tile", [8192, 32])
-def test_links_and_components(spark, tile):
+@pytest.mark.parametrize(("tile", "group"), [(8192, 512), (32, 512), (32, 3)])
+def test_links_and_components(spark, monkeypatch, tile, group):
+    monkeypatch.setattr(E, "GROUP", group)
     x = data()
     count, label = brute(x, 0.9)
     odd = [(1000, None), (1001, []), (1002, [0.0] * 16), (1003, [float("nan")] * 16), (1004, [None] * 16), (1005, [1.0, 2.0]), (1006, [2.0, 4.0]), (1007, [float("inf")] + [0.0] * 15)]
+    odd += [(1008, [1e200, -3e200, 5e199]), (1009, [1e-200, -3e-200, 5e-201])]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + odd
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as row", "'l' as label").repartition(4)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_duplicates(v, tile=tile, pivots=8).collect()}
     want = {i: (int(count[i]), int(label[i]), int(label[i]) == i) for i in range(len(x))}
-    want |= {i: (0, i, True) for i, _ in odd} | {1005: (1, 1005, True), 1006: (1, 1005, False)}
+    want |= {i: (0, i, True) for i, _ in odd} | {1005: (1, 1005, True), 1006: (1, 1005, False), 1008: (1, 1008, True), 1009: (1, 1008, False)}
     assert got == want
 
 
