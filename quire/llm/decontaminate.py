@@ -123,9 +123,18 @@ def _joined(aligned: DataFrame, percent: int, part: int) -> DataFrame:
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_: str = "doc_id", text: str = "text", part: int | None = None) -> DataFrame:
-    """docs without those that hold an item of the benchmark (or, with part, that much of one); rows without an id are kept."""
-    bad = overlaps(docs, benchmark, percent, id_=id_, text=text, part=part).select(F.col("doc_id").alias(id_)).where(F.col(id_).isNotNull()).distinct()
-    return docs.join(bad, id_, "left_anti").select(docs.columns)
+    """docs without those that hold an item of the benchmark (or, with part, that much of one).
+
+    Rows are told apart by the 64-bit hash of their text, so those that repeat an
+    id, or have none, are judged like all others. Other columns stay as they are,
+    whatever their names. No rows give no rows; without items all rows stay.
+    """
+    key = F.xxhash64(F.col(text).cast("string"))
+    bad = overlaps(docs.select(key.alias("doc_id"), F.col(text).cast("string").alias("text")), benchmark, percent, part=part)
+    bad = Scratch(docs.sparkSession, "overlapping").write(bad.select("doc_id").distinct(), "texts")
+    few = bad.count() <= MOST
+    left, right = docs.alias("a"), (F.broadcast(bad) if few else bad).alias("b")
+    return left.join(right, F.xxhash64(F.col(f"a.`{text}`").cast("string")) == F.col("b.doc_id"), "left_anti").select(docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

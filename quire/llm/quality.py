@@ -159,8 +159,12 @@ def _added(key, group):
     return pa.table({"label": pa.array([key[0].as_py()], pa.int32()), "n": [float(add("n"))], "x": [add("x")], "xx": [add("xx")]})
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, scratch: Scratch, id_: str = "doc_id", text: str = "text", label: str = "quality", shrink: float = 0.05, floor: float = 1e-4) -> DataFrame:
-    """(doc_id, row, score, predicted) for each document; row numbers the input rows (unique).
+    """(doc_id, row, score, predicted) for each document; row is the 64-bit hash of the row's text (null as empty), on which the score alone depends.
 
     train says, by the id, which labelled rows teach. Labels other than 0 and 1
     and ids that are null or have no document teach nothing; a row of labels that
@@ -176,7 +180,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, scratch: S
             flat = pa.array(x.reshape(-1))
             yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), t.column("row").combine_chunks(), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, d, dtype=np.int32)), flat)], names=["doc_id", "row", "x"])
 
-    rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(id_).cast("long").alias("doc_id"), text_key(F.col(text)).alias("row"), F.col(text).cast("string").alias("text"))
     seen = scratch.write(rows.mapInArrow(measure, "doc_id long, row long, x array<double>"), "statistics")
     known = labels.select(F.col(id_).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)").where(train)
     sums = seen.join(known, "doc_id").select("label", "x").mapInArrow(_sums, "label int, n double, x array<double>, xx array<double>")

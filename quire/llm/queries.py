@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pipeline
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .embedding_dedup import op8_embeddings
 from .html_text import op5_html
@@ -69,10 +69,9 @@ def queries() -> dict[str, Query]:
         "op8_embeddings": op8_embeddings,
         "op9_substrings": op9_substrings,
         "op10_quotes": op10_quotes,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return pipeline | {"op2_decontaminate": OP2_SQL, "op6_warc": OP6_SQL, "op7_jaccard": OP7_SQL, "op8_embeddings": OP8_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op6_warc": OP6_SQL, "op7_jaccard": OP7_SQL, "op8_embeddings": OP8_SQL}

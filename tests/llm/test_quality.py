@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.llm import quality as Q
-from quire.llm.common import Scratch
+from quire.llm.common import Scratch, utf8
 
 
 def corpus():
@@ -48,3 +51,42 @@ def test_log_densities_are_those_of_the_formula():
         diff = x - y.mean(0)
         want.append(np.log(0.5) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", diff, np.linalg.inv(c), diff))
     assert np.allclose(m.score(x), 1 / (1 + np.exp(-(want[1] - want[0]) / d)))
+
+
+def brute(text):
+    low = text.translate(str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)}))
+    split = lambda x: [w.encode() for w in re.split(r"[\x20\x09-\x0D]+", x) if w]
+    ws, raw = split(low), text.encode()
+    lines = [tuple(x) for x in (split(line) for line in low.split("\n")) if x]
+    n, pairs = len(ws), list(zip(ws, ws[1:], strict=False))
+    count = lambda chars: sum(b in chars for b in raw)
+    foreign = sum(b >= 0xC0 for b in raw)
+    letters, chars = count(range(65, 91)) + count(range(97, 123)) + foreign, len(text)
+    rate = lambda a, b: math.sqrt(a / max(b, 1))
+    return [
+        math.log1p(n),
+        math.log1p(sum(map(len, ws)) / max(n, 1)),
+        rate(len(set(ws)), n) * math.log1p(n) ** 0.5,
+        rate(len(set(pairs)), len(pairs)),
+        rate(sum(a == b for a, b in pairs), len(pairs)),
+        rate(count(range(65, 91)), letters),
+        rate(count(range(48, 58)), chars),
+        rate(count(b"|"), chars),
+        rate(count(b".,;:?'\"-()"), chars),
+        rate(count(b"#$%&*+/<=>@[\\]^_`{}~"), chars),
+        rate(count(b"!"), chars),
+        rate(foreign, letters),
+        math.log1p(n / max(len(lines), 1)),
+        rate(len(lines) - len(set(lines)), len(lines)),
+        math.log1p(n / (sum(w[-1:] in b".!?" for w in ws) + 1)),
+        rate(sum(len(w) > 24 for w in ws), n),
+    ]
+
+
+def test_statistics_are_those_of_brute_force():
+    rng = random.Random(8)
+    alphabet = ["a", "B", "word", "Word", "é", "ß", "漢字", "7", "!", "|", "x.", "#", " ", "  ", "\n", "\n", "\t", "the the", "q" * 30, "end?\nend?\n"]
+    texts = ["", " \n ", "a", "\n", *("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(300))]
+    got = Q.statistics(*utf8(pa.array(texts)))
+    for t, row in zip(texts, got, strict=True):
+        assert np.allclose(row, brute(t)), t
