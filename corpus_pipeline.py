@@ -1,69 +1,16 @@
-"""A training corpus from documents: five operators, one after the other.
-
-Each stage works on all that its predecessor kept, is written as Parquet and read
-again. All but the last return the columns of documents.
-"""
+"""The corpus pipeline by its contract: STAGES, ORACLE_SQL and run() of quire.llm.pipeline."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch
-from quire.llm.decontaminate import PART, without_overlaps
-from quire.llm.ngram_join import jaccard_components
-from quire.llm.packing import pack_documents, public_tokenizer
-from quire.llm.quality import quality_scores
-from quire.llm.substring_dedup import dedup_substrings
+from quire.llm.pipeline import ORACLE_SQL, STAGES
+from quire.llm.pipeline import run as _run
 from quire.plans.session import ship
 
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, taught by all labels, takes for good ones. Rows are told apart by place, so repeated ids are safe."""
-    scratch = Scratch(spark, "pipeline-quality")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    score = quality_scores(docs, labels, F.lit(True), scratch)
-    bad = scratch.write(score.where("predicted = 0 and doc_id is not null").select("doc_id").distinct(), "rejected")
-    few = bad.count() <= 2_000_000  # 16 MB of numbers
-    return docs.join(F.broadcast(bad) if few else bad, "doc_id", "left_anti").select(docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, with the smallest id, of each group of near copies (five words, similarity 0.8)."""
-    groups = jaccard_components(docs, n=5, num=80, den=100)
-    scratch = Scratch(spark, "pipeline-groups")
-    copies = scratch.write(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    few = copies.count() <= 2_000_000
-    return docs.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select(docs.columns)
-
-
-def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 50-byte strings that a smaller id has too; n_chars follows the text."""
-    out = dedup_substrings(docs)
-    changed = out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(docs.columns)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark and no longer part of one (stage 3 may have left a part)."""
-    return without_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), part=PART)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two lengths of at most 2048 tokens, with their ids."""
-    return pack_documents(docs, public_tokenizer("word_bpe_49k.json"))
-
-
-STAGES = [("quality classifier", quality), ("n-gram jaccard join", near_duplicates), ("suffix-array dedup", substrings), ("benchmark decontamination", decontaminate), ("packing", packing)]
-
-#: The classifier, the suffix arrays and the tokenizer are beyond SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows."""
-    scratch = Scratch(ship(spark), "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
-    return docs
+    return _run(ship(spark), sf_dir)
