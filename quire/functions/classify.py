@@ -183,17 +183,23 @@ def introduces_list(c: Column) -> Column:
 
 
 # ---- recognised text
+# Fixed names of producers and fixed vowels.
 PRODUCERS = "tesseract|abbyy|finereader|ocrmypdf|ocr|scan|scansnap|kofax|omnipage|readiris|adobe acrobat capture|paperport"
 VOWELS = "aeiouáéíóúâêôãõàAEIOUÁÉÍÓÚ"
 
 
 def is_garbled(c: Column) -> Column:
-    t = trim_ws(c)
-    n = F.length(t)
-    real = F.filter(F.transform(words(t), lambda w: F.regexp_replace(w, r"[^\p{L}]", "")), lambda w: F.length(w) >= 3)
-    mute = F.size(F.filter(real, lambda w: ~w.rlike(f"[{VOWELS}]")))
-    broken = F.length(F.regexp_replace(t, "[^�]", ""))
-    return (n >= 200) & ((broken * 200 >= n) | ((F.size(real) >= 20) & (mute * 100 >= F.size(real) * 18)))
+    """Broken characters, or too many words of three letters or more without a vowel; letters alone are left once, then counted."""
+
+    def verdict(t: Column, letters: Column) -> Column:
+        n = F.length(t)
+        real = F.regexp_count(letters, F.lit(r"\S{3,}"))
+        mute = F.regexp_count(letters, F.lit(rf"(?<!\S)[^\s{VOWELS}]{{3,}}(?!\S)"))
+        broken = n - F.length(F.translate(t, "�", ""))
+        return (n >= 200) & ((broken * 200 >= n) | ((real >= 20) & (mute * 100 >= real * 18)))
+
+    both = F.transform(F.array(trim_ws(c)), lambda t: F.struct(t.alias("t"), F.regexp_replace(t, r"[^\p{L}\s]+", "").alias("l")))
+    return F.transform(both, lambda x: verdict(x["t"], x["l"]))[0]
 
 
 def is_ocr_producer(c: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import classify as K
 from quire.functions import numeric as N
+from quire.operators.model import folded
 from quire.operators.sequence import first_of, islands
 
 PAGE = ["doc_id", "page"]
@@ -54,17 +55,24 @@ def visual_rows(spans: DataFrame) -> DataFrame:
     fold, not a comparison with the span before.
     """
     use = spans.where((F.trim("text") != "") & (F.abs("angle") < 0.01))
-    page = use.groupBy(*PAGE).agg(F.greatest(F.avg("size") * 0.6, F.lit(2.0)).alias("band"), F.array_sort(F.collect_list(F.struct((-F.col("y")).cast("double").alias("up"), "n"))).alias("s"))
-    fold = """
-        aggregate(s, struct(cast(array() as array<struct<n:bigint,row:int>>) as out, cast(null as double) as ref, 0 as row),
-            (acc, x) -> struct(
-                concat(acc.out, array(struct(bigint(x.n) as n, case when acc.ref is null or abs(acc.ref - x.up) > band then acc.row + 1 else acc.row end as row))) as out,
-                case when acc.ref is null or abs(acc.ref - x.up) > band then x.up else acc.ref end as ref,
-                case when acc.ref is null or abs(acc.ref - x.up) > band then acc.row + 1 else acc.row end as row),
-            acc -> acc.out)
-    """
-    rows = page.select(*PAGE, F.explode(F.expr(fold)).alias("r")).select(*PAGE, F.col("r.n").alias("n"), F.col("r.row").alias("row"))
-    return spans.join(rows, [*PAGE, "n"], "left")
+    band = F.greatest(F.avg("size").over(Window.partitionBy(*PAGE)) * 0.6, F.lit(2.0))
+    rows = use.select(*PAGE, (-F.col("y")).cast("double").alias("up"), F.col("n").cast("long").alias("n"), band.cast("double").alias("band"))
+
+    def start():
+        ref, row = None, 0
+
+        def step(up, n, band):
+            nonlocal ref, row
+            if n is None:
+                return []
+            if ref is None or abs(ref - up) > band:
+                ref, row = up, row + 1
+            return [(n, row)]
+
+        return step
+
+    made = folded(rows, PAGE, ["up", "n"], ["up", "n", "band"], start, "n long, row int")
+    return spans.join(made, [*PAGE, "n"], "left")
 
 
 def row_cells(spans: DataFrame) -> DataFrame:

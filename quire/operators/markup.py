@@ -104,12 +104,12 @@ def nodes(pages: DataFrame, id_: str = "page_id", html: str = "html") -> DataFra
 
 
 def links(pages: DataFrame, id_: str = "page_id", html: str = "html") -> DataFrame:
-    """(id, n, href, kind): anchors with a quoted href in order; uri, internal (#...) or remote (a file)."""
-    # the two quote styles are one pattern each way, kept to what every dialect reads
-    found = F.regexp_extract_all(F.col(html), F.lit(r"(?i)<a\s+(?:[^>]*\s)?href=\"([^\"]*)\""), F.lit(1))
+    """(id, n, href, kind): anchors with an href, quoted either way or bare, in order; uri, internal (#...) or remote (a file)."""
+    anchor = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    found = F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(1))
     href = F.col("href")
     kind = F.when(href.rlike(r"(?i)^(https?|ftp|mailto):"), "uri").when(href.startswith("#"), "internal").otherwise("remote")
-    return pages.select(id_, F.posexplode(found).alias("n", "href")).withColumn("kind", kind)
+    return pages.select(id_, F.posexplode(found).alias("n", "href")).withColumn("href", F.regexp_replace("href", r"""^["']|["']$""", "")).withColumn("kind", kind)
 
 
 def text_of(pages: DataFrame, id_: str = "page_id", html: str = "html") -> DataFrame:
@@ -287,37 +287,64 @@ def doctags_blocks(docs: DataFrame, id_: str = "doc_id", text: str = "text") ->
 # ---------------------------------------------------------------- repairs
 
 
-def cut_loops(items: list[str], longest: int, times: int, minimum: int) -> list[str]:
-    """Keeps one of each cycle of 1..longest items that repeats; longer cycles need `minimum` characters or one repeat more."""
-    out, i = [], 0
-    while i < len(items):
-        for p in range(1, longest + 1):
-            unit = items[i : i + p]
-            if len(unit) < p:
+def kept_of_loops(items: list[str], longest: int, times: int, long: int | None = None) -> list[int]:
+    """Places that stay when each cycle of 1..longest items that comes `times` times or more in a row is kept once.
+
+    With long, a cycle of several items needs one of that many characters, or one repeat more.
+    """
+    n, i, out = len(items), 0, []
+    if len(set(items)) == n:
+        return list(range(n))
+    while i < n:
+        for p in range(1, min(longest, (n - i) // 2) + 1):
+            if items[i] != items[i + p]:
                 continue
-            n = 1
-            while items[i + n * p : i + (n + 1) * p] == unit:
-                n += 1
-            if n >= times and (p == 1 or sum(map(len, unit)) >= minimum or n >= times + 1):
-                out += unit
-                i += n * p
+            end = i + p
+            while end < n and items[end] == items[end - p]:
+                end += 1
+            reps = (end - i) // p
+            if reps >= times and (p == 1 or long is None or reps > times or any(len(x) >= long for x in items[i : i + p])):
+                out += range(i, i + p)
+                i += reps * p
                 break
         else:
-            out.append(items[i])
+            out.append(i)
             i += 1
     return out
 
 
+def _untagged(line: str) -> str:
+    """What a line says outside <...>, by which lines are compared: the boxes of a repeated line differ."""
+    if "<" not in line and ">" not in line:
+        return line.strip()
+    out, depth = [], 0
+    for part in re.split("([<>])", line):
+        if part == "<":
+            depth += 1
+        elif part == ">":
+            depth = max(depth - 1, 0)
+        elif not depth:
+            out.append(part)
+    return "".join(out).strip()
+
+
 def collapse_loops(c: Column) -> Column:
-    """Text without the loops that recognisers fall into: repeated lines, then repeated words within a line."""
+    """Text without the loops that recognisers fall into: repeated lines, tags aside, then repeated words within a line."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
+        def words(line):
+            w = line.split(" ")
+            if len(w) < 6:
+                return line
+            kept = kept_of_loops(w, 4, 3)
+            return line if len(kept) == len(w) else " ".join([w[i] for i in kept])
+
         def one(t):
             if t is None:
                 return None
-            lines = cut_loops(t.split("\n"), 8, 3, 4)
-            return "\n".join(" ".join(cut_loops(w, 4, 3, 0)) if len(w := line.split(" ")) >= 6 else line for line in lines)
+            lines = t.split("\n")
+            return "\n".join([words(lines[i]) for i in kept_of_loops([_untagged(x) for x in lines], 8, 3, 4)])
 
         return s.map(one)
 

@@ -3,16 +3,20 @@
 Blocks are rows (doc_id, ord, id, kind, page, section, text, ...); ord is the
 authoritative reading order within a document. Every operator is DataFrame to
 DataFrame and works on all documents at once; one document is a filter. Folds
-that cannot be windows (the heading stack, greedy chunks) run inside the JVM as
-aggregate() over one document's ordered array.
+that cannot be windows (the heading stack, greedy chunks) run over a document's
+ordered rows as they stream by, in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from quire.functions import classify as K
@@ -24,11 +28,46 @@ def _order() -> object:
 
 
 def line_blocks(docs: DataFrame, per_page: int = 40) -> DataFrame:
-    """Text documents as blocks: a line is a block, per_page lines are a page; blank lines are no blocks."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text")).where("trim(text) <> ''")
+    """Text documents as blocks: a line is a block, per_page lines are a page; blank lines are no blocks.
+
+    A document's lines are numbered within its row, so nothing is shuffled.
+    """
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t, i: F.struct(i.alias("line"), t.alias("text")))
+    x = docs.select("doc_id", F.posexplode(F.filter(lines, lambda b: F.trim(b["text"]) != "")).alias("n", "b")).select("doc_id", (F.col("n") + 1).alias("ord"), "b.line", "b.text")
     kind = F.when(K.numbered_level(F.col("text")).isNotNull(), "heading").when(K.list_ordered(F.col("text")).isNotNull(), "list_item").when(K.is_caption(F.col("text")), "caption").otherwise("para")
-    lines = lines.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("line")))
-    return lines.select("doc_id", "ord", F.format_string("b%04d", "ord").alias("id"), kind.alias("kind"), (F.floor(F.col("line") / per_page) + 1).cast("int").alias("page"), "text", F.when(kind == "heading", K.numbered_level(F.col("text"))).alias("heading_level"))
+    return x.select("doc_id", "ord", F.format_string("b%04d", "ord").alias("id"), kind.alias("kind"), (F.floor(F.col("line") / per_page) + 1).cast("int").alias("page"), "text", F.when(kind == "heading", K.numbered_level(F.col("text"))).alias("heading_level"))
+
+
+def folded(rows: DataFrame, key: list[str], order: list, columns: list[str], start: Callable, out: str) -> DataFrame:
+    """A fold over each group's ordered rows: (key, out) of all that start()'s function yields.
+
+    rows come sorted, one after the other, to step(*columns), which returns a list of
+    tuples of out; step(None, ...) ends a group. Time and memory grow with a
+    group's rows, never with their square, and no group is held as a whole.
+    """
+    kinds = dict(rows.dtypes)
+    schema = to_arrow_schema(StructType.fromDDL(", ".join([f"`{k}` {kinds[k]}" for k in key]) + ", " + out))
+    n = len(key)
+
+    def run(batches):
+        held, group, step = [], None, None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != row[:n] or step is None:
+                    if step is not None:
+                        held += [group + x for x in step(*[None] * len(columns))]
+                    group, step = row[:n], start()
+                held += [group + x for x in step(*row[n:])]
+            if len(held) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                held = []
+        if step is not None:
+            held += [group + x for x in step(*[None] * len(columns))]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, *order).select(*key, *columns)
+    return dealt.mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in key]) + ", " + out)
 
 
 # ---- sections
@@ -40,22 +79,26 @@ def section_tree(blocks: DataFrame) -> DataFrame:
     A heading closes those of its level or deeper and opens itself unless its text
     is blank. path is the stack from the outermost, without the heading itself.
     """
-    heads = blocks.where("kind = 'heading'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("heading_level", F.lit(1)).alias("level"), (F.trim("text") == "").alias("blank")))).alias("heads"))
-    fold = """
-        aggregate(heads,
-            struct(cast(array() as array<struct<ord:int,level:int>>) as stack,
-                   cast(array() as array<struct<ord:int,top:int,parent:int,path:array<int>>>) as out),
-            (acc, h) -> struct(
-                case when h.blank then filter(acc.stack, s -> s.level < h.level)
-                     else concat(filter(acc.stack, s -> s.level < h.level), array(struct(int(h.ord) as ord, int(h.level) as level))) end as stack,
-                concat(acc.out, array(struct(
-                    int(h.ord) as ord,
-                    case when h.blank then try_element_at(filter(acc.stack, s -> s.level < h.level), -1).ord else int(h.ord) end as top,
-                    case when not h.blank then try_element_at(filter(acc.stack, s -> s.level < h.level), -1).ord end as parent,
-                    transform(filter(acc.stack, s -> s.level < h.level), s -> s.ord) as path))) as out),
-            acc -> acc.out)
-    """
-    return heads.select("doc_id", F.explode(F.expr(fold)).alias("x")).select("doc_id", "x.ord", "x.top", "x.parent", "x.path")
+    heads = blocks.where("kind = 'heading'").select("doc_id", F.col("ord").cast("int").alias("ord"), F.coalesce("heading_level", F.lit(1)).cast("int").alias("level"), (F.trim("text") == "").alias("blank"))
+
+    def start():
+        stack: list[tuple[int, int]] = []
+
+        def step(at, level, blank):
+            if at is None:
+                return []
+            while stack and stack[-1][1] >= level:
+                stack.pop()
+            path = [o for o, _ in stack]
+            above = path[-1] if path else None
+            if blank:
+                return [(at, above, None, path)]
+            stack.append((at, level))
+            return [(at, at, above, path)]
+
+        return step
+
+    return folded(heads, ["doc_id"], ["ord"], ["ord", "level", "blank"], start, "ord int, top int, parent int, path array<int>")
 
 
 def attribute_sections(blocks: DataFrame) -> DataFrame:
@@ -184,9 +227,10 @@ def find(blocks: DataFrame, query: str, regex: bool = False, kind: str | None =
     t = F.coalesce(T.plain(F.col("text")), F.lit(""))
     scope = scope.withColumn("seen", t)
     if regex:
-        pattern = f"(?i){query}"
-        head = F.regexp_extract("seen", rf"(?is)^(.*?)(?:{query})", 1)
-        scope = scope.withColumn("start", F.when(F.col("seen").rlike(pattern), F.length(head))).withColumn("end", F.col("start") + F.length(F.regexp_substr("seen", F.lit(pattern))))
+        # one pattern says whether, where and how long
+        pattern = F.lit(f"(?i){query}")
+        at = F.regexp_instr("seen", pattern) - 1
+        scope = scope.withColumn("start", F.when(at >= 0, at)).withColumn("end", F.col("start") + F.length(F.regexp_substr("seen", pattern)))
     else:
         at = F.instr(F.lower("seen"), query.lower()) - 1
         scope = scope.withColumn("start", F.when(at >= 0, at)).withColumn("end", F.col("start") + len(query))
@@ -246,21 +290,33 @@ def derive_chunks(blocks: DataFrame, target: int = 400, tokens: Column | None =
     restarts at every chunk, so it is a fold over the document's ordered blocks.
     """
     cost = tokens if tokens is not None else T.token_proxy(T.trim_ws(F.coalesce(T.plain(F.col("text")), F.lit(""))))
-    rows = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", cost.cast("int").alias("tok"), F.col("section").cast("string").alias("section"), "page"))).alias("b"))
-    fold = f"""
-        aggregate(b,
-            struct(cast(array() as array<struct<ord:int,chunk:int>>) as out, 0 as chunk, 0 as tok, cast(null as string) as section),
-            (acc, x) -> struct(
-                concat(acc.out, array(struct(int(x.ord) as ord,
-                    case when acc.chunk = 0 or not (acc.section <=> x.section) or acc.tok + x.tok > {target} then acc.chunk + 1 else acc.chunk end as chunk))) as out,
-                case when acc.chunk = 0 or not (acc.section <=> x.section) or acc.tok + x.tok > {target} then acc.chunk + 1 else acc.chunk end as chunk,
-                case when acc.chunk = 0 or not (acc.section <=> x.section) or acc.tok + x.tok > {target} then x.tok else acc.tok + x.tok end as tok,
-                x.section as section),
-            acc -> acc.out)
-    """
-    of = rows.select("doc_id", F.explode(F.expr(fold)).alias("x")).select("doc_id", F.col("x.ord").alias("ord"), F.col("x.chunk").alias("chunk"))
-    own = blocks.join(of, ["doc_id", "ord"])
-    return own.groupBy("doc_id", "chunk").agg(F.format_string("c%04d", F.first("chunk")).alias("id"), F.array_sort(F.collect_list("ord")).alias("ords"), F.first("section").alias("section"), F.coalesce(F.min("page"), F.lit(0)).alias("page_start"), F.coalesce(F.max("page"), F.lit(0)).alias("page_end"))
+    rows = blocks.select("doc_id", F.col("ord").cast("int").alias("ord"), cost.cast("int").alias("tok"), F.col("section").cast("string").alias("section"), F.col("page").cast("int").alias("page"))
+
+    def start():
+        chunk, size, ords, pages, own = 0, 0, [], [], None
+
+        def close():
+            return [(chunk, f"c{chunk:04d}", list(ords), own, min(pages, default=0), max(pages, default=0))] if ords else []
+
+        def step(at, tok, section, page):
+            nonlocal chunk, size, own
+            if at is None:
+                return close()
+            done = []
+            if not chunk or section != own or size + tok > target:
+                done = close()
+                chunk, size, own = chunk + 1, 0, section
+                ords.clear()
+                pages.clear()
+            size += tok
+            ords.append(at)
+            if page is not None:
+                pages.append(page)
+            return done
+
+        return step
+
+    return folded(rows, ["doc_id"], ["ord"], ["ord", "tok", "section", "page"], start, "chunk int, id string, ords array<int>, section string, page_start int, page_end int")
 
 
 def chunk_text(chunks: DataFrame, blocks: DataFrame) -> DataFrame:

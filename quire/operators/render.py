@@ -171,6 +171,6 @@ def output_path(source: str | None, path: str | None, ext: str) -> str:
     return name if path is None else os.path.join(path, os.path.basename(name))
 
 
-def write_documents(docs: DataFrame, target: str, text: str = "html") -> None:
-    """One row per file: docs(doc_id, text) as text files under target/doc_id=.../."""
-    docs.select("doc_id", F.col(text).alias("value")).repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").option("lineSep", "\n").text(target)
+def write_documents(docs: DataFrame, target: str, text: str = "html", per_file: int = 10_000) -> None:
+    """docs(doc_id, text) as JSON lines (doc_id, text), at most per_file documents in a file, so that a corpus isn't a folder for each document."""
+    docs.select("doc_id", F.col(text).alias("text")).write.mode("overwrite").option("maxRecordsPerFile", per_file).json(target)

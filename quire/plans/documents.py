@@ -109,11 +109,12 @@ def _(spark, d):
     return model.chunk_text(model.derive_chunks(b), b).select("doc_id", "chunk", F.md5("text").alias("digest"))
 
 
-@query("stale_chunks", "SELECT doc_id, doc_id % 7 = 0 AND length(text) > 0 AS stale FROM documents WHERE trim(text) <> ''")
+@query("stale_chunks", BLOCKS + "SELECT doc_id, bool_or(contains(lower(text), 'the')) AS stale FROM b GROUP BY doc_id")
 def _(spark, d):
+    """Chunks stored before the blocks that say "the" were taken out."""
     b = blocks(spark, d).withColumn("section", F.lit(None).cast("string"))
-    stored = model.derive_chunks(b).withColumn("ords", F.when(F.col("doc_id") % 7 == 0, F.transform("ords", lambda x: x + 1)).otherwise(F.col("ords")))
-    return model.stale_chunks(stored, b)
+    now = b.where(~F.lower("text").contains("the"))
+    return model.stale_chunks(model.derive_chunks(b), now)
 
 
 @query(
@@ -209,10 +210,10 @@ def _(spark, d):
     return model.sections(tree(spark, d)).select("doc_id", "ord", "id")
 
 
-@query("read_section", TREE + "SELECT o.doc_id, count(*) AS n, min(o.ord) AS first FROM own o JOIN open a ON a.doc_id = o.doc_id AND a.ord = o.top WHERE a.top % 9 = 0 AND a.top = (SELECT min(ord) FROM b WHERE b.doc_id = o.doc_id AND head AND NOT blank AND ord % 9 = 0) GROUP BY o.doc_id")
+@query("read_section", TREE + "SELECT o.doc_id, count(*) AS n, min(o.ord) AS first FROM own o JOIN open a ON a.doc_id = o.doc_id AND a.ord = o.top WHERE a.top = (SELECT min(ord) FROM b WHERE b.doc_id = o.doc_id AND head AND NOT blank) GROUP BY o.doc_id")
 def _(spark, d):
     b = tree(spark, d)
-    roots = b.where("kind = 'heading' and text <> '' and ord % 9 = 0").groupBy("doc_id").agg(F.min("ord").alias("root"))
+    roots = b.where("kind = 'heading' and text <> ''").groupBy("doc_id").agg(F.min("ord").alias("root"))
     inside = model.subtree(b).join(roots, ["doc_id", "root"]).select("doc_id", F.col("ord").alias("section_ord"))
     return model.attribute_sections(b).join(inside, ["doc_id", "section_ord"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
 
@@ -235,9 +236,9 @@ def probes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.floor(k / 40).cast("int").alias("doc_id"), k.cast("int").alias("ord"), F.expr(LINE).alias("text"))
 
 
-@query("running_heads", BLOCKS + ", k AS (SELECT doc_id, ord, CASE WHEN ord % 4 = 0 THEN 1 ELSE 2 END AS lv, trim(regexp_replace(regexp_replace(lower(left(text, 20)), '^\\s*[\\p{L}\\p{N}.]*', ''), '\\s+', ' ', 'g')) AS k FROM b), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS t, min(CASE WHEN lv = 1 THEN ord END) OVER (PARTITION BY doc_id, k) AS f FROM k) SELECT doc_id, ord, strlen(k) >= 4 AND t >= 3 AND NOT coalesce(lv = 1 AND ord = f, false) AS demoted FROM n")
+@query("running_heads", BLOCKS + ", k AS (SELECT doc_id, ord, CASE WHEN ord % 4 = 0 THEN 1 ELSE 2 END AS lv, trim(regexp_replace(regexp_replace(lower(text), '^\\s*[\\p{L}\\p{N}.]*', ''), '\\s+', ' ', 'g')) AS k FROM b), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS t, min(CASE WHEN lv = 1 THEN ord END) OVER (PARTITION BY doc_id, k) AS f FROM k) SELECT doc_id, ord, strlen(k) >= 4 AND t >= 3 AND NOT coalesce(lv = 1 AND ord = f, false) AS demoted FROM n")
 def _(spark, d):
-    heads = blocks(spark, d).select("doc_id", "ord", F.substring("text", 1, 20).alias("text"), F.lit("heading").alias("kind"), F.when(F.col("ord") % 4 == 0, 1).otherwise(2).alias("heading_level"))
+    heads = blocks(spark, d).select("doc_id", "ord", "text", F.lit("heading").alias("kind"), F.when(F.col("ord") % 4 == 0, 1).otherwise(2).alias("heading_level"))
     return sequence.demote_running_heads(heads).select("doc_id", "ord", "demoted")
 
 
@@ -402,7 +403,7 @@ def _(spark, d):
 # ---- markup
 
 
-@query("links", "WITH h AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s+(?:[^>]*\\s)?href=\"([^\"]*)\"', 1) AS h FROM pages) SELECT page_id, n, href, CASE WHEN regexp_matches(href, '(?i)^(https?|ftp|mailto):') THEN 'uri' WHEN href LIKE '#%' THEN 'internal' ELSE 'remote' END AS kind FROM (SELECT page_id, unnest(h) AS href, unnest(range(len(h))) AS n FROM h)")
+@query("links", "WITH h AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s\"''>]+)', 1), lambda x: regexp_replace(x, '^[\"'']|[\"'']$', '', 'g')) AS h FROM pages) SELECT page_id, n, href, CASE WHEN regexp_matches(href, '(?i)^(https?|ftp|mailto):') THEN 'uri' WHEN href LIKE '#%' THEN 'internal' ELSE 'remote' END AS kind FROM (SELECT page_id, unnest(h) AS href, unnest(range(len(h))) AS n FROM h)")
 def _(spark, d):
     return markup.links(table(spark, d, "pages"))
 
@@ -457,10 +458,10 @@ def _(spark, d):
 
 def heads(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").where(k % 3 == 0).select(F.col("o_custkey").alias("doc_id"), k.cast("int").alias("ord"), (k % 4 + 1).cast("int").alias("level"), F.col("o_orderpriority").alias("title"), F.when(k % 5 > 0, F.concat(F.lit("b"), k.cast("string"))).otherwise("").alias("id"), F.lit("p").alias("parent"))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), k.cast("int").alias("ord"), (k % 4 + 1).cast("int").alias("level"), F.col("o_orderpriority").alias("title"), F.when(k % 5 > 0, F.concat(F.lit("b"), k.cast("string"))).otherwise("").alias("id"), F.lit("p").alias("parent"))
 
 
-HEADS = "WITH h AS (SELECT o_custkey AS doc_id, CAST(o_orderkey AS INT) AS ord, CAST(o_orderkey % 4 + 1 AS INT) AS level, o_orderpriority AS title, CASE WHEN o_orderkey % 5 > 0 THEN 'b' || o_orderkey ELSE '' END AS id FROM orders WHERE o_orderkey % 3 = 0)"
+HEADS = "WITH h AS (SELECT o_custkey AS doc_id, CAST(o_orderkey AS INT) AS ord, CAST(o_orderkey % 4 + 1 AS INT) AS level, o_orderpriority AS title, CASE WHEN o_orderkey % 5 > 0 THEN 'b' || o_orderkey ELSE '' END AS id FROM orders)"
 
 
 @query("build_nav", HEADS + ", s AS (SELECT *, sum(CASE WHEN level <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS g, '<li data-level=\"' || level || '\">' || CASE WHEN id = '' THEN title ELSE '<a href=\"#' || id || '\">' || title || '</a>' END AS li FROM h WHERE level <= 3), e AS (SELECT doc_id, g, min(ord) AS ord, coalesce(min(li) FILTER (level <= 2), '') AS top, coalesce(string_agg(li || '</li>', '' ORDER BY ord) FILTER (level = 3), '') AS sub FROM s GROUP BY doc_id, g), r AS (SELECT doc_id, ord, CASE WHEN g = 0 THEN sub ELSE top || CASE WHEN sub <> '' THEN '<ul>' || sub || '</ul>' ELSE '' END || '</li>' END AS x FROM e) SELECT doc_id, '<nav><ul>' || string_agg(x, '' ORDER BY ord) || '</ul></nav>' || chr(10) AS nav FROM r GROUP BY doc_id")
@@ -576,10 +577,11 @@ def _(spark, d):
     return search.l2(e).select("vec_id", F.round(F.get("unit", 0), 6).alias("first"))
 
 
-@query("vector_bytes", "SELECT vec_id, true AS same, 256 AS n FROM embeddings")
+@query("vector_bytes", "SELECT vec_id, string_agg(printf('%.6f', CAST(x AS DOUBLE)), ',' ORDER BY i) AS back, 4 * count(*) AS n FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY vec_id")
 def _(spark, d):
     e = table(spark, d, "embeddings").withColumn("b", N.pack_vector(F.col("embedding")))
-    return e.select("vec_id", (N.unpack_vector(F.col("b"), 64) == F.col("embedding")).alias("same"), F.octet_length("b").alias("n"))
+    back = F.transform(N.unpack_vector(F.col("b"), 64), lambda x: F.format_string("%.6f", x.cast("double")))
+    return e.select("vec_id", F.array_join(back, ",").alias("back"), F.octet_length("b").cast("long").alias("n"))
 
 
 @query("embed_chunks")
@@ -741,10 +743,10 @@ def _(spark, d):
     return t["blocks"].select("doc_id", "ord", "kind", "section")
 
 
-@query("ocr_plan", "WITH i AS (SELECT page_id AS doc_id, max(length(url) * 9000.0) AS a FROM pages WHERE page_id % 3 > 0 GROUP BY 1) SELECT d.doc_id, CASE WHEN i.a IS NULL THEN 'not_needed' WHEN length(trim(text)) < 120 OR (i.a / 500000.0 >= 0.5 AND length(trim(text)) <= 900) THEN 'needs_ocr' WHEN d.doc_id % 4 = 0 THEN 'drop_and_ocr' ELSE 'not_needed' END AS decision FROM documents d LEFT JOIN i ON i.doc_id = d.doc_id")
+@query("ocr_plan", "WITH i AS (SELECT page_id AS doc_id, max(length(url) * 9000.0) AS a FROM pages GROUP BY 1) SELECT d.doc_id, CASE WHEN i.a IS NULL THEN 'not_needed' WHEN length(trim(text)) < 120 OR (i.a / 500000.0 >= 0.5 AND length(trim(text)) <= 900) THEN 'needs_ocr' WHEN d.doc_id % 4 = 0 THEN 'drop_and_ocr' ELSE 'not_needed' END AS decision FROM documents d LEFT JOIN i ON i.doc_id = d.doc_id")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text", F.lit(500000.0).alias("area"), F.when(F.col("doc_id") % 4 == 0, "ScanSnap").otherwise("TeX").alias("producer"))
-    images = table(spark, d, "pages").where("page_id % 3 > 0").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), (F.length("url") * 9000.0).alias("area"))
+    images = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), (F.length("url") * 9000.0).alias("area"))
     return build.ocr_plan(docs, images).select("doc_id", "decision")
 
 

@@ -226,8 +226,9 @@ def garbled(spark: SparkSession, d: str) -> DataFrame:
     t = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace("text", f"[{K.VOWELS}]", "")).otherwise(F.col("text"))
     docs = table(spark, d, "documents").select("doc_id", "n_chars", "source", t.alias("t"))
     producer = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Scan "), "source")).otherwise(F.col("source"))
-    bad = K.is_garbled(F.col("t"))
-    return docs.select("doc_id", bad.alias("garbled"), K.is_ocr_producer(producer).alias("producer"), K.ocr_decision(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 10) / 10, F.col("n_chars"), producer, bad).alias("decision"))
+    docs = docs.withColumn("garbled", K.is_garbled(F.col("t")))
+    bad = F.col("garbled")
+    return docs.select("doc_id", "garbled", K.is_ocr_producer(producer).alias("producer"), K.ocr_decision(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 10) / 10, F.col("n_chars"), producer, bad).alias("decision"))
 
 
 words_sql = "list_filter(list_transform(regexp_split_to_array(t, '\\s+'), lambda w: regexp_replace(w, '[^\\p{L}]', '', 'g')), lambda w: length(w) >= 3)"

@@ -77,7 +77,7 @@ def test_repairs(spark):
     r = df.select(markup.collapse_loops(F.col("loops")).alias("l"), markup.dedup_ids(F.col("ids")).alias("i"), markup.merge_adjacent_links(F.col("links")).alias("m")).head()
     assert r.l == "line\nend" and r.m == '<a href="x">Radford</a> <a href="y">z</a>'
     assert r.i == '<p id="a"><p id="a-2"><p id="a-2-2"><p id="a-3">'
-    assert markup.cut_loops("a b a b a b c".split(), 4, 3, 0) == ["a", "b", "c"] and markup.cut_loops(["x", "x"], 4, 3, 0) == ["x", "x"]
+    assert markup.kept_of_loops("a b a b a b c".split(), 4, 3) == [0, 1, 6] and markup.kept_of_loops(["x", "x"], 4, 3) == [0, 1]
 
 
 def test_ids_sections_and_resuming(spark):
@@ -116,3 +116,40 @@ def test_extension_points(spark):
         b.get("none")
     v = search.embed(spark.createDataFrame([("one two",), ("",)], "text string"), search.hashing_embedder(8)).collect()
     assert abs(sum(x * x for x in v[0].vec) - 1) < 1e-6 and sum(v[1].vec) == 0
+
+
+def test_loops_of_recognisers(spark):
+    box = lambda k, t: f"<loc_{k}><loc_{k}><loc_9><loc_9>{t}"
+    cases = {
+        "ANEXO\n" + "!\n" * 6 + "fim": "ANEXO\n!\nfim",
+        "\n".join(box(k, "same text") for k in range(4)): box(0, "same text"),  # boxes differ, what they hold doesn't
+        "\n".join([box(0, "first x"), box(1, "second y")] * 4): "\n".join([box(0, "first x"), box(1, "second y")]),
+        "\n".join([box(0, "name"), box(1, "other"), box(2, "name")]): "\n".join([box(0, "name"), box(1, "other"), box(2, "name")]),
+        "\n".join(["ab", "cd"] * 3): "\n".join(["ab", "cd"] * 3),  # short lines need four rounds
+        "\n".join(["ab", "cd"] * 4): "ab\ncd",
+        "\n".join(["abcd", "e"] * 3): "abcd\ne",
+        "(c) 2019" + " 5/2019" * 40: "(c) 2019 5/2019",
+        "a a a b c": "a a a b c",  # five words are too few
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    for r in df.select("want", markup.collapse_loops(F.col("t")).alias("got")).collect():
+        assert r.got == r.want
+
+
+def test_regex_finds_what_it_shows(spark):
+    b = spark.createDataFrame([(1, 1, "b1", "para", 1, "a\nb a.b"), (1, 2, "b2", "para", 1, "xAAy aa")], "doc_id int, ord int, id string, kind string, page int, text string")
+    assert [(r.start, r.end) for r in model.find(b, "a.b", regex=True).hits.collect()] == [(4, 7)]
+    assert [(r.start, r.end) for r in model.find(b, "a+y", regex=True).hits.collect()] == [(1, 4)]
+
+
+def test_links_of_any_quoting(spark):
+    p = spark.createDataFrame([(1, """<a href="x">1</a><A class=b HREF='http://y'>2</a><a href=#z>3</a><a data-href="no">4</a><abbr href="no">""")], "page_id int, html string")
+    assert [(r.n, r.href, r.kind) for r in markup.links(p).collect()] == [(0, "x", "remote"), (1, "http://y", "uri"), (2, "#z", "internal")]
+
+
+def test_folds_are_linear(spark):
+    n = 20_000
+    b = spark.range(n).select(F.lit(1).alias("doc_id"), (F.col("id") + 1).cast("int").alias("ord"), F.when(F.col("id") % 3 == 0, "heading").otherwise("para").alias("kind"), (F.col("id") % 4 + 1).cast("int").alias("heading_level"), F.lit("some words of text").alias("text"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("section"))
+    assert model.section_tree(b).count() == n // 3 + 1
+    chunks = model.derive_chunks(b, 40).collect()
+    assert [o for c in sorted(chunks, key=lambda c: c.chunk) for o in c.ords] == list(range(1, n + 1))
