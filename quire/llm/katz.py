@@ -1,26 +1,30 @@
 """Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights, stored in partitioned tables.
 
-The model recurses bigram -> unigram -> uniform. A token w after h costs
+The model recurses trigram -> bigram -> unigram -> uniform. A token w after the
+context h, whose shorter form is h', costs
 
     P(w | h) = d_r * r / c(h)             r = c(h, w) > 0   (d_r = 1 above k)
-             = alpha(h) * P(w)            else
+             = alpha(h) * P(w | h')       else
 
     P(w)     = d_c * c(w) / N             c(w) > 0
              = what the discounts leave   else (all unknown words are one event)
 
-alpha(h) is (1 - sum of the first line over the seen w) / (1 - sum of P(w) over
-the seen w), so the probabilities after each context add up to one. Where
-nothing is discounted (every follower occurs more than k times), the
-denominator is c(h) + 1 instead of c(h), which leaves 1 / (c(h) + 1); a context
-that training never saw has alpha 1.
+with c(h) the sum of c(h, w) over all w. alpha(h) is (1 - sum of the first line
+over the seen w) / (1 - sum of P(w | h') over the seen w), so the probabilities
+after each context add up to one. Where nothing is discounted (every follower
+occurs more than k times), the denominator is c(h) + 1 instead of c(h), which
+leaves 1 / (c(h) + 1); a context that training never saw has alpha 1. A text's
+first token has the start alone as its context.
 
 How it runs: texts become blocks of word numbers; each distinct word of a block
 goes once to its hash bucket, which counts it and returns a number; each token
-then goes once, as one of the sorted pairs of its block, to the bucket of its
-context, where it is both counted and scored. A context with more than `hot`
-occurrences is spread over as many buckets as it needs, by its followers; the
-sums that its alpha needs are added up over those buckets.
-Words are told apart by a 64-bit hash of their bytes.
+then goes once, as one of the sorted triples of its block, to the bucket of the
+word before it. That bucket has all that follows and precedes this word, so it
+counts pairs and triples, settles the weights of both levels and scores. A word
+with more than `hot` occurrences is spread over as many buckets as it needs, by
+the word before; the counts of its pairs are added up over these buckets, in
+parts by follower, and sent back. Words are told apart by a 64-bit hash of their
+bytes. Texts are read twice, so that numbers needn't be kept on disk.
 """
 
 from __future__ import annotations
@@ -81,16 +85,17 @@ class Lower:
 
 # ---------------------------------------------------------------- 1. blocks
 
-_BLOCKS = "kind int, block long, bucket int, docs long, train long, tokens long, payload binary"
+_BLOCKS = "kind int, block long, bucket int, train long, tokens long, payload binary"
 
 
-def _to_blocks(id_: str, text: str, held: str, buckets: int):
+def _to_blocks(id_: str, text: str, held: str, buckets: int, vocabulary: bool):
+    """Blocks of texts: for the vocabulary, their distinct words by bucket; else their numbers."""
+
     def run(batches):
         for serial, t in enumerate(grouped_batches(batches, text)):
             block = block_number(serial)
             low, s, n, doc = words(*utf8(t.column(text)))
             out = np.asarray(t.column(held).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False), bool)
-            ids = t.column(id_).combine_chunks().cast(pa.int64())
             h = word_hashes(low, s, n)
             code, uniq = pd.factorize(h)
             size = np.bincount(code, minlength=len(uniq))
@@ -99,29 +104,32 @@ def _to_blocks(id_: str, text: str, held: str, buckets: int):
             local[order] = np.arange(len(uniq))
             seq = local[code]
             uniq = uniq[order]
-            per_doc = np.bincount(doc, minlength=t.num_rows)
-            train = np.bincount(seq, weights=~out[doc], minlength=len(uniq)).astype(np.int64)
             part = (uniq % np.uint64(buckets)).astype(np.int32)
-            null = np.asarray(ids.is_null().to_numpy(zero_copy_only=False), bool)
-            body = pack(seq.astype(np.uint32), part, per_doc.astype(np.uint32), out.astype(np.uint8), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null.astype(np.uint8))
-            rows = [(0, block, 0, t.num_rows, int((~out).sum()), len(seq) + t.num_rows, body)]
+            if not vocabulary:
+                ids = t.column(id_).combine_chunks().cast(pa.int64())
+                null = np.asarray(ids.is_null().to_numpy(zero_copy_only=False), bool)
+                per_doc = np.bincount(doc, minlength=t.num_rows)
+                body = pack(seq.astype(np.uint32), part, per_doc.astype(np.uint32), out.astype(np.uint8), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null.astype(np.uint8))
+                yield from _rows([(0, block, 0, 0, 0, body)], _BLOCKS_ARROW)
+                continue
+            rows = [(0, block, block % buckets, int((~out).sum()), len(seq) + t.num_rows, None)]
+            train = np.bincount(seq, weights=~out[doc], minlength=len(uniq)).astype(np.int64)
             first = np.zeros(len(uniq), np.int64)
             first[seq[::-1]] = np.arange(len(seq))[::-1]
             ws, wn = s[first], n[first]
             where = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[where], np.arange(buckets + 1))
-            for b in range(buckets):
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
                 mine = where[cuts[b] : cuts[b + 1]]
-                if len(mine):
-                    m = wn[mine]
-                    at = np.repeat(ws[mine] - np.cumsum(m) + m, m) + np.arange(m.sum())
-                    rows.append((1, block, b, 0, 0, 0, pack(m.astype(np.uint32), train[mine], low[at].tobytes())))
+                m = wn[mine]
+                at = np.repeat(ws[mine] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                rows.append((1, block, b, 0, 0, pack(m.astype(np.uint32), train[mine], low[at].tobytes())))
             yield from _rows(rows, _BLOCKS_ARROW)
 
     return run
 
 
-_BLOCKS_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("docs", pa.int64()), ("train", pa.int64()), ("tokens", pa.int64()), ("payload", pa.binary())])
+_BLOCKS_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("train", pa.int64()), ("tokens", pa.int64()), ("payload", pa.binary())])
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> list[pa.RecordBatch]:
@@ -137,9 +145,10 @@ def _vocabulary(k: int, buckets: int):
     def run(key, group):
         lean_memory()
         bucket = key[0].as_py()
-        got = [(b, *unpack(p)) for b, p in zip(group.column("block").to_pylist(), group.column("payload").to_pylist(), strict=True)]
-        n = np.concatenate([x[1] for x in got]).astype(np.int64)
-        c = np.concatenate([x[2] for x in got])
+        got = [(b, *unpack(p)) for b, p in zip(group.column("block").to_pylist(), group.column("payload").to_pylist(), strict=True) if p is not None]
+        sums = [sum(group.column(c).to_pylist()) for c in ("train", "tokens")]
+        n = np.concatenate([x[1] for x in got]).astype(np.int64) if got else np.zeros(0, np.int64)
+        c = np.concatenate([x[2] for x in got]) if got else np.zeros(0, np.int64)
         raw = np.frombuffer(b"".join(x[3] for x in got), np.uint8)
         s = np.cumsum(n) - n
         code, uniq = pd.factorize(word_hashes(raw, s, n))
@@ -152,22 +161,22 @@ def _vocabulary(k: int, buckets: int):
         first[code[::-1]] = np.arange(len(code))[::-1]
         w = [raw[s[i] : s[i] + n[i]].tobytes().decode("utf-8", "replace") for i in first[order].tolist()]
         kinds = [int((total == r).sum()) for r in range(1, k + 2)]
-        rows = [(0, 0, int(total.sum()), int((total > 0).sum()), kinds, w, number[order].tolist(), total[order].tolist(), None)]
+        rows = [(0, 0, int(total.sum()), int((total > 0).sum()), *sums, kinds, w, number[order].tolist(), total[order].tolist(), None)]
         at = 0
         for block, m, _, _ in got:
             mine = code[at : at + len(m)]
             at += len(m)
-            rows.append((1, block, 0, 0, None, None, None, None, pack(np.array([bucket]), number[mine], total[mine])))
+            rows.append((1, block, 0, 0, 0, 0, None, None, None, None, pack(np.array([bucket]), number[mine], total[mine])))
         return pa.Table.from_batches(_rows(rows, schema), schema)
 
     return run
 
 
 def _vocab_arrow(k: int) -> pa.Schema:
-    return pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("n_r", pa.list_(pa.int64())), ("word", pa.list_(pa.string())), ("number", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("payload", pa.binary())])
+    return pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("train", pa.int64()), ("tokens", pa.int64()), ("n_r", pa.list_(pa.int64())), ("word", pa.list_(pa.string())), ("number", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
-_VOCAB = "kind int, block long, n long, v long, n_r array<long>, word array<string>, number array<long>, c array<long>, payload binary"
+_VOCAB = "kind int, block long, n long, v long, train long, tokens long, n_r array<long>, word array<string>, number array<long>, c array<long>, payload binary"
 
 
 # ---------------------------------------------------------------- 3. tokens to the buckets of their contexts
@@ -193,7 +202,7 @@ _TOKENS = "bucket int, kind int, block long, payload binary"
 _TOKENS_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 
 
-def _to_tokens(low: Lower, n_train: int, hot: int, buckets: int):
+def _to_tokens(low: Lower, n_train: int, hot: int, buckets: int, order: int):
     def run(key, group):
         lean_memory()
         block = key[0].as_py()
@@ -206,6 +215,8 @@ def _to_tokens(low: Lower, n_train: int, hot: int, buckets: int):
             if q:
                 b, gid, c = unpack(p)
                 lo, hi = np.searchsorted(ordered, [b[0], b[0] + 1])
+                if hi - lo != len(gid):
+                    raise ValueError("a block was read twice with different words")
                 number[where[lo:hi]], count[where[lo:hi]] = gid, c
         per_doc = per_doc.astype(np.int64)
         d = len(per_doc)
@@ -225,26 +236,37 @@ def _to_tokens(low: Lower, n_train: int, hot: int, buckets: int):
         base = np.bincount(doc, np.log10((c2 + 1) / (low.total + low.known + 1)), d)
         known = np.bincount(doc, c2 > 0, d).astype(np.int64)
         rows = [(block % buckets, 0, block, pack(ids, null, out, size, known, base))]
-        q = _bucket(g1, g2, c1, hot, buckets)
+        # the word before the context; the start has none, and is spread by what follows it
+        left = np.full(total, START, np.int64)
+        if order > 2:
+            left[later] = g1[later - 1]
+        q = _bucket(g1, np.where(g1 == START, g2, left) if order > 2 else g2, c1, hot, buckets)
         if max(g1.max(initial=0), g2.max(initial=0)) < 1 << 32:
-            o = np.argsort(g1.astype(np.uint64) << np.uint64(32) | g2.astype(np.uint64))
+            o = np.argsort(left.astype(np.uint32), kind="stable") if order > 2 else np.arange(total)
+            o = o[np.argsort((g1.astype(np.uint64) << np.uint64(32) | g2.astype(np.uint64))[o], kind="stable")]
         else:
-            o = np.lexsort((g2, g1))
+            o = np.lexsort((left, g2, g1))
         qs = q[o].astype(np.uint16 if buckets < 1 << 16 else np.uint32)
         o = o[np.argsort(qs, kind="stable")]
-        q, g1, g2, c1, c2, doc = q[o], g1[o], g2[o], c1[o], c2[o], doc[o]
+        q, g1, g2, left, c1, c2, doc = q[o], g1[o], g2[o], left[o], c1[o], c2[o], doc[o]
         train = out[doc] == 0
         cuts = np.searchsorted(q, np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             i, j = cuts[b], cuts[b + 1]
-            a1, a2 = g1[i:j], g2[i:j]
-            new = np.r_[True, (a1[1:] != a1[:-1]) | (a2[1:] != a2[:-1])]
-            p = np.flatnonzero(new)
-            m = np.diff(np.r_[p, j - i])
-            mt = np.add.reduceat(train[i:j].astype(np.int64), p)
+            a1, a2, al = g1[i:j], g2[i:j], left[i:j]
+            pair = np.r_[True, (a1[1:] != a1[:-1]) | (a2[1:] != a2[:-1])]
+            p = np.flatnonzero(pair)
+            t = np.flatnonzero(pair | np.r_[True, al[1:] != al[:-1]])
+            m = np.diff(np.r_[t, j - i])
+            mt = np.add.reduceat(train[i:j].astype(np.int64), t)
             p1 = a1[p]
             h = np.flatnonzero(np.r_[True, p1[1:] != p1[:-1]])
-            rows.append((b, 1, block, pack(np.diff(p1[h], prepend=0), np.diff(np.r_[h, len(p)]).astype(np.uint32), c1[i:j][p[h]], a2[p], c2[i:j][p], m.astype(np.uint32), mt.astype(np.uint32), doc[i:j].astype(np.uint32))))
+            triples = np.diff(np.searchsorted(t, np.r_[p, j - i]))
+            # followers rise within a context: steps instead of numbers
+            step = np.diff(a2[p], prepend=0)
+            step[h] = a2[p][h]
+            body = pack(np.diff(p1[h], prepend=0), np.diff(np.r_[h, len(p)]).astype(np.uint32), c1[i:j][p[h]], step, c2[i:j][p], triples.astype(np.uint32), al[t], m.astype(np.uint32), mt.astype(np.uint32), doc[i:j].astype(np.uint32))
+            rows.append((b, 1, block, body))
         return pa.Table.from_batches(_rows(rows, _TOKENS_ARROW), _TOKENS_ARROW)
 
     return run
@@ -253,65 +275,131 @@ def _to_tokens(low: Lower, n_train: int, hot: int, buckets: int):
 # ---------------------------------------------------------------- 4. counts, sums of hot contexts, scores
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of small numbers: the first ones, the second ones, and which each row is."""
+    key, at = np.unique(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64), return_inverse=True)
+    return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), at
+
+
 class _Bucket:
-    """All pairs of a bucket: distinct ones sorted by context, and where the pairs of each block went."""
+    """The pairs and triples of a bucket: distinct ones sorted by context, and where those of each block went."""
 
-    def __init__(self, group: pa.Table, low: Lower):
-        self.base, self.parts = [], []
-        ctx, fol, c1, c2, seen, size = [], [], [], [], [], []
+    def __init__(self, group: pa.Table, low: Lower, hot: int, order: int):
+        self.base, self.parts, self.hot = [], [], hot
+        ctx, fol, c1, c2, seen, left, pair, size, pairs = [], [], [], [], [], [], [], [], 0
         for kind, block, p in zip(group.column("kind").to_pylist(), group.column("block").to_pylist(), group.column("payload").to_pylist(), strict=True):
             if not kind:
                 self.base.append((block, p))
                 continue
-            step, runs, k1, a2, k2, m, mt, doc = unpack(p)
+            step, runs, k1, up, k2, n, al, m, mt, doc = unpack(p)
             ctx.append(np.repeat(np.cumsum(step), runs))
             c1.append(np.repeat(k1, runs))
-            fol.append(a2)
+            upto = np.cumsum(up)
+            begin = np.cumsum(runs.astype(np.int64)) - runs
+            fol.append(upto - np.repeat(upto[begin] - up[begin], runs))
             c2.append(k2)
+            pair.append(np.repeat(np.arange(pairs, pairs + len(up)), n))
+            pairs += len(up)
+            left.append(al)
             seen.append(mt)
-            size.append(len(a2))
+            size.append(len(al))
             self.parts.append((block, m, doc))
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         l1, self.ctx = pd.factorize(cat(ctx))
         l2, u2 = pd.factorize(cat(fol))
-        key, first, self.at = np.unique(l1.astype(np.uint64) << np.uint64(32) | l2.astype(np.uint64), return_index=True, return_inverse=True)
-        self.r = np.bincount(self.at, cat(seen), len(key)).astype(np.int64)
-        self.own = (key >> np.uint64(32)).astype(np.int64)
-        self.fol = u2[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        self.p1 = low.p(cat(c2)[first])
+        self.own, fol, at = _distinct(l1, l2)
+        self.fol = u2[fol]
+        self.c2 = np.zeros(len(self.own), np.int64)
+        self.c2[at] = cat(c2)
+        self.p1 = low.p(self.c2)
         self.c1 = np.zeros(len(self.ctx), np.int64)
-        self.c1[self.own] = cat(c1)[first]
+        self.c1[l1] = cat(c1)
+        l3, u3 = pd.factorize(cat(left))
+        self.pair, left, self.at = _distinct(at[cat(pair)], l3)
+        self.left = u3[left]
+        self.r3 = np.bincount(self.at, cat(seen), len(self.pair)).astype(np.int64)
+        self.r = np.bincount(self.pair, self.r3, len(self.own)).astype(np.int64)
+        # contexts of triples: the word before, and the pair's
+        self.mid, self.before, self.own3 = _distinct(self.own[self.pair], left)
+        self.before = u3[self.before]
+        self.deep = self.ctx[self.own[self.pair]] != START if len(self.pair) and order > 2 else np.zeros(len(self.pair), bool)
         self.cut = np.cumsum(size)
 
-    def sums(self, k: int) -> np.ndarray:
-        """Of each context: followers seen 1..k times, occurrences of more frequent ones, sum of P over the seen."""
-        n = len(self.ctx)
-        r, cols = self.r, []
-        for i in range(1, k + 1):
-            cols.append(np.bincount(self.own, r == i, n))
-        cols.append(np.bincount(self.own, np.where(r > k, r, 0), n))
-        cols.append(np.bincount(self.own, np.where(r > 0, self.p1, 0), n))
-        return np.stack(cols, 1) if n else np.zeros((0, k + 2))
+    def hot_contexts(self) -> list[int]:
+        return np.flatnonzero(self.c1 > self.hot).tolist()
+
+    def parts_of(self, i: int):
+        """(part, pairs by follower) of a hot context."""
+        lo, hi = np.searchsorted(self.own, [i, i + 1])
+        ways = -(-int(self.c1[i]) // self.hot)
+        order = lo + np.argsort(self.fol[lo:hi])
+        part = self.fol[order] % ways
+        for q in np.unique(part).tolist():
+            yield q, order[part == q]
 
 
-def _counts(low: Lower, k: int, hot: int):
-    schema = pa.schema([("ctx", pa.int64()), ("c1", pa.int64()), ("s", pa.list_(pa.float64()))])
+def _sums(r: np.ndarray, lower: np.ndarray, own: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Of each context: followers seen 1..k times, occurrences of more frequent ones, sum of the lower level's P over the seen."""
+    cols = [np.bincount(own, r == i, n) for i in range(1, k + 1)]
+    cols.append(np.bincount(own, np.where(r > k, r, 0), n))
+    cols.append(np.bincount(own, np.where(r > 0, lower, 0), n))
+    return np.stack(cols, 1) if n else np.zeros((0, k + 2))
 
+
+def _kinds(r: np.ndarray, k: int) -> list[float]:
+    """How many counts are 1..k + 1 (and a zero, to be as long as sums)."""
+    return [float((r == i).sum()) for i in range(1, k + 2)] + [0.0]
+
+
+_FACTS = "ctx long, part int, bucket int, c1 long, s array<double>, payload binary"
+_FACTS_ARROW = pa.schema([("ctx", pa.int64()), ("part", pa.int32()), ("bucket", pa.int32()), ("c1", pa.int64()), ("s", pa.list_(pa.float64())), ("payload", pa.binary())])
+PAIRS, TRIPLES = -1, -2  # instead of a context: the counts of counts
+
+
+def _counts(low: Lower, k: int, hot: int, order: int):
     def run(key, group):
         lean_memory()
-        b = _Bucket(group, low)
-        rows = [(-1, 0, [float((b.r == i).sum()) for i in range(1, k + 2)] + [0.0])]
-        big = np.flatnonzero(b.c1 > hot)
-        if len(big):
-            s = b.sums(k)
-            rows += [(int(b.ctx[i]), int(b.c1[i]), s[i].tolist()) for i in big]
-        return pa.Table.from_batches(_rows(rows, schema), schema)
+        b, bucket = _Bucket(group, low, hot, order), key[0].as_py()
+        cold = b.c1[b.own] <= hot if len(b.own) else np.zeros(0, bool)
+        rows = [(PAIRS, 0, -1, 0, _kinds(b.r[cold], k), None), (TRIPLES, 0, -1, 0, _kinds(b.r3[b.deep], k), None)]
+        for i in b.hot_contexts():
+            rows += [(int(b.ctx[i]), q, bucket, int(b.c1[i]), None, pack(np.diff(b.fol[own], prepend=0), b.r[own], b.c2[own])) for q, own in b.parts_of(i)]
+        return pa.Table.from_batches(_rows(rows, _FACTS_ARROW), _FACTS_ARROW)
 
     return run
 
 
-_SCORED = "kind int, block long, payload binary, context array<long>, backoff array<double>, followers array<int>, word array<long>, c array<long>"
-_SCORED_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary()), ("context", pa.list_(pa.int64())), ("backoff", pa.list_(pa.float64())), ("followers", pa.list_(pa.int32())), ("word", pa.list_(pa.int64())), ("c", pa.list_(pa.int64()))])
+def _totals(low: Lower, k: int):
+    """Of a part of a hot context's pairs: counts over all buckets, sent back to each; sums; counts of counts."""
+
+    def run(key, group):
+        lean_memory()
+        ctx, part = key[0].as_py(), key[1].as_py()
+        if ctx < 0:
+            total = np.sum(np.array(group.column("s").to_pylist()), 0)
+            return pa.Table.from_batches(_rows([(ctx, 0, -1, 0, total.tolist(), None)], _FACTS_ARROW), _FACTS_ARROW)
+        got = sorted(zip(group.column("bucket").to_pylist(), group.column("payload").to_pylist(), strict=True))
+        got = [(bucket, *unpack(p)) for bucket, p in got]
+        fol = np.concatenate([np.cumsum(x[1]) for x in got])
+        uniq, first, at = np.unique(fol, return_index=True, return_inverse=True)
+        r = np.bincount(at, np.concatenate([x[2] for x in got]), len(uniq)).astype(np.int64)
+        p1 = low.p(np.concatenate([x[3] for x in got])[first])
+        c1 = max(group.column("c1").to_pylist())
+        rows = [(ctx, part, -1, c1, _sums(r, p1, np.zeros(len(r), np.int64), 1, k)[0].tolist(), None), (PAIRS, 0, -1, 0, _kinds(r, k), None)]
+        mine = np.zeros(len(fol), np.uint8)
+        mine[first] = 1  # a pair is stored by the first bucket that has it
+        lo = 0
+        for bucket, step, _, _ in got:
+            hi = lo + len(step)
+            rows.append((ctx, part, bucket, c1, None, pack(r[at[lo:hi]], mine[lo:hi])))
+            lo = hi
+        return pa.Table.from_batches(_rows(rows, _FACTS_ARROW), _FACTS_ARROW)
+
+    return run
+
+
+_SCORED = "kind int, block long, payload binary, before array<long>, context array<long>, backoff array<double>, followers array<int>, word array<long>, c array<long>"
+_SCORED_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary()), ("before", pa.list_(pa.int64())), ("context", pa.list_(pa.int64())), ("backoff", pa.list_(pa.float64())), ("followers", pa.list_(pa.int32())), ("word", pa.list_(pa.int64())), ("c", pa.list_(pa.int64()))])
 
 
 def backoff_weights(sums: np.ndarray, c1: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -326,38 +414,68 @@ def backoff_weights(sums: np.ndarray, c1: np.ndarray, d: np.ndarray, k: int) ->
     return den, alpha
 
 
-def _scores(low: Lower, k: int, hot: int):
+def _level(r: np.ndarray, own: np.ndarray, sums: np.ndarray, c: np.ndarray, d: np.ndarray, lower: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """P of each event of a level, from that of the lower one, and alpha of each context."""
+    den, alpha = backoff_weights(sums, c, d, k)
+    full = np.ones(k + 2)
+    full[1 : len(d) + 1] = d
+    return np.where(r > 0, full[np.minimum(r, k + 1)] * r / np.maximum(den[own], 1), alpha[own] * lower), alpha
+
+
+def _table(kind: int, bucket: int, before: np.ndarray | None, context: np.ndarray, backoff: np.ndarray, followers: np.ndarray, word: np.ndarray, c: np.ndarray) -> pa.Table:
+    one = lambda x, t: pa.nulls(1, pa.list_(t)) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
+    cols = [pa.array([kind], pa.int32()), pa.array([bucket], pa.int64()), pa.nulls(1, pa.binary()), one(before, pa.int64()), one(context, pa.int64()), one(backoff, pa.float64()), one(followers.astype(np.int32), pa.int32()), one(word, pa.int64()), one(c, pa.int64())]
+    return pa.table(cols, schema=_SCORED_ARROW)
+
+
+def _scores(low: Lower, k: int, hot: int, order: int):
     def run(key, group, facts):
         lean_memory()
         bucket = key[0].as_py()
-        b = _Bucket(group, low)
-        s = b.sums(k)
-        n = np.zeros(k + 2)
-        spread = {}
-        for ctx, sums in zip(facts.column("ctx").to_pylist(), facts.column("s").to_pylist(), strict=True):
-            if ctx == -1:
-                n = np.array(sums)
+        b = _Bucket(group, low, hot, order)
+        n2 = n3 = np.zeros(k + 2)
+        spread, answers = {}, {}
+        for ctx, part, sums, payload in zip(*(facts.column(c).to_pylist() for c in ("ctx", "part", "s", "payload")), strict=True):
+            if payload is not None:
+                answers[ctx, part] = payload
+            elif ctx == PAIRS:
+                n2 = np.array(sums)
+            elif ctx == TRIPLES:
+                n3 = np.array(sums)
             else:
                 spread[ctx] = sums
-        d = discounts(n[: k + 1].tolist(), k)
-        for i in np.flatnonzero(b.c1 > hot).tolist():
-            s[i] = spread[int(b.ctx[i])]
-        den, alpha = backoff_weights(s, b.c1, d, k)
-        full = np.ones(k + 2)
-        full[1 : len(d) + 1] = d
-        p = np.where(b.r > 0, full[np.minimum(b.r, k + 1)] * b.r / np.maximum(den[b.own], 1), alpha[b.own] * b.p1)
-        units = np.rint(np.log10(np.maximum(p, 1e-300)) * UNIT)
-        rows = [(0, block, payload, None, None, None, None, None) for block, payload in b.base]
+        mine = np.ones(len(b.own), bool)
+        s = _sums(b.r, b.p1, b.own, len(b.ctx), k)
+        for i in b.hot_contexts():
+            ctx = int(b.ctx[i])
+            s[i] = spread[ctx]
+            for part, own in b.parts_of(i):
+                total, first = unpack(answers[ctx, part])
+                b.r[own], mine[own] = total, first.astype(bool)
+        p2, alpha = _level(b.r, b.own, s, b.c1, discounts(n2[: k + 1].tolist(), k), b.p1, k)
+        lower = p2[b.pair]
+        n = len(b.mid)
+        c3 = np.bincount(b.own3, b.r3, n).astype(np.int64)
+        p3, alpha3 = _level(b.r3, b.own3, _sums(b.r3, lower, b.own3, n, k), c3, discounts(n3[: k + 1].tolist(), k), lower, k)
+        units = np.rint(np.log10(np.maximum(np.where(b.deep, p3, lower), 1e-300)) * UNIT)
+        rows = [(0, block, payload, None, None, None, None, None, None) for block, payload in b.base]
         lo = 0
         for (block, m, doc), hi in zip(b.parts, b.cut.tolist(), strict=True):
             value = np.repeat(units[b.at[lo:hi]], m)
             lo = hi
             total = np.bincount(doc, value)
             has = np.flatnonzero(np.bincount(doc))
-            rows.append((1, block, pack(np.diff(has, prepend=0).astype(np.uint32), total[has].astype(np.int64)), None, None, None, None, None))
-        known = np.flatnonzero(b.r > 0)
-        rows.append((2, bucket, None, b.ctx.tolist(), alpha.tolist(), np.bincount(b.own[known], minlength=len(b.ctx)).tolist(), b.fol[known].tolist(), b.r[known].tolist()))
-        return pa.Table.from_batches(_rows(rows, _SCORED_ARROW), _SCORED_ARROW)
+            rows.append((1, block, pack(np.diff(has, prepend=0).astype(np.uint32), total[has].astype(np.int64)), None, None, None, None, None, None))
+        out = [pa.Table.from_batches(_rows(rows, _SCORED_ARROW), _SCORED_ARROW)]
+        known = np.flatnonzero((b.r > 0) & mine)
+        out.append(_table(2, bucket, None, b.ctx, alpha, np.bincount(b.own[known], minlength=len(b.ctx)), b.fol[known], b.r[known]))
+        known = np.flatnonzero((b.r3 > 0) & b.deep)
+        known = known[np.lexsort((b.fol[b.pair[known]], b.own3[known]))]
+        some = np.flatnonzero(np.bincount(b.own3[known], minlength=n))
+        # a context seen once has the weight that its one follower leaves, which needn't be stored
+        weight = np.where(c3[some] > 1, alpha3[some], np.nan)
+        out.append(_table(3, bucket, b.before[some], b.ctx[b.mid[some]], weight, np.bincount(b.own3[known], minlength=n)[some], b.fol[b.pair[known]], b.r3[known]))
+        return pa.concat_tables(out)
 
     return run
 
@@ -385,58 +503,65 @@ class KatzModel:
     """Tables of a trained model; each may be empty.
 
     unigrams(word, number, c); bigrams(bucket, context, backoff, followers, word, c)
-    with arrays: the followers of context[i] are the next followers[i] entries of
-    word and c. scores: a row for each input row.
+    and trigrams, with `before` (the word before the context), hold arrays: the
+    followers of context[i] are the next followers[i] entries of word and c, all as
+    numbers. A trigram context seen once has NaN as its backoff: it is
+    (1 - d_1) / (1 - P) of its follower, or by d_1 = 1 as for any context without
+    discounts. scores: a row for each input row.
     """
 
     scores: DataFrame
     unigrams: DataFrame
     bigrams: DataFrame
+    trigrams: DataFrame
     lower: Lower | None
 
 
-def katz(docs: DataFrame, held_out: Column, id_: str = "doc_id", text: str = "text", k: int = 5, hot: int = 1_500_000, bucket_tokens: int = 3_000_000) -> KatzModel:
+def katz(docs: DataFrame, held_out: Column, id_: str = "doc_id", text: str = "text", k: int = 5, hot: int = 1_500_000, bucket_tokens: int = 2_000_000, order: int = 3) -> KatzModel:
     """Trains on the rows whose held_out isn't true and scores all rows.
 
     A null text is empty (its one token is the end); a null id stays null;
     repeated rows count, and are scored, each for itself; other columns are
     ignored, whatever their names. No rows: empty tables.
     k: largest count that is discounted. hot: occurrences above which a context
-    is spread. bucket_tokens: tokens that a task holds at once.
+    is spread. bucket_tokens: tokens that a task holds at once. order: 2 or 3.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "katz")
-    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("text"), held_out.alias("held"))
-    blocks = scratch.write(rows.mapInArrow(_to_blocks("id", "text", "held", wide), _BLOCKS), "blocks", "kind")
-    vocab = scratch.write(blocks.where("kind = 1").select("bucket", "block", "payload").groupBy("bucket").applyInArrow(_vocabulary(k, wide), _VOCAB), "vocabulary", "kind")
-    heads = blocks.where("kind = 0").agg(F.coalesce(F.sum("train"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).head()
-    counts = vocab.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0)), *(F.coalesce(F.sum(F.col("n_r")[i]), F.lit(0)) for i in range(k + 1))).head()
-    train, tokens = int(heads[0]), int(heads[1])
-    n_r = [float(x) for x in counts[2:]]
+    # buckets of words grow with the splits of the input
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    seen = rows.mapInArrow(_to_blocks("id", "text", "held", wide, True), _BLOCKS).repartition(wide, "bucket")
+    vocab = scratch.write(seen.groupBy("bucket").applyInArrow(_vocabulary(k, wide), _VOCAB), "vocabulary", "kind")
+    zero = F.lit(0)
+    counts = vocab.where("kind = 0").agg(*(F.coalesce(F.sum(c), zero) for c in ("n", "v", "train", "tokens")), *(F.coalesce(F.sum(F.col("n_r")[i]), zero) for i in range(k + 1))).head()
+    train, tokens = int(counts[2]), int(counts[3])
+    n_r = [float(x) for x in counts[4:]]
     if 0 < train <= k + 1:
         n_r[train - 1] += 1  # the end token
     low = Lower.of(n_r, float(counts[0] + train), float(counts[1] + (train > 0)), k)
     many = max(spark.sparkContext.defaultParallelism, -(-tokens // bucket_tokens), 1)
-    both = blocks.where("kind = 0").select(F.lit(0).alias("kind"), "block", "payload").unionAll(vocab.where("kind = 1").select(F.lit(1).alias("kind"), "block", "payload"))
-    pairs = both.groupBy("block").applyInArrow(_to_tokens(low, train, hot, many), _TOKENS)
+    blocks = rows.mapInArrow(_to_blocks("id", "text", "held", wide, False), _BLOCKS)
+    both = blocks.select("kind", "block", "payload").unionAll(vocab.where("kind = 1").select(F.lit(1).alias("kind"), "block", "payload"))
+    pairs = both.repartition(wide, "block").groupBy("block").applyInArrow(_to_tokens(low, train, hot, many, order), _TOKENS)
     pairs = pairs.repartition(many, "bucket")
-    stats = pairs.groupBy("bucket").applyInArrow(_counts(low, k, hot), "ctx long, c1 long, s array<double>")
-    stats = stats.groupBy("ctx").agg(F.max("c1").alias("c1"), F.array(*(F.sum(F.col("s")[i]) for i in range(k + 2))).alias("s"))
+    stats = pairs.groupBy("bucket").applyInArrow(_counts(low, k, hot, order), _FACTS).repartition(wide, "ctx", "part")
+    stats = stats.groupBy("ctx", "part").applyInArrow(_totals(low, k), _FACTS)
+    sums = stats.where("bucket = -1").groupBy("ctx").agg(F.max("c1").alias("c1"), F.array(*(F.sum(F.col("s")[i]) for i in range(k + 2))).alias("s"))
 
     def places(batches):
         for b in batches:
             ctx, c1, s = (b.column(i).to_pylist() for i in range(3))
-            out = [(q, x, y) for x, n, y in zip(ctx, c1, s, strict=True) for q in (range(many) if x == -1 else _places(x, n, hot, many))]
-            yield from _rows(out, pa.schema([("bucket", pa.int32()), ("ctx", pa.int64()), ("s", pa.list_(pa.float64()))]))
+            out = [(x, 0, q, n, y, None) for x, n, y in zip(ctx, c1, s, strict=True) for q in (range(many) if x < 0 else _places(x, n, hot, many))]
+            yield from _rows(out, _FACTS_ARROW)
 
-    facts = stats.mapInArrow(places, "bucket int, ctx long, s array<double>")
-    scored = pairs.groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(_scores(low, k, hot), _SCORED)
+    facts = sums.mapInArrow(places, _FACTS).unionAll(stats.where("bucket >= 0"))
+    scored = pairs.groupBy("bucket").cogroup(facts.repartition(many, "bucket").groupBy("bucket")).applyInArrow(_scores(low, k, hot, order), _SCORED)
     scored = scratch.write(scored, "scored", "kind")
-    scores = scored.where("kind < 2").select("kind", "block", "payload").groupBy("block").applyInArrow(_finish(int(low.total)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = scored.where("kind < 2").select("kind", "block", "payload").repartition(wide, "block").groupBy("block").applyInArrow(_finish(int(low.total)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     unigrams = vocab.where("kind = 0").select(F.explode(F.arrays_zip("word", "number", "c")).alias("x")).select("x.word", "x.number", "x.c")
-    bigrams = scored.where("kind = 2").select(F.col("block").alias("bucket"), "context", "backoff", "followers", "word", "c")
-    return KatzModel(scores, unigrams, bigrams, low)
+    grams = lambda kind, *more: scored.where(F.col("kind") == kind).select(F.col("block").alias("bucket"), *more, "context", "backoff", "followers", "word", "c")
+    return KatzModel(scores, unigrams, grams(2), grams(3, "before"), low)
 
 
 def held_by_crc(id_: str = "doc_id", mod: int = 7, rest: int = 2) -> Column:
