@@ -265,7 +265,8 @@ def _to_tokens(low: Lower, n_train: int, hot: int, buckets: int, order: int):
             # followers rise within a context: steps instead of numbers
             step = np.diff(a2[p], prepend=0)
             step[h] = a2[p][h]
-            body = pack(np.diff(p1[h], prepend=0), np.diff(np.r_[h, len(p)]).astype(np.uint32), c1[i:j][p[h]], step, c2[i:j][p], triples.astype(np.uint32), al[t], m.astype(np.uint32), mt.astype(np.uint32), doc[i:j].astype(np.uint32))
+            _, one = np.unique(a2[p], return_index=True)  # the count of each follower goes once
+            body = pack(np.diff(p1[h], prepend=0), np.diff(np.r_[h, len(p)]).astype(np.uint32), c1[i:j][p[h]], step, c2[i:j][p[one]], triples.astype(np.uint32), al[t], m.astype(np.uint32), mt.astype(np.uint32), doc[i:j].astype(np.uint32))
             rows.append((b, 1, block, body))
         return pa.Table.from_batches(_rows(rows, _TOKENS_ARROW), _TOKENS_ARROW)
 
@@ -286,7 +287,7 @@ class _Bucket:
 
     def __init__(self, group: pa.Table, low: Lower, hot: int, order: int):
         self.base, self.parts, self.hot = [], [], hot
-        ctx, fol, c1, c2, seen, left, pair, size, pairs = [], [], [], [], [], [], [], [], 0
+        ctx, fol, c1, each, c2, seen, left, pair, size, pairs = [], [], [], [], [], [], [], [], [], 0
         for kind, block, p in zip(group.column("kind").to_pylist(), group.column("block").to_pylist(), group.column("payload").to_pylist(), strict=True):
             if not kind:
                 self.base.append((block, p))
@@ -297,6 +298,7 @@ class _Bucket:
             upto = np.cumsum(up)
             begin = np.cumsum(runs.astype(np.int64)) - runs
             fol.append(upto - np.repeat(upto[begin] - up[begin], runs))
+            each.append(np.unique(fol[-1]))
             c2.append(k2)
             pair.append(np.repeat(np.arange(pairs, pairs + len(up)), n))
             pairs += len(up)
@@ -309,8 +311,9 @@ class _Bucket:
         l2, u2 = pd.factorize(cat(fol))
         self.own, fol, at = _distinct(l1, l2)
         self.fol = u2[fol]
-        self.c2 = np.zeros(len(self.own), np.int64)
-        self.c2[at] = cat(c2)
+        count = np.zeros(len(u2), np.int64)
+        count[pd.Index(u2).get_indexer(cat(each))] = cat(c2)
+        self.c2 = count[fol]
         self.p1 = low.p(self.c2)
         self.c1 = np.zeros(len(self.ctx), np.int64)
         self.c1[l1] = cat(c1)
@@ -398,8 +401,8 @@ def _totals(low: Lower, k: int):
     return run
 
 
-_SCORED = "kind int, block long, payload binary, before array<long>, context array<long>, backoff array<double>, followers array<int>, word array<long>, c array<long>"
-_SCORED_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary()), ("before", pa.list_(pa.int64())), ("context", pa.list_(pa.int64())), ("backoff", pa.list_(pa.float64())), ("followers", pa.list_(pa.int32())), ("word", pa.list_(pa.int64())), ("c", pa.list_(pa.int64()))])
+_SCORED = "kind int, block long, payload binary"
+_SCORED_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 
 
 def backoff_weights(sums: np.ndarray, c1: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -422,10 +425,16 @@ def _level(r: np.ndarray, own: np.ndarray, sums: np.ndarray, c: np.ndarray, d: n
     return np.where(r > 0, full[np.minimum(r, k + 1)] * r / np.maximum(den[own], 1), alpha[own] * lower), alpha
 
 
-def _table(kind: int, bucket: int, before: np.ndarray | None, context: np.ndarray, backoff: np.ndarray, followers: np.ndarray, word: np.ndarray, c: np.ndarray) -> pa.Table:
-    one = lambda x, t: pa.nulls(1, pa.list_(t)) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
-    cols = [pa.array([kind], pa.int32()), pa.array([bucket], pa.int64()), pa.nulls(1, pa.binary()), one(before, pa.int64()), one(context, pa.int64()), one(backoff, pa.float64()), one(followers.astype(np.int32), pa.int32()), one(word, pa.int64()), one(c, pa.int64())]
-    return pa.table(cols, schema=_SCORED_ARROW)
+_GRAMS = "bucket long, before array<long>, context array<long>, backoff array<double>, followers array<int>, word array<long>, c array<long>"
+
+
+def _open(batches):
+    """The packed tables of buckets as arrays."""
+    for b in batches:
+        for bucket, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            arrays = unpack(payload)
+            one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *(one(x, t) for x, t in zip(arrays, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()), strict=True))], names=["bucket", "before", "context", "backoff", "followers", "word", "c"])
 
 
 def _scores(low: Lower, k: int, hot: int, order: int):
@@ -458,24 +467,23 @@ def _scores(low: Lower, k: int, hot: int, order: int):
         c3 = np.bincount(b.own3, b.r3, n).astype(np.int64)
         p3, alpha3 = _level(b.r3, b.own3, _sums(b.r3, lower, b.own3, n, k), c3, discounts(n3[: k + 1].tolist(), k), lower, k)
         units = np.rint(np.log10(np.maximum(np.where(b.deep, p3, lower), 1e-300)) * UNIT)
-        rows = [(0, block, payload, None, None, None, None, None, None) for block, payload in b.base]
+        rows = [(0, block, payload) for block, payload in b.base]
         lo = 0
         for (block, m, doc), hi in zip(b.parts, b.cut.tolist(), strict=True):
             value = np.repeat(units[b.at[lo:hi]], m)
             lo = hi
             total = np.bincount(doc, value)
             has = np.flatnonzero(np.bincount(doc))
-            rows.append((1, block, pack(np.diff(has, prepend=0).astype(np.uint32), total[has].astype(np.int64)), None, None, None, None, None, None))
-        out = [pa.Table.from_batches(_rows(rows, _SCORED_ARROW), _SCORED_ARROW)]
+            rows.append((1, block, pack(np.diff(has, prepend=0).astype(np.uint32), total[has].astype(np.int64))))
         known = np.flatnonzero((b.r > 0) & mine)
-        out.append(_table(2, bucket, None, b.ctx, alpha, np.bincount(b.own[known], minlength=len(b.ctx)), b.fol[known], b.r[known]))
+        rows.append((2, bucket, pack(np.zeros(0, np.int64), b.ctx, alpha, np.bincount(b.own[known], minlength=len(b.ctx)).astype(np.int32), b.fol[known], b.r[known])))
         known = np.flatnonzero((b.r3 > 0) & b.deep)
         known = known[np.lexsort((b.fol[b.pair[known]], b.own3[known]))]
         some = np.flatnonzero(np.bincount(b.own3[known], minlength=n))
         # a context seen once has the weight that its one follower leaves, which needn't be stored
         weight = np.where(c3[some] > 1, alpha3[some], np.nan)
-        out.append(_table(3, bucket, b.before[some], b.ctx[b.mid[some]], weight, np.bincount(b.own3[known], minlength=n)[some], b.fol[b.pair[known]], b.r3[known]))
-        return pa.concat_tables(out)
+        rows.append((3, bucket, pack(b.before[some], b.ctx[b.mid[some]], weight, np.bincount(b.own3[known], minlength=n)[some].astype(np.int32), b.fol[b.pair[known]], b.r3[known])))
+        return pa.Table.from_batches(_rows(rows, _SCORED_ARROW), _SCORED_ARROW)
 
     return run
 
@@ -503,9 +511,9 @@ class KatzModel:
     """Tables of a trained model; each may be empty.
 
     unigrams(word, number, c); bigrams(bucket, context, backoff, followers, word, c)
-    and trigrams, with `before` (the word before the context), hold arrays: the
-    followers of context[i] are the next followers[i] entries of word and c, all as
-    numbers. A trigram context seen once has NaN as its backoff: it is
+    and trigrams, with `before` (the word before the context), hold arrays (stored
+    packed, a row for each bucket in a folder for each level): the followers of
+    context[i] are the next followers[i] entries of word and c, all as numbers. A trigram context seen once has NaN as its backoff: it is
     (1 - d_1) / (1 - P) of its follower, or by d_1 = 1 as for any context without
     discounts. scores: a row for each input row.
     """
@@ -517,7 +525,7 @@ class KatzModel:
     lower: Lower | None
 
 
-def katz(docs: DataFrame, held_out: Column, id_: str = "doc_id", text: str = "text", k: int = 5, hot: int = 1_500_000, bucket_tokens: int = 2_000_000, order: int = 3) -> KatzModel:
+def katz(docs: DataFrame, held_out: Column, id_: str = "doc_id", text: str = "text", k: int = 5, hot: int = 1_500_000, bucket_tokens: int = 1_500_000, order: int = 3) -> KatzModel:
     """Trains on the rows whose held_out isn't true and scores all rows.
 
     A null text is empty (its one token is the end); a null id stays null;
@@ -560,8 +568,8 @@ def katz(docs: DataFrame, held_out: Column, id_: str = "doc_id", text: str = "te
     scored = scratch.write(scored, "scored", "kind")
     scores = scored.where("kind < 2").select("kind", "block", "payload").repartition(wide, "block").groupBy("block").applyInArrow(_finish(int(low.total)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     unigrams = vocab.where("kind = 0").select(F.explode(F.arrays_zip("word", "number", "c")).alias("x")).select("x.word", "x.number", "x.c")
-    grams = lambda kind, *more: scored.where(F.col("kind") == kind).select(F.col("block").alias("bucket"), *more, "context", "backoff", "followers", "word", "c")
-    return KatzModel(scores, unigrams, grams(2), grams(3, "before"), low)
+    grams = lambda kind: scored.where(F.col("kind") == kind).select("block", "payload").mapInArrow(_open, _GRAMS)
+    return KatzModel(scores, unigrams, grams(2).drop("before"), grams(3), low)
 
 
 def held_by_crc(id_: str = "doc_id", mod: int = 7, rest: int = 2) -> Column:
