@@ -52,7 +52,7 @@ PIVOTS = (8,)
 #: Entries of a list, or of a part of one, that a task holds.
 LIST = 1 << 17
 #: Entries of lists that a task holds in all.
-ENTRIES = 2_000_000
+ENTRIES = 500_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -378,6 +378,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     scratch = scratch or Scratch(spark, "ngram-join")
     rows = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     bits = SKETCH_BITS
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def measure(batches):
         sketch = np.zeros(1 << bits, np.uint32)
@@ -432,12 +433,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     n_docs, n_entries = seen.where("kind = 0").agg(F.count("*"), F.coalesce(F.sum(F.expr(f"n - ceil({num} * n / {den}) + 1")), F.lit(0))).head()
     entries = rows.where("id is not null").mapInArrow(prefixes, "token long, part int, node long, size int, pos int")
-    made = scratch.write(entries.repartition(partitions_for(spark, float(n_entries), ENTRIES), "token", "part").mapInArrow(_stars(num, den), _MADE), "stars", "kind")
+    made = scratch.write(entries.repartition(max(wide, partitions_for(spark, float(n_entries), ENTRIES)), "token", "part").mapInArrow(_stars(num, den), _MADE), "stars", "kind")
     pairs = scratch.write(made.where("kind = 0").select("a", "b").distinct(), "pairs")
     open_ = made.where("kind = 1")
-    # the sets of all nodes that are compared, or may be
+    # the smallest id of each set, and of those that are compared, or may be, the sets themselves
+    least_ids = scratch.write(seen.where("kind = 0 and doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "nodes")
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(open_.select("b")).distinct()
-    texts = scratch.write(seen.where("kind = 0 and doc_id is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct(), "texts")
+    texts = scratch.write(least_ids.join(nodes, "node", "left_semi").select(F.col("low").alias("id")).distinct(), "texts")
     few = texts.count() <= 2_000_000  # 16 MB of numbers
     wanted = rows.join(F.broadcast(texts) if few else texts, "id", "left_semi")
 
@@ -479,7 +481,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             cell = (F.least("part", "other") * F.col("ways") + F.greatest("part", "other") + 1) * 2 + F.when(F.col("part") == F.col("other"), 0).otherwise(1)
             dealt = dealt.withColumn("cell", F.when(F.col("ways") > 1, cell).otherwise(0))
         dealt = dealt.select("token", "part", F.col("cell").cast("long").alias("cell"), "node", "size", "pos", "label", "pivot", "both", "psize")
-        found = dealt.repartition(partitions_for(spark, n_lists, ENTRIES), "token", "cell").mapInArrow(_rest(num, den, more), _REST)
+        found = dealt.repartition(max(wide, partitions_for(spark, n_lists, ENTRIES)), "token", "cell").mapInArrow(_rest(num, den, more), _REST)
         found = scratch.write(found.groupBy("a", "b").agg(F.max("sure").alias("sure")), f"found{step}")
         rest = found.where("not sure").select("a", "b").join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         fresh = _verified(scratch.write(rest, f"rest{step}"), sets, scratch, f"tested{step}")
@@ -490,9 +492,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     parts = components(links, scratch, "all")
     degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("n_found"))
     known = seen.where("kind = 0").select("doc_id", "n", "node")
-    # the smallest id of each set, then of each component; an id with several texts joins their components
-    of_set = known.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
-    least = scratch.write(of_set.join(parts, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "least")
+    # the smallest id of each component; an id with several texts joins their components
+    least = scratch.write(least_ids.join(parts, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "least")
     low = least.groupBy("label").agg(F.min("low").alias("component_id"), F.count("*").alias("sets"))
     with_low = join_hot(least, low, "label", "sets", hot_limit(n_docs))
     final = scratch.write(with_low.join(degree, "node", "left").select("node", "component_id", "copies", F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found")), "final")
