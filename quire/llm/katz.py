@@ -278,7 +278,13 @@ def _to_tokens(low: Lower, n_train: int, hot: int, buckets: int, order: int):
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of small numbers: the first ones, the second ones, and which each row is."""
-    key, at = np.unique(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64), return_inverse=True)
+    key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+    o = np.argsort(key)
+    key = key[o]
+    new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+    at = np.empty(len(key), np.int64)
+    at[o] = np.cumsum(new) - 1
+    key = key[new]
     return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), at
 
 
@@ -322,12 +328,17 @@ class _Bucket:
         self.left = u3[left]
         self.r3 = np.bincount(self.at, cat(seen), len(self.pair)).astype(np.int64)
         self.r = np.bincount(self.pair, self.r3, len(self.own)).astype(np.int64)
-        # contexts of triples: the word before, and the pair's
-        self.mid, self.before, self.own3 = _distinct(self.own[self.pair], left)
-        self.before = u3[self.before]
+        self.code = left
         self.deep = self.ctx[self.own[self.pair]] != START if len(self.pair) and order > 2 else np.zeros(len(self.pair), bool)
         self.cut = np.cumsum(size)
 
+    def deep_contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts of triples (the pair's, and the word before), and which each triple has."""
+        mid, _, own = _distinct(self.own[self.pair], self.code)
+        before = np.zeros(len(mid), np.int64)
+        before[own] = self.left
+        return mid, before, own
+
     def hot_contexts(self) -> list[int]:
         return np.flatnonzero(self.c1 > self.hot).tolist()
 
@@ -463,9 +474,10 @@ def _scores(low: Lower, k: int, hot: int, order: int):
                 b.r[own], mine[own] = total, first.astype(bool)
         p2, alpha = _level(b.r, b.own, s, b.c1, discounts(n2[: k + 1].tolist(), k), b.p1, k)
         lower = p2[b.pair]
-        n = len(b.mid)
-        c3 = np.bincount(b.own3, b.r3, n).astype(np.int64)
-        p3, alpha3 = _level(b.r3, b.own3, _sums(b.r3, lower, b.own3, n, k), c3, discounts(n3[: k + 1].tolist(), k), lower, k)
+        mid, before, own3 = b.deep_contexts()
+        n = len(mid)
+        c3 = np.bincount(own3, b.r3, n).astype(np.int64)
+        p3, alpha3 = _level(b.r3, own3, _sums(b.r3, lower, own3, n, k), c3, discounts(n3[: k + 1].tolist(), k), lower, k)
         units = np.rint(np.log10(np.maximum(np.where(b.deep, p3, lower), 1e-300)) * UNIT)
         rows = [(0, block, payload) for block, payload in b.base]
         lo = 0
@@ -478,11 +490,11 @@ def _scores(low: Lower, k: int, hot: int, order: int):
         known = np.flatnonzero((b.r > 0) & mine)
         rows.append((2, bucket, pack(np.zeros(0, np.int64), b.ctx, alpha, np.bincount(b.own[known], minlength=len(b.ctx)).astype(np.int32), b.fol[known], b.r[known])))
         known = np.flatnonzero((b.r3 > 0) & b.deep)
-        known = known[np.lexsort((b.fol[b.pair[known]], b.own3[known]))]
-        some = np.flatnonzero(np.bincount(b.own3[known], minlength=n))
+        known = known[np.lexsort((b.fol[b.pair[known]], own3[known]))]
+        some = np.flatnonzero(np.bincount(own3[known], minlength=n))
         # a context seen once has the weight that its one follower leaves, which needn't be stored
         weight = np.where(c3[some] > 1, alpha3[some], np.nan)
-        rows.append((3, bucket, pack(b.before[some], b.ctx[b.mid[some]], weight, np.bincount(b.own3[known], minlength=n)[some].astype(np.int32), b.fol[b.pair[known]], b.r3[known])))
+        rows.append((3, bucket, pack(before[some], b.ctx[mid[some]], weight, np.bincount(own3[known], minlength=n)[some].astype(np.int32), b.fol[b.pair[known]], b.r3[known])))
         return pa.Table.from_batches(_rows(rows, _SCORED_ARROW), _SCORED_ARROW)
 
     return run
