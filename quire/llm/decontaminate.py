@@ -27,8 +27,6 @@ from .common import Scratch
 #: four: either four in a row are left, or all runs are of at most three, which only leaves 5 to 7, 10, 11
 #: and 15 tokens, where the others find them (tests try all patterns). From seven tokens on the first two do.
 SEEDS = ("1111", "11101", "11011", "10111")
-#: The masks of OP2_SQL, which doesn't reach all patterns.
-MASKS = ("11101011", "11010111", "10111101")
 #: Seeds of a benchmark, or hits, that may be broadcast: 24 bytes each.
 MOST = 1_000_000
 #: Tokens of the shortest part of an item that counts as an overlap, where parts count.
@@ -144,11 +142,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_keys(t: str, i: str) -> str:
-    one = [f"CASE WHEN {i} + {len(m)} <= len({t}) THEN concat_ws(' ', '{k}', {', '.join(f'{t}[{i} + {p + 1}]' for p, c in enumerate(m) if c == '1')}) END" for k, m in enumerate(MASKS)]
+    one = [f"CASE WHEN {i} + {len(m)} <= len({t}) THEN concat_ws(' ', '{k}', {', '.join(f'{t}[{i} + {p + 1}]' for p, c in enumerate(m) if c == '1')}) END" for k, m in enumerate(SEEDS[:2])]
     return f"[{', '.join(one)}]"
 
 
-#: The same with the masks alone (the benchmark tables have no item shorter than a mask).
+#: The same in SQL (the items of the benchmark tables have seven tokens or more).
 OP2_SQL = f"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS h FROM documents),
      b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM benchmark),
