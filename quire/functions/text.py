@@ -227,19 +227,13 @@ _STOP = {
 
 def detect_language(c: Column, least: float = 0.55) -> Column:
     """The language whose frequent words make up most of those found, null below the least share or five words."""
+    every = sorted({w for v in _STOP.values() for w in v})
+    among = lambda ws, known: F.filter(ws, lambda w: w.isin(known))
+    found = among(words(F.lower(F.coalesce(c, F.lit("")))), every)
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        sets = {k: frozenset(v) for k, v in _STOP.items()}
+    def verdict(ws: Column) -> Column:
+        shares = F.array(*(F.struct((F.size(among(ws, v)) / F.greatest(F.size(ws), F.lit(1))).alias("share"), F.lit(k).alias("name")) for k, v in _STOP.items()))
+        best = F.array_max(shares)
+        return F.when((F.size(ws) >= 5) & (best["share"] >= least), best["name"])
 
-        def one(t):
-            found = [w for w in (t or "").lower().split() if any(w in s for s in sets.values())]
-            if len(found) < 5:
-                return None
-            share = {k: sum(w in s for w in found) / len(found) for k, s in sets.items()}
-            best = max(share, key=lambda k: (share[k], k))
-            return best if share[best] >= least else None
-
-        return texts.map(one)
-
-    return run(c)
+    return F.transform(F.array(found), verdict)[0]

@@ -394,7 +394,11 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", tables.table_style(F.col("p_size") % 5, F.col("p_partkey") % 4).alias("style"))
 
 
-@query("otsl_cells")
+@query("otsl_cells", """WITH p AS (SELECT p_partkey AS k, p_partkey % 2 = 0 AS even, p_name, p_type FROM part)
+SELECT k AS doc_id, 0 AS row, 0 AS col, CASE WHEN even THEN 1 ELSE 2 END AS rowspan, 2 AS colspan, true AS header, p_name AS text FROM p
+UNION ALL SELECT k, 1, 0, 2, 1, false, p_type FROM p
+UNION ALL SELECT k, 1, 1, 1, 1, false, 'x' FROM p WHERE even
+UNION ALL SELECT k, 2, 1, 1, 1, false, '' FROM p""")
 def _(spark, d):
     k = F.col("p_partkey")
     return tables.otsl_cells(table(spark, d, "part").select(k.alias("doc_id"), F.concat(F.lit("<otsl><ched>"), "p_name", F.lit("<lcel><nl><fcel>"), "p_type", F.when(k % 2 == 0, "<fcel>x").otherwise("<ucel>"), F.lit("<nl><ucel><ecel><nl></otsl>")).alias("text")))
@@ -423,7 +427,8 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", markup.to_markdown(F.col("html")).alias("md"))
 
 
-@query("doctags_blocks")
+@query("doctags_blocks", """WITH b AS (SELECT p_partkey AS doc_id, p_partkey % 2 = 0 AS tagged, unnest(range(CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 2 END)) AS ord, p_name, p_type FROM part)
+SELECT doc_id, CAST(ord AS INT) AS ord, CASE WHEN NOT tagged THEN 'para' ELSE ['heading', 'para', 'list_item'][ord + 1] END AS kind, CASE WHEN tagged AND ord = 0 THEN 2 END AS level, [p_name, p_type, 'x'][ord + 1] AS text FROM b""")
 def _(spark, d):
     p = table(spark, d, "part")
     t = F.concat(F.lit("<section_header_level_1><loc_1><loc_2>"), "p_name", F.lit("</section_header_level_1><text><loc_3>"), "p_type", F.lit("</text><list_item>x</list_item>"))
@@ -442,7 +447,8 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", markup.merge_adjacent_links(F.concat(a, "p_name", between, "p_type", F.lit("</a>"))).alias("html"))
 
 
-@query("dedup_ids")
+@query("dedup_ids", """WITH p AS (SELECT p_size, p_partkey, p_name, regexp_replace(p_name, '[^A-Za-z0-9._-]', '-', 'g') AS s FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY p_size, s ORDER BY p_name, p_partkey) AS k FROM p)
+SELECT p_size, string_agg('<p id="' || s || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '">', '' ORDER BY p_name, k) AS html FROM n GROUP BY p_size""")
 def _(spark, d):
     rows = table(spark, d, "part").groupBy("p_size").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_name")), lambda x: F.concat(F.lit('<p id="'), T.slug(x), F.lit('">'))), "").alias("html"))
     return rows.select("p_size", markup.dedup_ids(F.col("html")).alias("html"))
@@ -627,7 +633,13 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", md.alias("md"))
 
 
-@query("detect_language")
+_LANG = ", ".join(f"{{'share': len(list_filter(f, lambda w: list_contains({v!r}, w))) / len(f), 'name': '{k}'}}" for k, v in T._STOP.items())
+
+
+@query(
+    "detect_language",
+    f"WITH w AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: list_contains({sorted({w for v in T._STOP.values() for w in v})!r}, w)) AS f FROM documents), b AS (SELECT doc_id, lang, f, CASE WHEN len(f) >= 5 THEN list_max([{_LANG}]) END AS b FROM w) SELECT doc_id, lang, CASE WHEN b.share >= 0.55 THEN b.name END AS language FROM b",
+)
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", T.detect_language(F.col("text")).alias("language"))
 
@@ -701,7 +713,7 @@ def _(spark, d):
     return layout.tier_levels(s.select("doc_id", "n", "size", "bold", "font"), layout.heading_tiers(s)).select("doc_id", "n", "level")
 
 
-@query("visual_rows")
+@query("visual_rows", SPANS_SQL + "SELECT doc_id, page, n, CASE WHEN angle < 0.01 THEN CAST(dense_rank() OVER (PARTITION BY doc_id, page, angle < 0.01 ORDER BY y DESC) AS INT) END AS row FROM s")
 def _(spark, d):
     return layout.visual_rows(positioned(spark, d)).select("doc_id", "page", "n", "row")
 
@@ -711,7 +723,9 @@ def _(spark, d):
     return layout.row_cells(layout.visual_rows(positioned(spark, d)))
 
 
-@query("column_anchors")
+@query("column_anchors", "WITH RECURSIVE " + SPANS_SQL.removeprefix("WITH ") + """, d AS (SELECT DISTINCT doc_id, page, x FROM s),
+     a AS (SELECT doc_id, page, 0 AS "column", min(x) AS x FROM d GROUP BY ALL UNION ALL SELECT a.doc_id, a.page, a."column" + 1, (SELECT min(d.x) FROM d WHERE d.doc_id = a.doc_id AND d.page = a.page AND d.x - a.x > 30) FROM a WHERE EXISTS (SELECT 1 FROM d WHERE d.doc_id = a.doc_id AND d.page = a.page AND d.x - a.x > 30))
+SELECT * FROM a""")
 def _(spark, d):
     return layout.column_anchors(positioned(spark, d), 30.0)
 
@@ -750,6 +764,7 @@ def _(spark, d):
     return build.ocr_plan(docs, images).select("doc_id", "decision")
 
 
-@query("nest_sections")
+@query("nest_sections", """WITH h AS (SELECT page_id, html, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS t FROM pages), s AS (SELECT *, trim(regexp_replace('sec-' || lower(trim(regexp_replace(t, '<[^>]*>', '', 'g'))), '[^A-Za-z0-9._-]', '-', 'g'), '-') AS id FROM h)
+SELECT page_id, CASE WHEN html LIKE '%<h1>%' THEN replace(replace(html, '<h1>', '<section id="' || id || '"><h1>'), '</body>', '</section></body>') ELSE html END AS html FROM s""")
 def _(spark, d):
     return build.nest_sections(table(spark, d, "pages").select("page_id", "html"))

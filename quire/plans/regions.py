@@ -305,7 +305,7 @@ def _(spark, d):
     return regions.expand_hits(hits, spaces, chunks, chunks.select("doc_id", "chunk", "text"), labels).drop("ords")
 
 
-@query("emit_json")
+@query("emit_json", "SELECT n_nationkey, '{' || chr(10) || '  \"a\": [' || chr(10) || '    ' || n_regionkey || chr(10) || '  ],' || chr(10) || '  \"n_name\": \"' || n_name || '\",' || chr(10) || '  \"n_nationkey\": ' || n_nationkey || chr(10) || '}' || chr(10) AS json FROM nation")
 def _(spark, d):
     return table(spark, d, "nation").select("n_nationkey", regions.emit_json(F.to_json(F.struct("n_name", "n_nationkey", F.array("n_regionkey").alias("a")))).alias("json"))
 
