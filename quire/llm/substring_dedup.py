@@ -41,8 +41,8 @@ SHARD = 3 << 20
 ARRAY = 3 << 20
 #: Bytes of text whose anchors are taken at once; longer documents are cut there, with the windows across the cut.
 SLICE = 1 << 20
-#: Bytes of payload that a task opens in all.
-TASK = 48 << 20
+#: Bytes of text whose blocks, flags or strings a task opens in all.
+TASK = 8 << 20
 #: Documents above which the windows of an anchor travel one by one.
 HOT = 4096
 _BASE = 0x9E3779B97F4A7C15
