@@ -254,6 +254,22 @@ def cells_array(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*PAGE, "row").agg(ordered("cell", "text").alias("texts")).groupBy(*PAGE).agg(ordered("row", "texts").alias("cells"))
 
 
+def header_depth(rows: DataFrame) -> DataFrame:
+    """(doc_id, k, depth): how many rows of a table(doc_id, k, row from 0, cells, styled) are its header.
+
+    More than one only if styled rows from the first on have more and more cells
+    filled, and one of them all; the first of these ends the header.
+    """
+    filled = F.size(F.filter("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
+    w = Window.partitionBy("doc_id", "k").orderBy("row")
+    x = rows.select("doc_id", "k", "row", "styled", filled.alias("n"), F.first(F.size("cells")).over(w).alias("columns"))
+    first = (F.col("row") == 0) & (F.col("n") > 0) & (F.col("n") < F.col("columns"))
+    good = F.col("styled") & F.when(F.col("row") == 0, first).otherwise(F.col("n") > F.lag("n").over(w))
+    x = x.withColumn("good", F.min(F.coalesce(good, F.lit(False))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = F.col("good") & (F.col("row") > 0) & (F.col("n") == F.col("columns")) & (F.col("columns") > 1)
+    return x.groupBy("doc_id", "k").agg(F.coalesce(F.min(F.when(whole, F.col("row") + 1)), F.lit(1)).cast("int").alias("depth"))
+
+
 def ownership_hash(slices: Column) -> Column:
     """FNV-1a (64 bits, hexadecimal) over the numbers of an array, eight bytes each, lowest first."""
 

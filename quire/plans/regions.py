@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 from quire.operators import markup, regions
@@ -161,6 +162,22 @@ def _(spark, d):
     return kinds.select("user_id", F.array_join(F.array_distinct(F.transform("x", lambda e: e["event_type"])), ",").alias("kinds"))
 
 
+@query(
+    "header_depth",
+    """WITH r AS (SELECT p_size AS k, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS row, p_partkey, p_partkey % 5 > 0 AS styled FROM part),
+     n AS (SELECT *, CASE WHEN row >= 3 THEN 3 ELSE 1 + (p_partkey + row) % 3 END AS n FROM r),
+     g AS (SELECT *, styled AND CASE WHEN row = 0 THEN n < 3 ELSE n > lag(n) OVER (PARTITION BY k ORDER BY row) END AS good FROM n),
+     p AS (SELECT *, bool_and(good) OVER (PARTITION BY k ORDER BY row) AS upto FROM g)
+SELECT 1 AS doc_id, k, CAST(coalesce(min(row + 1) FILTER (upto AND row > 0 AND n = 3), 1) AS INT) AS depth FROM p GROUP BY k""",
+)
+def _(spark, d):
+    row = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey")) - 1
+    p = table(spark, d, "part").withColumn("row", row)
+    filled = F.when(F.col("row") >= 3, 3).otherwise(1 + (F.col("p_partkey") + F.col("row")) % 3).cast("int")
+    cells = F.concat(F.array_repeat(F.lit("x"), filled), F.array_repeat(F.lit(" "), 3 - filled))
+    return regions.header_depth(p.select(F.lit(1).alias("doc_id"), F.col("p_size").alias("k"), "row", cells.alias("cells"), (F.col("p_partkey") % 5 > 0).alias("styled")))
+
+
 @query("ownership_hash")
 def _(spark, d):
     return table(spark, d, "part").select("p_partkey", regions.ownership_hash(F.array("p_partkey", "p_size")).alias("hash"))
