@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quire.llm import queries
@@ -20,5 +21,5 @@ def test_query_equals_sql(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.queries()[name](spark, SF).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    rows = lambda df: sorted(tuple("~" if x is None or x != x else str(x).removesuffix(".0") for x in r) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
+    rows = lambda df: sorted(tuple("~" if pd.isna(x) else str(x).removesuffix(".0") for x in r) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
     assert rows(got) == rows(want)
