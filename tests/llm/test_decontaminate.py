@@ -67,3 +67,12 @@ def test_parts_of_items_and_moved_tokens(spark):
     got = {(r.doc_id, r.item_id): (r.n_item_tokens, r.n_matched, r.start) for r in overlaps(d, b, part=13).collect()}
     assert got == {(1, 100): (59, 47, 2), (2, 100): (59, 29, -30), (3, 100): (59, 20, 6), (4, 101): (15, 15, 0), (5, 101): (15, 14, -1), (7, 100): (59, 13, -20), (10, 100): (59, 13, 0)}
     assert sorted(r.doc_id for r in without_overlaps(d, b, part=13).collect()) == [6, 8, 9]
+
+
+def test_many_copies_of_a_text_are_one(spark):
+    words = [f"w{i}" for i in range(59)]
+    text = "x y " + " ".join(words[:40]) + " z " + " ".join(words[20:50])
+    d = spark.range(3000).selectExpr("id as doc_id", f"case when id % 3 = 0 then '{text}' else concat('clean ', id) end as text")
+    b = spark.createDataFrame([(100, " ".join(words))], "item_id long, text string")
+    kept = without_overlaps(d, b, part=13)
+    assert kept.count() == 2000 and kept.where("doc_id % 3 = 0").count() == 0
