@@ -276,7 +276,7 @@ def ownership_hash(slices: Column) -> Column:
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         def one(xs):
-            h = 0xCBF29CE484222325
+            h = 0xCBF29CE484222325  # fixed values of this hash: its start, and the prime below
             for b in np.asarray(xs, "<u8").tobytes() if xs is not None else b"":
                 h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
             return f"{h:016x}"
