@@ -321,9 +321,10 @@ def derive_chunks(blocks: DataFrame, target: int = 400, tokens: Column | None =
 
 def chunk_text(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc_id, chunk, text): the blocks' text, blank ones left out, joined by blank lines."""
-    parts = chunks.select("doc_id", "chunk", F.explode("ords").alias("ord")).join(blocks.select("doc_id", "ord", T.trim_ws(F.coalesce(T.plain(F.col("text")), F.lit(""))).alias("t")), ["doc_id", "ord"]).where("t <> ''")
-    made = parts.groupBy("doc_id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "t"))), lambda x: x["t"]), "\n\n").alias("text"))
-    return chunks.select("doc_id", "chunk").join(made, ["doc_id", "chunk"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    said = blocks.select("doc_id", "ord", T.trim_ws(F.coalesce(T.plain(F.col("text")), F.lit(""))).alias("t"))
+    parts = chunks.select("doc_id", "chunk", F.explode_outer("ords").alias("ord")).join(said, ["doc_id", "ord"], "left")
+    texts = F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("ord", "t"))))
+    return parts.groupBy("doc_id", "chunk").agg(F.array_join(F.transform(texts, lambda x: x["t"]), "\n\n").alias("text"))
 
 
 def stale_chunks(stored: DataFrame, blocks: DataFrame, target: int = 400) -> DataFrame:
