@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, regions, scalars
+from . import detect, documents, regions, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return documents.QUERIES | regions.QUERIES | scalars.QUERIES
+    return documents.QUERIES | detect.QUERIES | regions.QUERIES | scalars.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return documents.SQL | regions.SQL | scalars.SQL
+    return documents.SQL | detect.SQL | regions.SQL | scalars.SQL
