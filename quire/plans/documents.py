@@ -277,7 +277,13 @@ def _(spark, d):
     return sequence.enumerated_runs(numbered(spark, d)).select("doc_id", "ord", "in_run")
 
 
-@query("colon_lists")
+@query(
+    "colon_lists",
+    NUMBERED
+    + """, w AS (SELECT *, list_filter(list({'n': n, 'under': under}) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 24 PRECEDING AND 23 FOLLOWING), lambda r: r.n IS NOT NULL) AS near FROM t),
+     f AS (SELECT *, 1 + list_max(list_filter([0, 1, 2, 3, 4], lambda k: k < n AND (k = 0 OR len(list_filter(near, lambda r: r.n = k)) = 0))) AS first FROM w)
+SELECT doc_id, ord, coalesce(n IS NOT NULL AND (under OR (first < n AND (list_filter(near, lambda r: r.n = first)[1]).under)), false) AS in_list FROM f""",
+)
 def _(spark, d):
     return sequence.colon_lists(numbered(spark, d)).select("doc_id", "ord", "in_list")
 
@@ -702,12 +708,15 @@ def _(spark, d):
     return layout.style_clusters(positioned(spark, d))
 
 
-@query("heading_tiers", CLUSTERS + ", b AS (SELECT doc_id, arg_max(size, (chars, size)) AS bs, max(chars) AS bc FROM c GROUP BY doc_id), t AS (SELECT c.doc_id, max(size) AS ts FROM c JOIN b USING (doc_id) WHERE size > bs AND chars >= 15 GROUP BY c.doc_id), k AS (SELECT c.*, bs, row_number() OVER (PARTITION BY c.doc_id ORDER BY size DESC, bold DESC, chars DESC) AS level FROM c JOIN b USING (doc_id) LEFT JOIN t USING (doc_id) WHERE size > bs AND NOT coalesce(ts > bs * 1.15 AND size >= ts, false) AND chars < bc * 0.4 AND captions * 2 < spans AND NOT (font = 1 AND NOT bold AND size < bs * 1.18)) SELECT doc_id, CAST(level AS INT) AS level, size, bold, font FROM k WHERE level <= 4")
+TIERS = CLUSTERS + ", b AS (SELECT doc_id, arg_max(size, (chars, size)) AS bs, max(chars) AS bc FROM c GROUP BY doc_id), t AS (SELECT c.doc_id, max(size) AS ts FROM c JOIN b USING (doc_id) WHERE size > bs AND chars >= 15 GROUP BY c.doc_id), k AS (SELECT c.*, bs, row_number() OVER (PARTITION BY c.doc_id ORDER BY size DESC, bold DESC, chars DESC) AS level FROM c JOIN b USING (doc_id) LEFT JOIN t USING (doc_id) WHERE size > bs AND NOT coalesce(ts > bs * 1.15 AND size >= ts, false) AND chars < bc * 0.4 AND captions * 2 < spans AND NOT (font = 1 AND NOT bold AND size < bs * 1.18)), h AS (SELECT doc_id, CAST(level AS INT) AS level, size, bold, font FROM k WHERE level <= 4)"
+
+
+@query("heading_tiers", TIERS + "SELECT * FROM h")
 def _(spark, d):
     return layout.heading_tiers(positioned(spark, d)).select("doc_id", "level", "size", "bold", "font")
 
 
-@query("tier_levels")
+@query("tier_levels", TIERS + "SELECT doc_id, n, (SELECT min(level) FROM h WHERE h.doc_id = s.doc_id AND abs(s.size - h.size) <= 0.6 AND s.font = h.font AND (NOT h.bold OR s.bold)) AS level FROM s")
 def _(spark, d):
     s = positioned(spark, d)
     return layout.tier_levels(s.select("doc_id", "n", "size", "bold", "font"), layout.heading_tiers(s)).select("doc_id", "n", "level")
@@ -718,7 +727,14 @@ def _(spark, d):
     return layout.visual_rows(positioned(spark, d)).select("doc_id", "page", "n", "row")
 
 
-@query("row_cells")
+@query(
+    "row_cells",
+    SPANS_SQL
+    + """, r AS (SELECT *, x + length(text) * size * 0.5 AS e, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY y DESC) AS INT) AS row FROM s WHERE angle < 0.01),
+     g AS (SELECT *, x - lag(e) OVER (PARTITION BY doc_id, page, row ORDER BY x, n) AS gap FROM r),
+     c AS (SELECT *, sum(CASE WHEN gap < size * 1.3 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page, row ORDER BY x, n ROWS UNBOUNDED PRECEDING) AS cell, CASE WHEN gap BETWEEN size * -0.35 AND size * 0.2 THEN '' ELSE ' ' END AS space FROM g)
+SELECT doc_id, page, row, CAST(cell AS BIGINT) AS cell, min(x) AS x, max(e) AS "end", trim(string_agg(space || text, '' ORDER BY x, n)) AS text FROM c GROUP BY ALL""",
+)
 def _(spark, d):
     return layout.row_cells(layout.visual_rows(positioned(spark, d)))
 

@@ -178,7 +178,13 @@ def _(spark, d):
     return regions.header_depth(p.select(F.lit(1).alias("doc_id"), F.col("p_size").alias("k"), "row", cells.alias("cells"), (F.col("p_partkey") % 5 > 0).alias("styled")))
 
 
-@query("ownership_hash")
+@query(
+    "ownership_hash",
+    """
+WITH b AS (SELECT p_partkey, list_transform(range(0, 16), lambda i: CAST((CASE WHEN i < 8 THEN CAST(p_partkey AS BIGINT) ELSE CAST(p_size AS BIGINT) END >> CAST(8 * (i % 8) AS BIGINT)) & 255 AS HUGEINT)) AS bytes FROM part)
+SELECT p_partkey, lpad(lower(to_hex(CAST(list_reduce(list_prepend(CAST('14695981039346656037' AS HUGEINT), bytes), lambda h, x: (xor(h, x) * CAST(1099511628211 AS HUGEINT)) % CAST('18446744073709551616' AS HUGEINT)) AS UBIGINT))), 16, '0') AS hash FROM b
+""",
+)
 def _(spark, d):
     return table(spark, d, "part").select("p_partkey", regions.ownership_hash(F.array("p_partkey", "p_size")).alias("hash"))
 
@@ -232,7 +238,17 @@ def _(spark, d):
     return regions.figure_gate(figures).withColumn("pages", F.array_join("pages", ","))
 
 
-@query("tolerant_gap")
+@query(
+    "tolerant_gap",
+    IMAGES
+    + """, p AS (SELECT doc_id, page, min(x0) AS lo, max(x1) AS hi FROM i GROUP BY ALL HAVING max(x1) - min(x0) > 2),
+     g AS (SELECT doc_id, page, hi, k, lo + k AS x FROM (SELECT *, unnest(range(1, CAST(ceil(hi - lo) AS BIGINT) + 1)) AS k FROM p)),
+     c AS (SELECT g.doc_id, g.page, g.k, g.x, count(i.n) AS crossed FROM g LEFT JOIN i ON i.doc_id = g.doc_id AND i.page = g.page AND i.x0 < g.x AND i.x1 > g.x WHERE g.x < g.hi GROUP BY g.doc_id, g.page, g.k, g.x),
+     f AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, page ORDER BY k) AS island FROM c WHERE crossed <= 2),
+     w AS (SELECT doc_id, page, max(x) - min(x) AS width, (min(x) + max(x)) / 2 AS center FROM f GROUP BY doc_id, page, island),
+     b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY width DESC, center) AS r FROM w)
+SELECT doc_id, page, CAST(width AS DOUBLE) AS width, CAST(center AS DOUBLE) AS center FROM b WHERE r = 1 AND width > 0""",
+)
 def _(spark, d):
     return regions.tolerant_gap(images(spark, d).select("doc_id", "page", F.col("x0").alias("lo"), F.col("x1").alias("hi")), 2)
 
