@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -199,46 +200,66 @@ def detect_headings(lines: DataFrame) -> DataFrame:
 # ---- gutters
 
 
-def _reach() -> Column:
-    return F.col("x") + F.greatest("width", F.col("size") * 0.3)
+def shared_baselines(rows: list[tuple[np.ndarray, np.ndarray]], size: float, epsilon: float = 0.05, least: int = 4, share: float = 0.45) -> bool:
+    """Do the two sides of a gutter lie on one baseline in most rows (y of the left and right spans), or in too few to tell?"""
+    nearest = [np.abs(left[:, None] - right).min() for left, right in rows if len(left) and len(right)]
+    return len(nearest) < least or sum(d <= size * epsilon for d in nearest) >= len(nearest) * share
 
 
-def shared_baselines(rows: DataFrame, epsilon: float = 0.05, least: int = 4, share: float = 0.45) -> DataFrame:
-    """(doc_id, page, shared): do rows(doc_id, page, row, y, mean, left) on both sides of a gutter lie on one baseline, or are too few to tell?"""
-    ys = lambda side: F.collect_list(F.when(side, F.col("y")))
-    sides = rows.groupBy(*PAGE, "row").agg(F.first("mean").alias("mean"), ys(F.col("left")).alias("l"), ys(~F.col("left")).alias("r")).where("size(l) > 0 and size(r) > 0")
-    nearest = F.expr("array_min(flatten(transform(l, a -> transform(r, b -> abs(a - b)))))")
-    agree = F.count_if(nearest <= F.col("mean") * epsilon)
-    return sides.groupBy(*PAGE).agg(((F.count("*") < least) | (agree >= F.count("*") * share)).alias("shared"))
+def clearest(row: np.ndarray, x0: np.ndarray, x1: np.ndarray, lo: float, hi: float) -> tuple[float, int]:
+    """(place, rows that leave it clear): the first place in the middle two fifths of lo to hi that fewest rows cross."""
+    step = max((hi - lo) / 200, 1.0)
+    places = lo + (hi - lo) * 0.3 + step * np.arange(int((hi - lo) * 0.4 / step) + 1)
+    crossed = np.zeros((row.max() + 1, len(places)), bool)
+    for r, a, b in zip(row, x0, x1, strict=True):
+        crossed[r] |= (a <= places) & (places <= b)
+    clear = row.max() - crossed.sum(axis=0)
+    best = int(clear.argmax())
+    return float(places[best]), int(clear[best])
 
 
 def central_split(spans: DataFrame) -> DataFrame:
     """(doc_id, page, gutter, may_span) of pages in two columns; may_span: some row crosses the gutter.
 
-    The gutter is the first place in the middle two fifths that fewest rows cross.
-    It holds if 88 % of six rows or more leave it clear and either side has three
-    lines of prose, or if all do and the sides don't share baselines.
+    The gutter holds if 88 % of six rows or more leave it clear and either side has
+    three lines of prose, or if all do and the sides don't share baselines.
     """
+
+    def start():
+        held: list[tuple] = []
+
+        def step(n, row, *values):
+            if n is not None:
+                held.append((n, row or 0, *values))
+                return []
+            ids, rows = [h[0] for h in held], np.array([h[1] for h in held])
+            x, y, size, width = np.array([h[2:] for h in held]).T
+            reach, n_rows = x + np.maximum(width, size * 0.3), int(rows.max())
+            lo, hi = float(x.min()), float(reach.max())
+            if n_rows < 6 or not hi - lo > 1:
+                return []
+            use = rows > 0
+            gutter, clear = clearest(rows[use], x[use], reach[use], lo, hi)
+            left = x + np.maximum(width, 0) * 0.5 < gutter
+            if clear < n_rows * 0.88:
+                return []
+            sides = ((y[(rows == r) & left], y[(rows == r) & ~left]) for r in range(1, n_rows + 1))
+            apart = clear >= n_rows and not shared_baselines(list(sides), float(size.mean()))
+            return [(i, r * 2 + int(s), gutter, (gutter - lo if s else hi - gutter) * 0.5, clear < n_rows, apart) for i, r, s in zip(ids, rows.tolist(), left.tolist(), strict=True) if r]
+
+        return step
+
+    number = lambda c: F.col(c).cast("double").alias(c)
     rows = layout.visual_rows(spans)
-    page = rows.groupBy(*PAGE).agg(F.min("x").alias("x0"), F.max(_reach()).alias("x1"), F.avg("size").alias("mean"), F.max("row").alias("n_rows"))
-    page = page.where("n_rows >= 6 and x1 - x0 > 1").withColumn("step", F.greatest((F.col("x1") - F.col("x0")) / 200, F.lit(1.0))).withColumn("lo", F.col("x0") + (F.col("x1") - F.col("x0")) * 0.3)
-    page = page.withColumn("last", F.floor((F.col("x1") - F.col("x0")) * 0.4 / F.col("step")).cast("int"))
-    inked = rows.where("row is not null").join(page, PAGE)
-    a, b = F.ceil((F.col("x") - F.col("lo")) / F.col("step")), F.floor((_reach() - F.col("lo")) / F.col("step"))
-    a, b = F.greatest(a, F.lit(0)).cast("int"), F.least(b, F.col("last")).cast("int")
-    crossed = inked.where(a <= b).select(*PAGE, "row", F.explode(F.sequence(a, b)).alias("i")).distinct().groupBy(*PAGE, "i").agg(F.count("*").alias("crossing"))
-    places = page.select(*PAGE, "n_rows", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i")).join(crossed, [*PAGE, "i"], "left")
-    best = places.groupBy(*PAGE).agg(F.max(F.struct((F.col("n_rows") - F.coalesce("crossing", F.lit(0))).alias("clear"), (-F.col("i")).alias("back"))).alias("b"))
-    page = page.join(best, PAGE).withColumn("clear", F.col("b.clear")).withColumn("gutter", F.col("lo") - F.col("b.back") * F.col("step")).drop("b")
-    sided = rows.where("row is not null").join(page.select(*PAGE, "gutter", "mean"), PAGE).withColumn("left", F.col("x") + F.greatest("width", F.lit(0.0)) * 0.5 < F.col("gutter"))
-    lines = layout.row_cells(sided.withColumn("row", F.col("row") * 2 + F.col("left").cast("int"))).groupBy(*PAGE, "row").agg(F.count("*").alias("cells"), F.first("text").alias("text"), F.first(F.col("end") - F.col("x")).alias("wide"))
-    prose = lines.where((F.col("cells") == 1) & (F.size(words(F.col("text"))) >= 4)).join(page.select(*PAGE, "x0", "x1", "gutter"), PAGE)
-    wide = lambda left, room: F.count_if((F.col("row") % 2 == left) & (F.col("wide") > room * 0.5))
-    prose = prose.groupBy(*PAGE).agg(wide(1, F.col("gutter") - F.col("x0")).alias("l"), wide(0, F.col("x1") - F.col("gutter")).alias("r"))
-    out = page.join(prose, PAGE, "left").join(shared_baselines(sided), PAGE, "left")
-    columns = (F.col("clear") >= F.col("n_rows") * 0.88) & (F.col("l") >= 3) & (F.col("r") >= 3)
-    apart = (F.col("clear") >= F.col("n_rows")) & ~F.coalesce("shared", F.lit(True))
-    return out.where(columns | apart).select(*PAGE, "gutter", (F.col("clear") < F.col("n_rows")).alias("may_span"))
+    page = rows.select(*PAGE, F.col("n").cast("long").alias("n"), "row", *(number(c) for c in ("x", "y", "size", "width")))
+    sided = folded(page, PAGE, ["row", "x", "n"], ["n", "row", "x", "y", "size", "width"], start, "n long, row int, gutter double, room double, may_span boolean, apart boolean")
+    facts = ["gutter", "room", "may_span", "apart"]
+    cells = layout.row_cells(spans.drop("row").join(sided, [*PAGE, "n"]), facts)
+    lines = cells.groupBy(*PAGE, "row").agg(F.count("*").alias("cells"), F.first("text").alias("text"), F.first(F.col("end") - F.col("x")).alias("wide"), *(F.first(c).alias(c) for c in facts))
+    prose = (F.col("cells") == 1) & (F.size(words(F.col("text"))) >= 4) & (F.col("wide") > F.col("room"))
+    of_side = lambda side: F.count_if(prose & (F.col("row") % 2 == side)) >= 3
+    found = lines.groupBy(*PAGE).agg(F.first("gutter").alias("gutter"), F.first("may_span").alias("may_span"), (F.first("apart") | (of_side(0) & of_side(1))).alias("split"))
+    return found.where("split").drop("split")
 
 
 # ---- ruled frames

@@ -7,6 +7,8 @@ anchored clustering of rows are folds over one page.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,8 +77,11 @@ def visual_rows(spans: DataFrame) -> DataFrame:
     return spans.join(made, [*PAGE, "n"], "left")
 
 
-def row_cells(spans: DataFrame) -> DataFrame:
-    """(doc_id, page, row, cell, x, end, text) of spans with row: spans closer than 1.3 sizes are one cell, but two numbers split at 0.45."""
+def row_cells(spans: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, page, row, cell, x, end, text) of spans with row: spans closer than 1.3 sizes are one cell, but two numbers split at 0.45.
+
+    keep: columns that are the same all over a row, and stay.
+    """
     from quire.operators.render import join_space
 
     w = Window.partitionBy(*PAGE, "row").orderBy("x", "n")
@@ -87,7 +92,7 @@ def row_cells(spans: DataFrame) -> DataFrame:
     s = s.withColumn("space", F.when(F.col("glue") & ~((F.col("gap") <= F.col("size") * 0.2) & (F.col("gap") >= F.col("size") * -0.35)) & join_space(F.lag("text").over(w), F.col("text")), " ").otherwise(""))
     s = s.withColumn("cell", F.sum(F.when(F.coalesce("glue", F.lit(False)), 0).otherwise(1)).over(w))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("x", "n", "space", "text"))), lambda p: F.concat(p["space"], p["text"]))
-    return s.groupBy(*PAGE, "row", "cell").agg(F.min("x").alias("x"), F.max("end").alias("end"), F.ltrim(F.array_join(parts, "")).alias("text"))
+    return s.groupBy(*PAGE, "row", "cell").agg(F.min("x").alias("x"), F.max("end").alias("end"), F.ltrim(F.array_join(parts, "")).alias("text"), *(F.first(c).alias(c) for c in keep))
 
 
 def column_anchors(cells: DataFrame, tolerance: float) -> DataFrame:

@@ -139,3 +139,20 @@ def test_cmap_and_widths(spark):
     assert got.where("id = 1").count() == 65536 - 2048 and {(r.id, r.code, r.text) for r in got.where("id > 1").collect()} == {(2, 1, "B"), (6, 0, "퟿")}
     w = spark.createDataFrame([(1, "3 [1 2] 4 6 7.5"), (2, ""), (3, None), (4, "9 8 5")], "id int, w string")
     assert {(r.id, r.cid, r.width) for r in D.cid_widths(w, "id").collect()} == {(1, 3, 1.0), (1, 4, 7.5), (1, 5, 7.5), (1, 6, 7.5)}
+
+
+def test_shared_baselines():
+    import numpy as np
+
+    one, apart = (np.array([10.0, 10.2]), np.array([10.1])), (np.array([10.0]), np.array([12.0]))
+    none = (np.array([10.0]), np.array([]))
+    assert D.shared_baselines([apart] * 3, 10.0) and D.shared_baselines([one] * 2 + [apart] * 2, 10.0) and D.shared_baselines([none] * 9, 10.0)
+    assert not D.shared_baselines([one] + [apart] * 3, 10.0)
+
+
+@pytest.mark.parametrize(("n", "width", "text", "lower", "want"), [(6, 200.0, "four words in here", 0.0, (True, False)), (6, 200.0, "a cell", 0.0, None), (6, 200.0, "a cell", 3.0, (True, False)), (5, 200.0, "four words in here", 0.0, None), (6, 450.0, "four words in here", 0.0, None)])
+def test_central_split(spark, n, width, text, lower, want):
+    spans = [(1, 1, 2 * i + s, 50.0 + 270 * s, 700.0 - 14 * i - lower * s, 10.0, width, text, 0.0) for i in range(n) for s in (0, 1)]
+    df = spark.createDataFrame(spans, "doc_id int, page int, n long, x double, y double, size double, width double, text string, angle double")
+    got = D.central_split(df).collect()
+    assert [(250.0 < r.gutter < 320.0, r.may_span) for r in got] == ([want] if want else [])
