@@ -9,8 +9,10 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from quire.functions import classify as K
@@ -262,7 +264,54 @@ def central_split(spans: DataFrame) -> DataFrame:
     return found.where("split").drop("split")
 
 
-# ---- ruled frames
+# ---- rules and ruled frames
+
+
+def _edges(segs):
+    """The straight edges (x0, y0, x1, y1) of a path's parts, closing ones included."""
+    here = first = None
+    for s in segs or ():
+        if s["op"] == "Z":
+            to = first
+        else:
+            to = (s["x"], s["y"])
+        if s["op"] in "LZ" and here is not None and to is not None:
+            yield *here, *to
+        if s["op"] == "M" or first is None:
+            first = to
+        here = to
+
+
+def rules_of(paths: DataFrame, thick: float = 3.0, least: float = 8.0, straight: float = 0.8) -> DataFrame:
+    """(doc_id, page, axis, p, lo, hi) of paths(doc_id, page, x0..y1, filled, stroked, segs): thin fills, and straight edges of strokes.
+
+    filled and stroked say that the path is painted so, and not nearly transparent.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    kinds = dict(paths.dtypes)
+    schema = pa.schema([*to_arrow_schema(paths.select(*PAGE).schema), ("axis", pa.string()), ("p", pa.float64()), ("lo", pa.float64()), ("hi", pa.float64())])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, page, x0, y0, x1, y1, filled, stroked, segs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                w, h = x1 - x0, y1 - y0
+                if filled and h <= thick and w >= least:
+                    out.append((doc, page, "h", (y0 + y1) / 2, x0, x1))
+                elif filled and w <= thick and h >= least:
+                    out.append((doc, page, "v", (x0 + x1) / 2, y0, y1))
+                for ax, ay, bx, by in _edges(segs) if stroked else ():
+                    dx, dy = abs(bx - ax), abs(by - ay)
+                    if dy <= straight and dx >= least:
+                        out.append((doc, page, "h", (ay + by) / 2, min(ax, bx), max(ax, bx)))
+                    elif dx <= straight and dy >= least:
+                        out.append((doc, page, "v", (ax + bx) / 2, min(ay, by), max(ay, by)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    use = paths.select(*PAGE, *(F.col(c).cast("double").alias(c) for c in box), "filled", "stroked", "segs")
+    return use.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in PAGE) + ", axis string, p double, lo double, hi double")
+
 
 #: How far a rule may fall short of an edge it bounds, and rules of one place lie apart.
 COVER, SNAP = 2.5, 1.6
@@ -349,11 +398,48 @@ def frames_of(vs: list, hs: list) -> list[tuple[list[float], list[float]]]:
     return sorted(out, key=lambda f: (-f[1][-1], f[0][0]))
 
 
+def _band_on(k: int, xs: list[float], vs: list, hs: list) -> list[int] | None:
+    """The numbers of the xs that divide the band between horizontal lines k and k + 1 into groups of two columns or more.
+
+    None if a line ends short, or a vertical enters the band without dividing it all the way.
+    """
+    if k + 1 >= len(hs):
+        return None
+    covers = lambda line, lo, hi: any(a <= lo + COVER and b >= hi - COVER for a, b in line[1])
+    low, high = hs[k], hs[k + 1]
+    if high[0] - low[0] <= COVER * 2 or not (covers(low, xs[0], xs[-1]) and covers(high, xs[0], xs[-1])):
+        return None
+    divides = set()
+    for v in vs:
+        if not xs[0] - SNAP <= v[0] <= xs[-1] + SNAP:
+            continue
+        column = next((k for k, x in enumerate(xs) if abs(x - v[0]) <= SNAP), None)
+        if covers(v, low[0], high[0]):
+            if column is None:
+                return None
+            divides.add(column)
+        elif any(b > low[0] + COVER and a < high[0] - COVER for a, b in v[1]):
+            return None
+    found = sorted(divides)
+    whole = len(found) >= 3 and found[0] == 0 and found[-1] == len(xs) - 1
+    return found if whole and all(b - a >= 2 for a, b in zip(found, found[1:])) else None
+
+
+def group_band(xs: list[float], ys: list[float], vs: list, hs: list) -> tuple[float, list[int]] | None:
+    """(top, boundaries) of the one closed band of grouped columns on a frame; none if another stands on it."""
+    at = next((k for k, h in enumerate(hs) if abs(h[0] - ys[-1]) <= SNAP), len(hs))
+    band = _band_on(at, xs, vs, hs)
+    if band is None or _band_on(at + 1, xs, vs, hs) is not None:
+        return None
+    return hs[at + 1][0], band
+
+
 def frames(rules: DataFrame) -> DataFrame:
-    """(doc_id, page, frame, xs, ys): tables of two rows and columns or more that rules(doc_id, page, axis, p, lo, hi) close.
+    """(doc_id, page, frame, xs, ys, band_top, band): tables of two rows and columns or more that rules(doc_id, page, axis, p, lo, hi) close.
 
     axis is v or h. A frame's lines are those of its closed cells; a merged cell
-    leaves a hole, not a break.
+    leaves a hole, not a break. band: the boundaries of the grouped band on top, if
+    there is one.
     """
     lines = grid_lines(rules.where("axis = 'v'")).withColumn("axis", F.lit("v")).unionByName(grid_lines(rules.where("axis = 'h'")).withColumn("axis", F.lit("h")))
 
@@ -364,12 +450,14 @@ def frames(rules: DataFrame) -> DataFrame:
             if axis is not None:
                 seen[axis].setdefault(p, []).append((lo, hi))
                 return []
-            made = frames_of(list(seen["v"].items()), list(seen["h"].items()))
-            return [(k, xs, ys) for k, (xs, ys) in enumerate(made)]
+            vs, hs = list(seen["v"].items()), list(seen["h"].items())
+            made = frames_of(vs, hs)
+            bands = [group_band(xs, ys, vs, hs) or (None, None) for xs, ys in made]
+            return [(k, *f, *b) for k, (f, b) in enumerate(zip(made, bands, strict=True))]
 
         return step
 
-    return folded(lines, PAGE, ["axis", "p", "lo"], ["axis", "p", "lo", "hi"], start, "frame int, xs array<double>, ys array<double>")
+    return folded(lines, PAGE, ["axis", "p", "lo"], ["axis", "p", "lo", "hi"], start, "frame int, xs array<double>, ys array<double>, band_top double, band array<int>")
 
 
 # ---- figures

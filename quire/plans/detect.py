@@ -201,6 +201,23 @@ def _(spark, d):
     return found.select("doc_id", "page", "frame", F.element_at("xs", -1).alias("x1"), F.element_at("ys", -1).alias("y1"), F.size("xs").alias("n_xs"), F.size("ys").alias("n_ys"))
 
 
+@query(
+    "rules_of",
+    """
+WITH b AS (SELECT p_partkey AS doc_id, 1 AS page, p_size % 4 * 5.0 AS w, p_partkey % 5 * 4.0 AS h, p_partkey % 2 = 0 AS filled, p_partkey % 3 > 0 AS stroked FROM part),
+     r AS (SELECT doc_id, page, 'h' AS axis, h / 2 AS p, 0.0 AS lo, w AS hi FROM b WHERE filled AND h <= 3 AND w >= 8 UNION ALL SELECT doc_id, page, 'v', w / 2, 0.0, h FROM b WHERE filled AND w <= 3 AND h >= 8
+           UNION ALL SELECT doc_id, page, 'h', unnest([0.0, h]), 0.0, w FROM b WHERE stroked AND w >= 8 UNION ALL SELECT doc_id, page, 'v', unnest([w, 0.0]), 0.0, h FROM b WHERE stroked AND h >= 8)
+SELECT doc_id, CAST(page AS INT) AS page, axis, CAST(p AS DOUBLE) AS p, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi FROM r
+""",
+)
+def _(spark, d):
+    k, w, h, o = F.col("p_partkey"), (F.col("p_size") % 4 * 5).cast("double"), (F.col("p_partkey") % 5 * 4).cast("double"), F.lit(0.0)
+    seg = lambda op, x, y: F.struct(F.lit(op).alias("op"), x.alias("x"), y.alias("y"))
+    box = F.array(seg("M", o, o), seg("L", w, o), seg("L", w, h), seg("L", o, h), seg("Z", o, o))
+    paths = table(spark, d, "part").select(k.alias("doc_id"), F.lit(1).alias("page"), o.alias("x0"), o.alias("y0"), w.alias("x1"), h.alias("y1"), (k % 2 == 0).alias("filled"), (k % 3 > 0).alias("stroked"), box.alias("segs"))
+    return detect.rules_of(paths)
+
+
 # ---- figures
 
 

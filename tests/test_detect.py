@@ -156,3 +156,32 @@ def test_central_split(spark, n, width, text, lower, want):
     df = spark.createDataFrame(spans, "doc_id int, page int, n long, x double, y double, size double, width double, text string, angle double")
     got = D.central_split(df).collect()
     assert [(250.0 < r.gutter < 320.0, r.may_span) for r in got] == ([want] if want else [])
+
+
+def test_group_band():
+    xs, ys = [0.0, 40.0, 80.0, 120.0, 160.0], [0.0, 20.0, 40.0]
+    whole = [(0.0, 60.0)]
+    vs = [(x, whole if x in (0.0, 80.0, 160.0) else [(0.0, 40.0)]) for x in xs]
+    hs = [(y, [(0.0, 160.0)]) for y in (*ys, 60.0)]
+    assert D.group_band(xs, ys, vs, hs) == (60.0, [0, 2, 4])
+    assert D.group_band(xs, ys, vs, hs[:3]) is None  # no line above
+    assert D.group_band(xs, ys, [(x, whole) for x in xs], hs) is None  # groups of one column
+    assert D.group_band(xs, ys, [*vs, (100.0, [(42.0, 55.0)])], hs) is None  # a vertical that ends within
+    assert D.group_band(xs, ys, vs, [*hs[:3], (60.0, [(0.0, 100.0)])]) is None  # a short line above
+    two = [(x, [(0.0, 80.0)] if x in (0.0, 80.0, 160.0) else [(0.0, 40.0)]) for x in xs]
+    assert D.group_band(xs, ys, two, [*hs, (80.0, [(0.0, 160.0)])]) is None  # a second band
+
+
+def test_rules_of_open_and_curved_paths(spark):
+    seg = "array<struct<op:string,x:double,y:double>>"
+    rows = [
+        (1, 1, 0.0, 0.0, 50.0, 50.0, False, True, [("M", 0.0, 0.0), ("L", 50.0, 0.5), ("L", 20.0, 50.0), ("Z", None, None)]),
+        (2, 1, 0.0, 0.0, 50.0, 50.0, False, True, [("M", 0.0, 0.0), ("C", 50.0, 9.0), ("L", 50.0, 50.0)]),
+        (3, 1, 0.0, 0.0, 50.0, 2.0, True, False, [("M", 0.0, 0.0)]),
+        (4, 1, 0.0, 0.0, 5.0, 2.0, True, True, []),
+        (5, 1, 0.0, 0.0, 50.0, 2.0, False, False, None),
+    ]
+    paths = spark.createDataFrame(rows, f"doc_id long, page int, x0 double, y0 double, x1 double, y1 double, filled boolean, stroked boolean, segs {seg}")
+    got = sorted((r.doc_id, r.axis, r.p, r.lo, r.hi) for r in D.rules_of(paths).collect())
+    assert got == [(1, "h", 0.25, 0.0, 50.0), (2, "v", 50.0, 9.0, 50.0), (3, "h", 1.0, 0.0, 50.0)]
+    assert D.rules_of(paths.limit(0)).count() == 0
