@@ -274,9 +274,22 @@ def _(spark, d):
     return regions.gather_captions(lines(spark, d)).select("doc_id", "page", "ord", "caption_ord")
 
 
-@query("heading_continuations")
+@query(
+    "heading_continuations",
+    "WITH RECURSIVE "
+    + SPANS_SQL.removeprefix("WITH ")
+    + """, l AS (SELECT doc_id, page, n AS ord, x % 50 AS x0, y, size, font, n % 3 < 2 AS tier, CASE WHEN n % 5 = 0 THEN text ELSE split_part(text, ' ', 1) END AS text, row_number() OVER (PARTITION BY doc_id, page ORDER BY n) AS rn FROM s),
+     w AS (SELECT *, len(string_split(text, ' ')) AS words FROM l),
+     f AS (SELECT doc_id, page, rn, ord, ord AS head, tier AS open, x0, y, size, font, words FROM w WHERE rn = 1
+           UNION ALL SELECT w.doc_id, w.page, w.rn, w.ord, CASE WHEN on_ THEN f.head ELSE w.ord END, on_ OR w.tier, CASE WHEN on_ THEN f.x0 ELSE w.x0 END, CASE WHEN on_ THEN f.y ELSE w.y END, CASE WHEN on_ THEN f.size ELSE w.size END, w.font, CASE WHEN on_ THEN f.words + w.words ELSE w.words END
+           FROM f JOIN w ON w.doc_id = f.doc_id AND w.page = f.page AND w.rn = f.rn + 1,
+                LATERAL (SELECT f.open AND w.tier AND round(f.size) = round(w.size) AND f.font = w.font AND abs(f.y - w.y) < f.size * 1.8 AND abs(w.x0 - f.x0) < f.size * 1.5 AND f.words + w.words <= 16 AND NOT regexp_matches(w.text, '[0-9]$') AS on_))
+SELECT doc_id, page, ord, head FROM f""",
+)
 def _(spark, d):
-    return regions.heading_continuations(lines(spark, d)).select("doc_id", "page", "ord", "head")
+    n = F.col("ord")
+    x = lines(spark, d).withColumn("tier", n % 3 < 2).withColumn("text", F.when(n % 5 == 0, F.col("text")).otherwise(F.split_part("text", F.lit(" "), F.lit(1))))
+    return regions.heading_continuations(x).select("doc_id", "page", "ord", "head")
 
 
 @query("header_at", SPANS_SQL + "SELECT doc_id, n AS ord FROM s WHERE NOT (n % 3 = 0 AND EXISTS (SELECT 1 FROM s b WHERE b.doc_id = s.doc_id AND b.n % 41 = 0 AND round(b.size) = round(s.size) AND b.bold = s.bold AND b.font = s.font))")
