@@ -439,13 +439,57 @@ def _level(r: np.ndarray, own: np.ndarray, sums: np.ndarray, c: np.ndarray, d: n
 _GRAMS = "bucket long, before array<long>, context array<long>, backoff array<double>, followers array<int>, word array<long>, c array<long>"
 
 
+def _rises(runs: np.ndarray) -> np.ndarray:
+    """Where the runs of these lengths begin."""
+    return (np.cumsum(runs) - runs)[runs > 0]
+
+
+def _steps(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Numbers that rise within runs, as steps; each run begins with its first number."""
+    step = np.diff(x, prepend=0)
+    step[begin] = x[begin]
+    return step
+
+
+def _summed(step: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    upto = np.cumsum(step)
+    return upto - np.repeat(upto[begin] - step[begin], np.diff(np.r_[begin, len(step)]))
+
+
+def _table(before: np.ndarray, ctx: np.ndarray, weight: np.ndarray, own: np.ndarray, word: np.ndarray, c: np.ndarray) -> bytes:
+    """A packed table of contexts (before, ctx) and their followers (own: of which context): all rise, and are kept as steps.
+
+    Weights that are NaN are left out.
+    """
+    rank = np.lexsort((before, ctx))
+    place = np.empty(len(rank), np.int64)
+    place[rank] = np.arange(len(rank))
+    own = place[own]
+    o = np.lexsort((word, own))
+    followers = np.bincount(own, minlength=len(ctx))
+    ctx, before, weight = ctx[rank], before[rank], weight[rank]
+    new = np.flatnonzero(np.diff(ctx, prepend=-1))
+    return pack(_steps(before, new), np.diff(ctx, prepend=0), weight[~np.isnan(weight)], followers.astype(np.int32), _steps(word[o], _rises(followers)), c[o])
+
+
+def _opened(payload: bytes) -> tuple[np.ndarray, ...]:
+    """before, context, backoff (NaN where it was left out: after contexts seen once), followers, word, c."""
+    step, up, weight, followers, word, c = unpack(payload)
+    ctx = np.cumsum(up)
+    if len(weight) < len(ctx):
+        seen = np.bincount(np.repeat(np.arange(len(ctx)), followers), c, len(ctx))
+        full = np.full(len(ctx), np.nan)
+        full[seen != 1] = weight
+        weight = full
+    return _summed(step, np.flatnonzero(np.diff(ctx, prepend=-1))), ctx, weight, followers, _summed(word, _rises(followers.astype(np.int64))), c
+
+
 def _open(batches):
     """The packed tables of buckets as arrays."""
     for b in batches:
         for bucket, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            arrays = unpack(payload)
             one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *(one(x, t) for x, t in zip(arrays, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()), strict=True))], names=["bucket", "before", "context", "backoff", "followers", "word", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *(one(x, t) for x, t in zip(_opened(payload), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()), strict=True))], names=["bucket", "before", "context", "backoff", "followers", "word", "c"])
 
 
 def _scores(low: Lower, k: int, hot: int, order: int):
@@ -488,13 +532,14 @@ def _scores(low: Lower, k: int, hot: int, order: int):
             has = np.flatnonzero(np.bincount(doc))
             rows.append((1, block, pack(np.diff(has, prepend=0).astype(np.uint32), total[has].astype(np.int64))))
         known = np.flatnonzero((b.r > 0) & mine)
-        rows.append((2, bucket, pack(np.zeros(0, np.int64), b.ctx, alpha, np.bincount(b.own[known], minlength=len(b.ctx)).astype(np.int32), b.fol[known], b.r[known])))
+        rows.append((2, bucket, _table(np.zeros(len(b.ctx), np.int64), b.ctx, alpha, b.own[known], b.fol[known], b.r[known])))
         known = np.flatnonzero((b.r3 > 0) & b.deep)
-        known = known[np.lexsort((b.fol[b.pair[known]], own3[known]))]
         some = np.flatnonzero(np.bincount(own3[known], minlength=n))
+        renumbered = np.zeros(n, np.int64)
+        renumbered[some] = np.arange(len(some))
         # a context seen once has the weight that its one follower leaves, which needn't be stored
         weight = np.where(c3[some] > 1, alpha3[some], np.nan)
-        rows.append((3, bucket, pack(before[some], b.ctx[mid[some]], weight, np.bincount(own3[known], minlength=n)[some].astype(np.int32), b.fol[b.pair[known]], b.r3[known])))
+        rows.append((3, bucket, _table(before[some], b.ctx[mid[some]], weight, renumbered[own3[known]], b.fol[b.pair[known]], b.r3[known])))
         return pa.Table.from_batches(_rows(rows, _SCORED_ARROW), _SCORED_ARROW)
 
     return run

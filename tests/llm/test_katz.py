@@ -154,3 +154,21 @@ def test_discounts_fall_back():
     assert len(K.discounts([10.0, 3.0, 1.0, 0.0, 0.0, 0.0], 5)) <= 2
     d = K.discounts([1000.0, 400.0, 200.0, 120.0, 80.0, 55.0], 5)
     assert len(d) == 5 and ((d > 0) & (d < 1)).all()
+
+
+def test_packed_tables_open_again():
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 0), (1, 1), (5, 40), (300, 900)):
+        pairs = np.unique(rng.integers(0, 40, (n, 2)), axis=0) if n else np.zeros((0, 2), np.int64)
+        pairs = pairs[rng.permutation(len(pairs))]
+        own, word = (rng.integers(0, len(pairs), m), rng.integers(0, 1 << 40, m)) if n else (np.zeros(0, np.int64),) * 2
+        own, word = (x[np.unique(np.c_[own, word], axis=0, return_index=True)[1]] for x in (own, word))
+        c = rng.integers(1, 3, len(own))
+        seen = np.bincount(own, c, len(pairs))
+        weight = np.where(seen == 1, np.nan, rng.random(len(pairs)))
+        before, ctx, alpha, followers, got, count = K._opened(K._table(pairs[:, 0], pairs[:, 1], weight, own, word, c))
+        end = np.cumsum(followers)
+        opened = {(b, x): (a, sorted(zip(got[e - f : e].tolist(), count[e - f : e].tolist()))) for b, x, a, f, e in zip(before.tolist(), ctx.tolist(), alpha.tolist(), followers.tolist(), end.tolist())}
+        want = {(b, x): (w, sorted((int(word[i]), int(c[i])) for i in np.flatnonzero(own == k))) for k, (b, x, w) in enumerate(zip(pairs[:, 0].tolist(), pairs[:, 1].tolist(), weight.tolist()))}
+        assert opened.keys() == want.keys()
+        assert all(opened[k][1] == want[k][1] and (opened[k][0] == want[k][0] or np.isnan(want[k][0]) and np.isnan(opened[k][0])) for k in want)
