@@ -434,12 +434,18 @@ def group_band(xs: list[float], ys: list[float], vs: list, hs: list) -> tuple[fl
     return hs[at + 1][0], band
 
 
-def frames(rules: DataFrame) -> DataFrame:
+def longest(lines: list, most: int) -> list:
+    """The lines of the largest painted extent, in their order: beyond `most`, a page is a map or a chart."""
+    kept = sorted(range(len(lines)), key=lambda k: (-sum(b - a for a, b in lines[k][1]), k))[:most]
+    return [lines[k] for k in sorted(kept)]
+
+
+def frames(rules: DataFrame, most: int = 96) -> DataFrame:
     """(doc_id, page, frame, xs, ys, band_top, band): tables of two rows and columns or more that rules(doc_id, page, axis, p, lo, hi) close.
 
     axis is v or h. A frame's lines are those of its closed cells; a merged cell
     leaves a hole, not a break. band: the boundaries of the grouped band on top, if
-    there is one.
+    there is one. Of each axis the longest `most` lines of a page are used.
     """
     lines = grid_lines(rules.where("axis = 'v'")).withColumn("axis", F.lit("v")).unionByName(grid_lines(rules.where("axis = 'h'")).withColumn("axis", F.lit("h")))
 
@@ -450,7 +456,7 @@ def frames(rules: DataFrame) -> DataFrame:
             if axis is not None:
                 seen[axis].setdefault(p, []).append((lo, hi))
                 return []
-            vs, hs = list(seen["v"].items()), list(seen["h"].items())
+            vs, hs = (longest(list(seen[a].items()), most) for a in "vh")
             made = frames_of(vs, hs)
             bands = [group_band(xs, ys, vs, hs) or (None, None) for xs, ys in made]
             return [(k, *f, *b) for k, (f, b) in enumerate(zip(made, bands, strict=True))]

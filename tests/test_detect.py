@@ -103,6 +103,11 @@ def test_frames():
     assert D.frames_of([(0.0, [(0.0, 100.0)]), inner, (80.0, [(0.0, 100.0)])], [(y, [(0.0, 80.0)]) for y in ys]) == [([0.0, 40.0, 80.0], ys)]
 
 
+def test_longest_lines():
+    lines = [(0.0, [(0.0, 5.0)]), (1.0, [(0.0, 3.0), (4.0, 9.0)]), (2.0, [(0.0, 1.0)]), (3.0, [(0.0, 5.0)])]
+    assert [p for p, _ in D.longest(lines, 2)] == [0.0, 1.0] and D.longest(lines, 9) == lines and D.longest([], 2) == []
+
+
 def test_frames_far_apart(spark):
     rules = []
     for base in (0.0, 500.0):
