@@ -144,12 +144,21 @@ def author_notes(names: DataFrame, places: DataFrame) -> DataFrame:
 
 def outline_links(outline: DataFrame, headings: DataFrame) -> DataFrame:
     """(doc_id, n, title, heading): each outline entry's heading, by equal title keys, else the first heading of eight or more
-    characters whose key begins the entry's. The second kind is sought by the first eight characters, an equi join."""
-    o = outline.withColumn("key", T.title_key(F.col("title")))
-    h = headings.select("doc_id", F.col("ord"), F.col("id").alias("heading"), T.title_key(F.col("title")).alias("hkey"))
-    exact = o.join(h, [o.doc_id == h.doc_id, o.key == h.hkey]).select(o.doc_id, "n", F.struct(F.lit(0).alias("rank"), "ord", "heading").alias("m"))
-    head8 = h.where(F.octet_length("hkey") >= 8).withColumn("k8", F.substring("hkey", 1, 4))
-    o8 = o.withColumn("k8", F.substring("key", 1, 4))
-    loose = o8.join(head8, [o8.doc_id == head8.doc_id, o8.k8 == head8.k8, F.startswith(F.col("key"), F.col("hkey"))]).select(o8.doc_id, "n", F.struct(F.lit(1).alias("rank"), "ord", "heading").alias("m"))
-    best = exact.unionAll(loose).groupBy("doc_id", "n").agg(F.min("m")["heading"].alias("heading"))
-    return outline.select("doc_id", "n", "title").join(best, ["doc_id", "n"], "left")
+    characters whose key begins the entry's.
+
+    Each key is sought once a document, and of the headings with one key only the
+    first counts. The second kind is an equi join too: by a hash of the key's
+    beginnings, of the lengths that the document's headings have.
+    """
+    o = outline.select("doc_id", "n", "title", T.title_key(F.col("title")).alias("key"))
+    keys = o.select("doc_id", "key").distinct()
+    h = headings.select("doc_id", T.title_key(F.col("title")).alias("hkey"), "ord", F.col("id").alias("heading"))
+    first = h.groupBy("doc_id", "hkey").agg(F.min(F.struct("ord", "heading")).alias("m"))
+    exact = keys.join(first.withColumnRenamed("hkey", "key"), ["doc_id", "key"]).select("doc_id", "key", F.struct(F.lit(0).alias("rank"), "m").alias("m"))
+    long = first.where(F.octet_length("hkey") >= 8).select("doc_id", F.length("hkey").alias("l"), F.xxhash64("hkey").alias("hash"), "hkey", "m")
+    lengths = long.groupBy("doc_id").agg(F.collect_set("l").alias("ls"))
+    starts = keys.join(lengths, "doc_id").select("doc_id", "key", F.explode(F.filter("ls", lambda l: l <= F.length("key"))).alias("l"))
+    starts = starts.withColumn("hash", F.xxhash64(F.substring(F.col("key"), F.lit(1), F.col("l"))))
+    loose = starts.join(long, ["doc_id", "l", "hash"]).where(F.startswith(F.col("key"), F.col("hkey"))).select("doc_id", "key", F.struct(F.lit(1).alias("rank"), "m").alias("m"))
+    best = exact.unionAll(loose).groupBy("doc_id", "key").agg(F.min("m")["m"]["heading"].alias("heading"))
+    return o.join(best, ["doc_id", "key"], "left").select("doc_id", "n", "title", "heading")
