@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from quire.operators import sequence
+from quire.operators import build, sequence
 
 
 def test_outline_links_of_one_large_document(spark):
@@ -27,3 +27,12 @@ def test_outline_links_of_short_and_null_titles(spark):
     heads = spark.createDataFrame([(1, 5, 50, "über alle"), (1, 3, 30, "Über alle M"), (1, 9, 90, "abc"), (2, 7, 70, "ABC."), (2, 4, 40, "a-b-c")], "doc_id int, ord int, id int, title string")
     got = {(r["doc_id"], r["n"]): r["heading"] for r in sequence.outline_links(outline, heads).collect()}
     assert got == {(1, 1): 30, (1, 2): None, (1, 3): None, (2, 1): 40}
+
+
+def test_ocr_plan_by_other_measures(spark):
+    """Broken text drops its layer, unless the caller says that nothing is garbled; so does a text's length."""
+    pages = spark.createDataFrame([(1, 1, "xkcd " * 60, 1.0, "TeX"), (2, 1, " \n" * 100 + "short", 1.0, "TeX"), (3, 1, None, 1.0, "ScanSnap")], "doc_id int, page int, text string, area double, producer string")
+    images = pages.select("doc_id", "page", F.lit(0.1).alias("area"))
+    plan = lambda **more: [r["decision"] for r in build.ocr_plan(pages, images, **more).orderBy("doc_id").collect()]
+    assert plan() == ["drop_and_ocr", "needs_ocr", "needs_ocr"]
+    assert plan(n_text=F.length(F.trim("text")), garbled=F.lit(False)) == ["not_needed", "not_needed", "drop_and_ocr"]
