@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,16 +34,24 @@ def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(source)}
 
 
-def forest(source: str) -> list:
+def decoder(references: tuple[str, ...] | None) -> Callable[[str], str]:
+    """What decodes character references in text: all of HTML's, or only those named, with their semicolon."""
+    if references is None:
+        return _html.unescape
+    named = re.compile(f"&(?:{'|'.join(map(re.escape, references))});")
+    return lambda t: named.sub(lambda m: _html.unescape(m[0]), t)
+
+
+def forest(source: str, references: tuple[str, ...] | None = None) -> list:
     """Elements and strings; script and style are dropped, svg is kept verbatim, an end tag closes the nearest open one."""
-    root = Elem("", {})
+    root, decode = Elem("", {}), decoder(references)
     stack, at = [root], 0
     while at < len(source):
         m = _TAG.search(source, at)
         if m is None:
             break
         if m.start() > at:
-            stack[-1].kids.append(_html.unescape(source[at : m.start()]))
+            stack[-1].kids.append(decode(source[at : m.start()]))
         at = m.end()
         if m[2] is None:
             continue
@@ -75,18 +83,21 @@ def forest(source: str) -> list:
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(e)
     if at < len(source):
-        stack[-1].kids.append(_html.unescape(source[at:]))
+        stack[-1].kids.append(decode(source[at:]))
     return root.kids
 
 
-def nodes(pages: DataFrame, id_: str = "page_id", html: str = "html") -> DataFrame:
-    """(id, ord, depth, parent, tag, attrs, text): a row for each element (tag) or text (no tag), in document order."""
+def nodes(pages: DataFrame, id_: str = "page_id", html: str = "html", references: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, ord, depth, parent, tag, attrs, text): a row for each element (tag) or text (no tag), in document order.
+
+    references: the names of the character references that are decoded in texts, all if not given.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows: list[tuple] = []
             for key, source in zip(pdf[id_], pdf[html], strict=True):
-                stack = [(k, 0, None) for k in reversed(forest(source or ""))]
+                stack = [(k, 0, None) for k in reversed(forest(source or "", references))]
                 n = 0
                 while stack:
                     x, depth, parent = stack.pop()

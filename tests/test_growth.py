@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quire.operators import build, sequence
+from quire.plans import registry
 
 
 def test_outline_links_of_one_large_document(spark):
@@ -36,3 +38,14 @@ def test_ocr_plan_by_other_measures(spark):
     plan = lambda **more: [r["decision"] for r in build.ocr_plan(pages, images, **more).orderBy("doc_id").collect()]
     assert plan() == ["drop_and_ocr", "needs_ocr", "needs_ocr"]
     assert plan(n_text=F.length(F.trim("text")), garbled=F.lit(False)) == ["not_needed", "not_needed", "drop_and_ocr"]
+
+
+def test_page_blocks_against_sql_on_odd_pages(spark, tmp_path):
+    """Other references than the SQL's three, headings below the first, pages without blocks or text."""
+    html = ["<h1>a &quot;b&amp; &amp;lt; c&amp</h1><h2>z</h2><ul><li>x</li></ul>", "<p>no heading</p>", "", None]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["doc_id"]: (r["title"], r["items"]) for r in registry.queries()["page_blocks"](spark, str(tmp_path)).collect()}
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == {d: (t, n) for d, t, n in duckdb.sql(f"SELECT doc_id, title, items FROM ({registry.oracle_sql()['page_blocks']})").fetchall()}
+    assert got[0] == ("a &quot;b& &lt; c&amp", 1)
+    assert build.page_blocks(spark.read.parquet(str(tmp_path / "pages.parquet"))).where("heading_level = 1").head()["text"] == 'a "b& &lt; c&'
