@@ -26,7 +26,9 @@ def elements(blocks: DataFrame) -> DataFrame:
     grouped = F.col("kind").isin("list_item", "footnote") & (F.lag("kind").over(w) == F.col("kind")) & F.lag("el_group").over(w).eqNullSafe(F.col("el_group"))
     runs = islands(b, ["doc_id", "page"], "ord", grouped)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
-    return runs.groupBy("doc_id", "page", "island").agg(F.min("ord").alias("ord"), F.first("kind").alias("kind"), F.coalesce(F.first("list_ordered"), F.lit(False)).alias("ordered"), texts.alias("texts"), F.first("heading_level").alias("level")).drop("island")
+    # an aggregate that runs out of hash buckets takes a group's rows out of order
+    first = lambda c: F.min_by(c, "ord")
+    return runs.groupBy("doc_id", "page", "island").agg(F.min("ord").alias("ord"), first("kind").alias("kind"), F.coalesce(first("list_ordered"), F.lit(False)).alias("ordered"), texts.alias("texts"), first("heading_level").alias("level")).drop("island")
 
 
 def element_html() -> Column:
