@@ -132,3 +132,13 @@ def unpack_vector(b: Column, dimension: int) -> Column:
         return s.map(one)
 
     return run(b)
+
+
+def printed(v: Column, places: int) -> Column:
+    """The numbers of an array with so many decimals, rounded as C does: by their exact value, halves to even. Nulls stay."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else [None if y is None else f"{y:.{places}f}" for y in x])
+
+    return run(v)

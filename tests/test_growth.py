@@ -56,3 +56,14 @@ def test_elements_take_their_first_row_whatever_the_order(spark):
     n = F.col("id")
     rows = spark.range(4000).select((n / 4).cast("int").alias("doc_id"), F.lit(1).alias("page"), n.alias("ord"), F.lit("list_item").alias("kind"), n.cast("string").alias("text"), (n % 4 == 0).alias("list_ordered"), F.lit(1).alias("el_group"), F.lit(None).cast("int").alias("heading_level"))
     assert render.elements(rows).selectExpr("count_if(ordered AND size(texts) = 4) AS n").head()["n"] == 1000
+
+
+def test_vector_bytes_against_sql_on_halves_and_nulls(spark, tmp_path):
+    """Halves of the last decimal go to the even one, as in C; vectors without numbers have no row."""
+    odd = [0.0078125, -0.0234375, 1e-9, -1e-9, 0.5, 12345.678, float("nan"), None] * 8
+    schema = "vec_id long, embedding array<float>"
+    spark.createDataFrame([(1, odd), (2, None), (3, []), (4, [k / 128 for k in range(64)])], schema).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["vec_id"]: (r["back"], r["n"]) for r in registry.queries()["vector_bytes"](spark, str(tmp_path)).collect()}
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == {v: (b, n) for v, b, n in duckdb.sql(f"SELECT vec_id, back, n FROM ({registry.oracle_sql()['vector_bytes']})").fetchall()}
+    assert got[1][0].startswith("0.007812,-0.023438,0.000000,-0.000000,")
