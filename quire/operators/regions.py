@@ -202,27 +202,40 @@ def continuations(tables: DataFrame) -> DataFrame:
     """
 
     def start():
-        anchors: dict[int, dict] = {}
+        anchors: list[dict] = []  # of tables whose last part is on the page before
         fresh: list[tuple] = []
         now = None
 
-        def close():
-            out, pairs = [], []
+        def pairs(page):
+            """The only pair of a table that leads and an anchor that it may go on with, or none."""
+            by_style, by_row = {}, {}
+            for x in anchors:
+                if x["last"] + 1 == page and x["ends"] and x["styled"]:
+                    by_style.setdefault(x["signature"], []).append(x)
+                    by_row.setdefault((x["signature"], x["first"]), []).append(x)
+            found = []
             for t in fresh:
-                page, k, signature, leads, ends, styled, first = t
-                for a, x in anchors.items():
-                    if leads and x["last"] + 1 == page and x["ends"] and x["styled"] and x["signature"] == signature and (not styled or x["first"] == first):
-                        pairs.append((t, a))
-            joined = pairs[0] if len(pairs) == 1 else None
+                _, _, signature, leads, _, styled, first = t
+                if leads:
+                    found += [(t, x) for x in (by_row.get((signature, first), []) if styled else by_style.get(signature, []))[:2]]
+                if len(found) > 1:
+                    return None
+            return found[0] if found else None
+
+        def close():
+            joined, out, kept = (pairs(now) if fresh else None), [], []
             for t in fresh:
                 page, k, signature, leads, ends, styled, first = t
                 if joined and joined[0] is t:
-                    x = anchors[joined[1]]
+                    x = joined[1]
                     x["last"], x["ends"] = page, ends
+                    kept.append(x)
                     out.append((page, k, x["page"], x["k"], bool(styled)))
                 else:
-                    anchors[len(anchors)] = {"page": page, "k": k, "last": page, "ends": ends, "styled": styled, "signature": signature, "first": first}
+                    kept.append({"page": page, "k": k, "last": page, "ends": ends, "styled": styled, "signature": signature, "first": first})
                     out.append((page, k, page, k, False))
+            if fresh:
+                anchors[:] = kept
             fresh.clear()
             return out
 

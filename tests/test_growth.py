@@ -7,7 +7,7 @@ import time
 import duckdb
 from pyspark.sql import functions as F
 
-from quire.operators import build, render, sequence
+from quire.operators import build, regions, render, sequence
 from quire.plans import registry
 
 
@@ -67,3 +67,20 @@ def test_vector_bytes_against_sql_on_halves_and_nulls(spark, tmp_path):
     duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert got == {v: (b, n) for v, b, n in duckdb.sql(f"SELECT vec_id, back, n FROM ({registry.oracle_sql()['vector_bytes']})").fetchall()}
     assert got[1][0].startswith("0.007812,-0.023438,0.000000,-0.000000,")
+
+
+def test_continuations_of_a_long_document(spark):
+    """30,000 pages with a table each, every third one new: looking through all earlier tables would take minutes."""
+    n = F.col("id")
+    x = spark.range(30_000).select(F.lit(1).alias("doc_id"), n.alias("page"), F.lit(0).alias("k"), (n / 3).cast("int").cast("string").alias("signature"), F.lit(True).alias("leads"), F.lit(True).alias("ends"), F.lit(True).alias("styled"), (n / 3).cast("int").cast("string").alias("first_row"))
+    began = time.monotonic()
+    got = regions.continuations(x).selectExpr("count_if(anchor_page = page - page % 3 AND skip = (page % 3 > 0)) AS n").head()
+    assert got["n"] == 30_000
+    assert time.monotonic() - began < 15
+
+
+def test_continuations_with_several_candidates(spark):
+    rows = [(1, 1, "a", True, "h"), (1, 2, "a", True, "g"), (2, 1, "a", True, "h"), (3, 1, "a", False, "x"), (5, 1, "a", True, "x"), (6, 1, "b", True, None), (7, 1, "b", True, None), (7, 2, "b", True, None)]
+    x = spark.createDataFrame([(1, p, k, s, True, True, st, f) for p, k, s, st, f in rows], "doc_id int, page int, k int, signature string, leads boolean, ends boolean, styled boolean, first_row string")
+    got = {(r["page"], r["k"]): (r["anchor_page"], r["anchor_k"], r["skip"]) for r in regions.continuations(x).collect()}
+    assert got == {(1, 1): (1, 1, False), (1, 2): (1, 2, False), (2, 1): (1, 1, True), (3, 1): (1, 1, False), (5, 1): (5, 1, False), (6, 1): (6, 1, False), (7, 1): (7, 1, False), (7, 2): (7, 2, False)}
