@@ -8,6 +8,7 @@ depends on the choices made before it is a fold over the page's ordered rows.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -123,6 +124,54 @@ def reconcile_preferred(existing: DataFrame, preferred: DataFrame, own=owns, cov
     return kept.unionByName(won).select(*PAGE, "source", "k", "x0", "y0", "x1", "y1")
 
 
+class Heights:
+    """Fragments (place, y0, y1) of one lane, taken one by one: the first that overlaps given heights by half of the smaller.
+
+    Equal heights wait in one line; the lines are in a tree by y0 that knows each
+    branch's first place and highest y1, so a search leaves out what doesn't reach
+    the heights and what comes later than the best so far.
+    """
+
+    def __init__(self, fragments: list[tuple]):
+        lines: dict[tuple, list[int]] = {}
+        for place, a, b in fragments:
+            lines.setdefault((a, b), []).append(place)
+        self.keys = sorted(lines)
+        self.lines = [lines[key][::-1] for key in self.keys]
+        self.taken: set[int] = set()
+        n = self.size = 1 << (len(self.keys) - 1).bit_length()
+        self.first = [float("inf")] * 2 * n
+        self.low, self.high = [float("inf")] * 2 * n, [float("-inf")] * 2 * n
+        for i, (a, b) in enumerate(self.keys):
+            self.first[n + i], self.low[n + i], self.high[n + i] = self.lines[i][-1], a, b
+        for v in range(n - 1, 0, -1):
+            for x, of in ((self.first, min), (self.low, min), (self.high, max)):
+                x[v] = of(x[2 * v], x[2 * v + 1])
+
+    def take(self, lo: float, hi: float) -> int | None:
+        best, at, stack = float("inf"), None, [1]
+        while stack:
+            v = stack.pop()
+            if self.first[v] >= best or self.low[v] > hi or self.high[v] < lo:
+                continue
+            if v < self.size:
+                near, far = sorted((2 * v, 2 * v + 1), key=self.first.__getitem__)
+                stack += (far, near)
+                continue
+            a, b = self.keys[v - self.size]
+            if min(hi, b) - max(lo, a) >= max(min(hi - lo, b - a), 1.0) * 0.5:
+                best, at = self.first[v], v
+        if at is None:
+            return None
+        line = self.lines[at - self.size]
+        self.taken.add(place := line.pop())
+        self.first[at] = line[-1] if line else float("inf")
+        while at > 1:
+            at //= 2
+            self.first[at] = min(self.first[2 * at], self.first[2 * at + 1])
+        return place
+
+
 def lane_chains(tables: DataFrame) -> DataFrame:
     """tables(doc_id, page, lane, k, y0, y1) with chain: fragments of one table over lanes, each taking the first free one to its right that overlaps half.
 
@@ -137,19 +186,18 @@ def lane_chains(tables: DataFrame) -> DataFrame:
             if lane is not None:
                 held.append((lane, k, y0, y1))
                 return []
-            used, out, chain = set(), [], 0
+            lanes = {own: Heights([(i, *t[2:]) for i, t in of_lane]) for own, of_lane in groupby(enumerate(held), key=lambda t: t[1][0])}
+            order, out, chain = list(lanes), [], 0
             for i, (own, k0, lo, hi) in enumerate(held):
-                if i in used:
+                if i in lanes[own].taken:
                     continue
                 chain += 1
                 out.append((own, k0, chain))
-                last = own
-                for j in range(i + 1, len(held)):
-                    to, k1, a, b = held[j]
-                    if j not in used and to > last and min(hi, b) - max(lo, a) >= max(min(hi - lo, b - a), 1.0) * 0.5:
-                        used.add(j)
-                        out.append((to, k1, chain))
-                        lo, hi, last = min(lo, a), max(hi, b), to
+                for to in order[order.index(own) + 1 :]:
+                    j = lanes[to].take(lo, hi)
+                    if j is not None:
+                        out.append((to, held[j][1], chain))
+                        lo, hi = min(lo, held[j][2]), max(hi, held[j][3])
             return out
 
         return step
