@@ -114,13 +114,18 @@ def reconcile_preferred(existing: DataFrame, preferred: DataFrame, own=owns, cov
 
     A preferred table that owns one it doesn't cover is dropped, and the existing one stays.
     """
-    e, p = existing.alias("e"), preferred.alias("p")
-    met = e.join(p, [F.col(f"e.{c}") == F.col(f"p.{c}") for c in PAGE] + [own(box_of("p"), box_of("e"))]).select(*(F.col(f"p.{c}").alias(c) for c in PAGE), F.col("e.k").alias("e"), F.col("p.k").alias("p"), cover(box_of("p"), box_of("e")).alias("ok"))
-    over = met.where(~F.col("ok")).select(*PAGE, F.col("p").alias("k")).distinct()
-    gone = met.join(over.withColumnRenamed("k", "p"), [*PAGE, "p"], "left_anti").select(*PAGE, F.col("e").alias("k")).distinct()
+    # tables of one place have one fate, so places are compared, and each once a page
+    place = ["x0", "y0", "x1", "y1"]
+    e, p = existing.select(*PAGE, *place).distinct().alias("e"), preferred.select(*PAGE, *place).distinct().alias("p")
+    of = lambda side: F.struct(*(F.col(f"{side}.{c}") for c in place)).alias(side)
+    met = e.join(p, [F.col(f"e.{c}") == F.col(f"p.{c}") for c in PAGE] + [own(box_of("p"), box_of("e"))]).select(*(F.col(f"p.{c}").alias(c) for c in PAGE), of("e"), of("p"), cover(box_of("p"), box_of("e")).alias("ok"))
+    # the places that one preferred table owns are few; whether it is over and which ones go is known from them
+    owned = met.groupBy(*PAGE, "p").agg(F.bool_and("ok").alias("ok"), F.collect_list("e").alias("es"))
+    over = owned.where(~F.col("ok")).select(*PAGE, "p.*")
+    gone = owned.where("ok").select(*PAGE, F.explode("es").alias("e")).select(*PAGE, "e.*").distinct()
     cols = [*PAGE, "k", "x0", "y0", "x1", "y1"]
-    kept = existing.select(cols).join(gone, [*PAGE, "k"], "left_anti").withColumn("source", F.lit("existing"))
-    won = preferred.select(cols).join(over, [*PAGE, "k"], "left_anti").withColumn("source", F.lit("preferred"))
+    kept = existing.select(cols).join(gone, [*PAGE, *place], "left_anti").withColumn("source", F.lit("existing"))
+    won = preferred.select(cols).join(over, [*PAGE, *place], "left_anti").withColumn("source", F.lit("preferred"))
     return kept.unionByName(won).select(*PAGE, "source", "k", "x0", "y0", "x1", "y1")
 
 

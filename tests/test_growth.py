@@ -120,3 +120,14 @@ def test_lane_chains_of_a_crowded_page(spark):
     began = time.monotonic()
     assert regions.lane_chains(x).selectExpr("count(*) AS n", "count_if(chain = floor(k / 3) + 1) AS same").head() == (60_000, 60_000)
     assert time.monotonic() - began < 25
+
+
+def test_reconcile_preferred_with_many_tables_of_one_place(spark):
+    """A hundred thousand tables against as many on one page: as pairs they would take minutes."""
+    n = F.col("id")
+    at = lambda shift, places: (n % places * 100.0 + shift)
+    tables = lambda shift, places: spark.range(100_000).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page"), n.alias("k"), at(shift, places).alias("x0"), F.lit(0.0).alias("y0"), (at(shift, places) + 60).alias("x1"), F.lit(50.0).alias("y1"))
+    began = time.monotonic()
+    got = {r["source"]: (r["n"], r["places"]) for r in regions.reconcile_preferred(tables(0, 4), tables(5, 2)).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("x0").alias("places")).collect()}
+    assert got == {"existing": (50_000, 2), "preferred": (100_000, 2)}
+    assert time.monotonic() - began < 30
