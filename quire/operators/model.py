@@ -70,6 +70,33 @@ def folded(rows: DataFrame, key: list[str], order: list, columns: list[str], sta
     return dealt.mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in key]) + ", " + out)
 
 
+def mapped(rows: DataFrame, each: Callable, out: str, at_most: int = 4 << 20) -> DataFrame:
+    """(out) of all tuples that each(*row) gives, in batches of about at_most bytes.
+
+    Rows become Python values a few at a time, so memory doesn't grow with the rows
+    of an Arrow batch but for the batch itself.
+    """
+    schema = to_arrow_schema(StructType.fromDDL(out))
+
+    def run(batches):
+        held, size = [], 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+        for batch in batches:
+            few = max(1, min(64, at_most * batch.num_rows // max(batch.nbytes, 1)))
+            for lo in range(0, batch.num_rows, few):
+                for row in zip(*(c.to_pylist() for c in batch.slice(lo, few).columns), strict=True):
+                    for x in each(*row):
+                        held.append(x)
+                        size += 64 * len(x) + sum(len(v) for v in x if isinstance(v, (str, bytes)))
+                        if size >= at_most:
+                            yield made()
+                            held, size = [], 0
+        if held:
+            yield made()
+
+    return rows.mapInArrow(run, out)
+
+
 # ---- sections
 
 
