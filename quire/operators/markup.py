@@ -11,11 +11,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import text as T
+from quire.operators.model import mapped
 
 # Fixed names of elements without content.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -93,25 +95,19 @@ def nodes(pages: DataFrame, id_: str = "page_id", html: str = "html", references
     references: the names of the character references that are decoded in texts, all if not given.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows: list[tuple] = []
-            for key, source in zip(pdf[id_], pdf[html], strict=True):
-                stack = [(k, 0, None) for k in reversed(forest(source or "", references))]
-                n = 0
-                while stack:
-                    x, depth, parent = stack.pop()
-                    if isinstance(x, str):
-                        rows.append((key, n, depth, parent, None, None, x))
-                    else:
-                        rows.append((key, n, depth, parent, x.tag, x.attrs, x.raw))
-                        stack.extend((k, depth + 1, n) for k in reversed(x.kids))
-                    n += 1
-            out = pd.DataFrame(rows, columns=[id_, "ord", "depth", "parent", "tag", "attrs", "text"])
-            out["parent"] = out["parent"].astype("Int32")
-            yield out
+    def each(key, source):
+        stack = [(k, 0, None) for k in reversed(forest(source or "", references))]
+        n = 0
+        while stack:
+            x, depth, parent = stack.pop()
+            if isinstance(x, str):
+                yield key, n, depth, parent, None, None, x
+            else:
+                yield key, n, depth, parent, x.tag, list(x.attrs.items()), x.raw
+                stack.extend((k, depth + 1, n) for k in reversed(x.kids))
+            n += 1
 
-    return pages.select(id_, html).mapInPandas(run, f"{id_} {dict(pages.dtypes)[id_]}, ord int, depth int, parent int, tag string, attrs map<string,string>, text string")
+    return mapped(pages.select(id_, html), each, f"`{id_}` {dict(pages.dtypes)[id_]}, ord int, depth int, parent int, tag string, attrs map<string,string>, text string")
 
 
 def links(pages: DataFrame, id_: str = "page_id", html: str = "html") -> DataFrame:
@@ -342,22 +338,25 @@ def _untagged(line: str) -> str:
 def collapse_loops(c: Column) -> Column:
     """Text without the loops that recognisers fall into: repeated lines, tags aside, then repeated words within a line."""
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        def words(line):
-            w = line.split(" ")
-            if len(w) < 6:
-                return line
-            kept = kept_of_loops(w, 4, 3)
-            return line if len(kept) == len(w) else " ".join([w[i] for i in kept])
-
-        def one(t):
-            if t is None:
-                return None
-            lines = t.split("\n")
-            return "\n".join([words(lines[i]) for i in kept_of_loops([_untagged(x) for x in lines], 8, 3, 4)])
-
-        return s.map(one)
+    def words(line):
+        w = line.split(" ")
+        if len(w) < 6:
+            return line
+        kept = kept_of_loops(w, 4, 3)
+        return line if len(kept) == len(w) else " ".join([w[i] for i in kept])
+
+    def one(t):
+        if t is None:
+            return None
+        lines = t.split("\n")
+        return "\n".join([words(lines[i]) for i in kept_of_loops([_untagged(x) for x in lines], 8, 3, 4)])
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            # few texts at a time are Python strings
+            for lo in range(0, len(batch), 64):
+                yield pa.array([one(t) for t in batch.slice(lo, 64).to_pylist()], pa.string())
 
     return run(c)
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import build, regions, render, sequence
+from quire.operators import build, markup, regions, render, sequence
 from quire.plans import registry
+from quire.sources import containers
 
 
 def test_outline_links_of_one_large_document(spark):
@@ -131,3 +134,41 @@ def test_reconcile_preferred_with_many_tables_of_one_place(spark):
     got = {r["source"]: (r["n"], r["places"]) for r in regions.reconcile_preferred(tables(0, 4), tables(5, 2)).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("x0").alias("places")).collect()}
     assert got == {"existing": (50_000, 2), "preferred": (100_000, 2)}
     assert time.monotonic() - began < 30
+
+
+class Batches:
+    """Stands for a DataFrame whose Arrow batches a test hands over itself."""
+
+    def __init__(self, **kinds):
+        self.dtypes = list(kinds.items())
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_containers_are_read_and_written_in_small_batches():
+    """A batch of 2,000 documents of 20 kB: 40 MB in, never more than a few MB out at a time."""
+    model_ = json.dumps({"schema_version": 0, "source": {}, "pages": [], "sections": [], "blocks": [{"text": "x" * 20_000}]})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([model_] * 2000), pa.array([[("a", b"y")]] * 2000, pa.map_(pa.string(), pa.binary()))], ["doc_id", "model", "members"])
+    made = list(containers.containers(Batches(doc_id="bigint"))(iter([batch])))
+    assert sum(b.num_rows for b in made) == 2000 and max(b.nbytes for b in made) < 8 << 20
+    content = pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+    for run in (containers.models(Batches(path="bigint")), containers.member(Batches(path="bigint"), "a")):
+        back = list(run(iter([content])))
+        assert sum(b.num_rows for b in back) == 2000 and max(b.nbytes for b in back) < 8 << 20
+    assert back[0].column(1)[0].as_py() == b"y"
+
+
+def test_nodes_come_in_small_batches():
+    html = "<ul>" + "<li a=b>some text</li>" * 500 + "</ul>"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([html] * 400)], ["page_id", "html"])
+    made = list(markup.nodes(Batches(page_id="bigint"))(iter([batch])))
+    assert sum(b.num_rows for b in made) == 400 * 1001 and max(b.nbytes for b in made) < 8 << 20
+
+
+def test_collapse_loops_over_many_rows_and_nulls(spark):
+    texts = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.concat(F.repeat(F.concat("id", F.lit("\n")), 5), F.lit("end"))).alias("t"), "id").coalesce(1)
+    assert texts.select(markup.collapse_loops(F.col("t")).eqNullSafe(F.when(F.col("id") % 3 > 0, F.concat("id", F.lit("\nend")))).alias("same")).where("same").count() == 1000
