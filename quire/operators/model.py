@@ -135,31 +135,32 @@ def attribute_sections(blocks: DataFrame) -> DataFrame:
     return joined.withColumn("section_ord", F.last("state", ignorenulls=True).over(_order())["top"]).drop("state")
 
 
-def mint_ids(rows: DataFrame, base: str, remember: bool = False) -> DataFrame:
+def mint_ids(rows: DataFrame, base: str) -> DataFrame:
     """rows(doc_id, ord, base) with final_id: base, base-2, base-3, skipping ids that are taken, in order.
 
-    remember: go on from the last suffix of the same base instead of from -2.
     The rule skips literal ids, so it is a fold over one document's ids.
     """
 
-    def run(pdf):
-        pdf = pdf.sort_values("ord")
-        used, following, out = set(), {}, []
-        for b in pdf[base]:
-            n = following.get(b, 1) if remember else 1
-            name = b
+    def start():
+        used, following = set(), {}
+
+        def step(at, b):
+            if at is None:
+                return []
+            # suffixes that were taken stay taken, so going on from the last one finds the same
+            n, name = following.get(b, 1), b
             if name in used or n > 1:
                 n = max(n, 2)
                 while (name := f"{b}-{n}") in used:
                     n += 1
             used.add(name)
             following[b] = n + 1
-            out.append(name)
-        return pdf.assign(final_id=out)
+            return [(at, name)]
+
+        return step
 
-    names = rows.select("doc_id", "ord", base)
-    made = names.groupBy("doc_id").applyInPandas(run, f"doc_id {dict(names.dtypes)['doc_id']}, ord {dict(names.dtypes)['ord']}, {base} string, final_id string")
-    return rows.join(made.select("doc_id", "ord", "final_id"), ["doc_id", "ord"])
+    made = folded(rows.select("doc_id", "ord", base), ["doc_id"], ["ord"], ["ord", base], start, f"ord {dict(rows.dtypes)['ord']}, final_id string")
+    return rows.join(made, ["doc_id", "ord"])
 
 
 def sections(blocks: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from quire.functions import text as T
 from quire.functions.classify import introduces_list
 from quire.operators import markup
+from quire.operators.model import folded
 from quire.operators.sequence import islands
 
 
@@ -78,31 +79,40 @@ def merge_fragmented_lists(els: DataFrame) -> DataFrame:
     """
     rows = els.withColumn("joins", (F.col("kind") == "para") & (F.octet_length(F.get("texts", 0)) < 400) & ~introduces_list(F.get("texts", 0)))
 
-    def run(pdf):
-        src = pdf.sort_values(["page", "ord"]).to_dict("records")
-        out, i = [], 0
-        while i < len(src):
-            cur = src[i] | {"texts": list(src[i]["texts"])}
-            i += 1
-            while cur["kind"] == "list_item":
-                j = i
-                while j < len(src) and j - i < 3 and src[j]["joins"]:
-                    j += 1
-                if j >= len(src) or src[j]["kind"] != "list_item" or bool(src[j]["ordered"]) != bool(cur["ordered"]):
-                    break
-                between = [src[k]["texts"][0] for k in range(i, j)]
-                cur["texts"][-1] += " " + " ".join(between)
-                cur["texts"] += list(src[j]["texts"])
-                i = j + 1
-            out.append(cur)
-        import pandas as pd
-
-        made = pd.DataFrame(out, columns=list(pdf.columns)).drop(columns=["joins"])
-        made["level"] = made["level"].astype("Int32")
-        return made
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in els.schema)
-    return rows.groupBy("doc_id").applyInPandas(run, schema)
+    def start():
+        cur, between = None, []
+
+        def close():
+            nonlocal cur
+            done = ([tuple(cur)] if cur else []) + between
+            cur, between[:] = None, []
+            return done
+
+        def step(page, at, kind, ordered, texts, level, joins):
+            nonlocal cur
+            if at is None:
+                return close()
+            row = (page, at, kind, ordered, texts, level)
+            if cur and joins and len(between) < 3:
+                between.append(row)
+                return []
+            if cur and kind == "list_item" and bool(ordered) == bool(cur[3]):
+                cur[4][-1] += " " + " ".join(x[4][0] for x in between)
+                cur[4] += texts
+                between.clear()
+                return []
+            done = close()
+            if kind != "list_item":
+                return [*done, row]
+            cur = [page, at, kind, ordered, list(texts), level]
+            return done
+
+        return step
+
+    kinds = dict(els.dtypes)
+    cols = ["page", "ord", "kind", "ordered", "texts", "level"]
+    out = ", ".join(f"{c} {kinds[c]}" for c in cols)
+    return folded(rows, ["doc_id"], ["page", "ord"], [*cols, "joins"], start, out).select(els.columns)
 
 
 def section_slices(headings: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import build, markup, regions, render, sequence
+from quire.operators import build, markup, model, regions, render, sequence
 from quire.plans import registry
 from quire.sources import containers
 
@@ -149,7 +149,7 @@ class Batches:
         return run
 
 
-def test_containers_are_read_and_written_in_small_batches():
+def test_containers_are_read_and_written_in_small_batches(spark):
     """A batch of 2,000 documents of 20 kB: 40 MB in, never more than a few MB out at a time."""
     model_ = json.dumps({"schema_version": 0, "source": {}, "pages": [], "sections": [], "blocks": [{"text": "x" * 20_000}]})
     batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([model_] * 2000), pa.array([[("a", b"y")]] * 2000, pa.map_(pa.string(), pa.binary()))], ["doc_id", "model", "members"])
@@ -162,7 +162,7 @@ def test_containers_are_read_and_written_in_small_batches():
     assert back[0].column(1)[0].as_py() == b"y"
 
 
-def test_nodes_come_in_small_batches():
+def test_nodes_come_in_small_batches(spark):
     html = "<ul>" + "<li a=b>some text</li>" * 500 + "</ul>"
     batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([html] * 400)], ["page_id", "html"])
     made = list(markup.nodes(Batches(page_id="bigint"))(iter([batch])))
@@ -172,3 +172,24 @@ def test_nodes_come_in_small_batches():
 def test_collapse_loops_over_many_rows_and_nulls(spark):
     texts = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.concat(F.repeat(F.concat("id", F.lit("\n")), 5), F.lit("end"))).alias("t"), "id").coalesce(1)
     assert texts.select(markup.collapse_loops(F.col("t")).eqNullSafe(F.when(F.col("id") % 3 > 0, F.concat("id", F.lit("\nend")))).alias("same")).where("same").count() == 1000
+
+
+def test_ids_of_a_document_with_many_equal_titles(spark):
+    """20,000 times one title, then titles that are taken suffixes: starting from -2 each time would take minutes."""
+    n = F.col("id")
+    rows = spark.range(20_010).select(F.lit(1).alias("doc_id"), n.alias("ord"), F.when(n < 20_000, "a").otherwise(F.concat(F.lit("a-"), (n - 19_990).cast("string"))).alias("base"))
+    began = time.monotonic()
+    got = {r["ord"]: r["final_id"] for r in model.mint_ids(rows, "base").collect()}
+    assert time.monotonic() - began < 20
+    assert (got[0], got[1], got[19_999], got[20_000]) == ("a", "a-2", "a-20000", "a-10-2") and len(set(got.values())) == 20_010
+
+
+def test_merge_fragmented_lists_row_by_row(spark):
+    kinds = ["l1", "p", "p", "p", "l2", "p", "p", "p", "p", "l3", "l4", "o5", "p", "colon", "o6", "p"]
+    of = {"l": ("list_item", False), "o": ("list_item", True), "p": ("para", False), "c": ("para", False)}
+    rows = [(d, i // 8, i, *of[k[0]], ["these:"] if k == "colon" else [f"{k}{i}", "x"] if k[0] in "lo" else [f"{k}{i}"], None) for d in (1, 2) for i, k in enumerate(kinds)]
+    x = spark.createDataFrame(rows, "doc_id int, page int, ord int, kind string, ordered boolean, texts array<string>, level int")
+    got = render.merge_fragmented_lists(x)
+    assert got.dtypes == x.dtypes
+    got = [(r["ord"], r["texts"]) for r in got.where("doc_id = 2").orderBy("ord").collect()]
+    assert got == [(0, ["l10", "x p1 p2 p3", "l24", "x"]), *((i, [f"p{i}"]) for i in range(5, 9)), (9, ["l39", "x ", "l410", "x"]), (11, ["o511", "x"]), (12, ["p12"]), (13, ["these:"]), (14, ["o614", "x"]), (15, ["p15"])]
