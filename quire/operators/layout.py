@@ -159,17 +159,22 @@ def cut_order(box: np.ndarray, size: float) -> list[int]:
 def reading_order(spans: DataFrame) -> DataFrame:
     """spans with ord, the place in the page's reading order."""
 
-    def run(pdf):
-        width = np.where(pdf["width"] > 0.1, pdf["width"], pdf["text"].str.len() * pdf["size"] * 0.5)
-        box = np.stack([pdf["x"], pdf["x"] + width, pdf["y"], pdf["y"] + pdf["size"]], 1).astype(float)
-        sizes = np.sort(pdf["size"].to_numpy())
-        order = cut_order(box, float(sizes[len(sizes) // 2]))
-        place = np.empty(len(pdf), int)
-        place[order] = np.arange(len(pdf))
-        return pdf[["doc_id", "page", "n"]].assign(ord=place)
-
-    kinds = dict(spans.dtypes)
-    made = spans.select(*PAGE, "n", "x", "y", "size", "width", "text").groupBy(*PAGE).applyInPandas(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, n {kinds['n']}, ord int")
+    def start():
+        held: list[tuple] = []
+
+        def step(n, *values):
+            if n is not None:
+                held.append((n, *values))
+                return []
+            x, y, size, width = np.array([h[1:] for h in held], float).T
+            order = cut_order(np.stack([x, x + width, y, y + size], 1), float(np.sort(size)[len(size) // 2]))
+            return [(held[i][0], at) for at, i in enumerate(order)]
+
+        return step
+
+    number = lambda c, name: c.cast("double").alias(name)
+    rows = spans.select(*PAGE, "n", *(number(F.col(c), c) for c in ("x", "y", "size")), number(span_width(), "wide"))
+    made = folded(rows, PAGE, ["n"], ["n", "x", "y", "size", "wide"], start, f"n {dict(spans.dtypes)['n']}, ord int")
     return spans.join(made, [*PAGE, "n"])
 
 

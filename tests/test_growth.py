@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import build, markup, model, regions, render, sequence
+from quire.operators import build, detect, layout, markup, model, regions, render, sequence
 from quire.plans import registry
 from quire.sources import containers
 
@@ -193,3 +193,19 @@ def test_merge_fragmented_lists_row_by_row(spark):
     assert got.dtypes == x.dtypes
     got = [(r["ord"], r["texts"]) for r in got.where("doc_id = 2").orderBy("ord").collect()]
     assert got == [(0, ["l10", "x p1 p2 p3", "l24", "x"]), *((i, [f"p{i}"]) for i in range(5, 9)), (9, ["l39", "x ", "l410", "x"]), (11, ["o511", "x"]), (12, ["p12"]), (13, ["these:"]), (14, ["o614", "x"]), (15, ["p15"])]
+
+
+def test_reading_order_of_many_small_pages(spark):
+    """120,000 pages: a frame for each would take minutes."""
+    n = F.col("id")
+    spans = spark.range(240_000).select((n / 2).cast("long").alias("doc_id"), F.lit(1).alias("page"), n.alias("n"), F.lit(0.0).alias("x"), (n % 2 * 30).cast("double").alias("y"), F.lit(10.0).alias("size"), F.lit(0.0).alias("width"), F.lit("ab").alias("text"))
+    began = time.monotonic()
+    assert layout.reading_order(spans).where("ord = 1 - n % 2").count() == 240_000
+    assert time.monotonic() - began < 25
+
+
+def test_grid_verdict_finds_its_grid_once_or_twice(spark):
+    """The grid's own expression is in the plan once, not at every fact."""
+    grid = F.array(F.array(F.concat(F.lit("only here "), F.col("id").cast("string"))))
+    plan = spark.range(1).select(detect.grid_verdict(grid).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("only here ") == 1
