@@ -7,6 +7,7 @@ window, a join on the page, or a fold over the page's ordered rows.
 from __future__ import annotations
 
 from bisect import bisect_right
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -49,25 +50,30 @@ def grid_verdict(grid: Column) -> Column:
     prose-2col, gutter-title-3col, prose-wide: cells are running text; equation,
     matrix, diagram: they are signs. Null cells and those a short row lacks are empty.
     """
-    cells = F.transform(F.flatten(grid), lambda c: F.coalesce(c, F.lit("")))
-    filled = F.filter(F.transform(cells, lambda c: F.size(words(c))), lambda n: n > 0)
-    some = lambda pattern: F.size(F.filter(cells, lambda c: c.rlike(pattern)))
-    n_columns, n_rows = F.coalesce(F.size(F.try_element_at(grid, F.lit(1))), F.lit(0)), F.size(grid)
-    places = F.when(n_columns > 0, F.sequence(F.lit(0), n_columns - 1)).otherwise(F.array().cast("array<int>"))
-    blank = lambda k: F.size(F.filter(grid, lambda r: trim_ws(F.coalesce(F.get(r, k), F.lit(""))) == ""))
-    facts = F.struct(
-        F.size(filled).alias("n"),
-        F.aggregate(filled, F.lit(0), lambda a, n: a + n).alias("words"),
-        F.size(F.filter(filled, lambda n: n > 8)).alias("long"),
-        n_columns.alias("columns"),
-        F.exists(places, lambda k: blank(k) * 5 >= n_rows * 4).alias("void"),
-        some(f"[{OPERATORS}{GREEK}]").alias("signs"),
-        ((some(f"[{RELATIONS}]") > 0) | (some(r"^\s*\([0-9.]+\)\s*$") > 0)).alias("relation"),
-        F.aggregate(F.transform(cells, lambda c: F.regexp_count(c, F.lit(r"\p{L}{3,}"))), F.lit(0), lambda a, n: a + n).alias("named"),
-        F.size(F.filter(cells, lambda c: outside_brackets(c).rlike(r"[0-9]\.[0-9]|[0-9]{3}"))).alias("values"),
-        some(r"^\s*\p{L}").alias("lettered"),
-        (some(f"[{ARROWS}]") > 0).alias("arrows"),
-        (some(r"[0-9]\.[0-9]") > 0).alias("decimals"),
+    some = lambda b, pattern: F.size(F.filter(b["cells"], lambda c: c.rlike(pattern)))
+    # what is used again is an array's element, or it would be found anew at every place
+    let = lambda of, f: F.transform(of, f)
+    bound = let(F.array(grid), lambda g: F.struct(g.alias("grid"), F.transform(F.flatten(g), lambda c: F.coalesce(c, F.lit(""))).alias("cells"), F.coalesce(F.size(F.try_element_at(g, F.lit(1))), F.lit(0)).alias("columns")))
+    bound = let(bound, lambda b: F.struct(b["grid"].alias("grid"), b["cells"].alias("cells"), b["columns"].alias("columns"), F.filter(F.transform(b["cells"], lambda c: F.size(words(c))), lambda n: n > 0).alias("filled")))
+
+    def void(b: Column) -> Column:
+        places = F.when(b["columns"] > 0, F.sequence(F.lit(0), b["columns"] - 1)).otherwise(F.array().cast("array<int>"))
+        blank = lambda k: F.size(F.filter(b["grid"], lambda r: trim_ws(F.coalesce(F.get(r, k), F.lit(""))) == ""))
+        return F.exists(places, lambda k: blank(k) * 5 >= F.size(b["grid"]) * 4)
+
+    facts = lambda b: F.struct(
+        F.size(b["filled"]).alias("n"),
+        F.aggregate(b["filled"], F.lit(0), lambda a, n: a + n).alias("words"),
+        F.size(F.filter(b["filled"], lambda n: n > 8)).alias("long"),
+        b["columns"].alias("columns"),
+        void(b).alias("void"),
+        some(b, f"[{OPERATORS}{GREEK}]").alias("signs"),
+        ((some(b, f"[{RELATIONS}]") > 0) | (some(b, r"^\s*\([0-9.]+\)\s*$") > 0)).alias("relation"),
+        F.aggregate(F.transform(b["cells"], lambda c: F.regexp_count(c, F.lit(r"\p{L}{3,}"))), F.lit(0), lambda a, n: a + n).alias("named"),
+        F.size(F.filter(b["cells"], lambda c: outside_brackets(c).rlike(r"[0-9]\.[0-9]|[0-9]{3}"))).alias("values"),
+        some(b, r"^\s*\p{L}").alias("lettered"),
+        (some(b, f"[{ARROWS}]") > 0).alias("arrows"),
+        (some(b, r"[0-9]\.[0-9]") > 0).alias("decimals"),
     )
 
     def verdict(x: Column) -> Column:
@@ -82,7 +88,7 @@ def grid_verdict(grid: Column) -> Column:
             .when((x["n"] >= 6) & x["arrows"] & (x["named"] * 3 <= x["n"]) & ~x["decimals"], "diagram")
         )
 
-    return F.transform(F.array(facts), verdict)[0]
+    return let(let(bound, facts), verdict)[0]
 
 
 def group_spans(top: Column, leaves: Column, styled: Column, header_rows: Column, n_rows: Column) -> Column:
@@ -245,7 +251,9 @@ def central_split(spans: DataFrame) -> DataFrame:
             left = x + np.maximum(width, 0) * 0.5 < gutter
             if clear < n_rows * 0.88:
                 return []
-            sides = ((y[(rows == r) & left], y[(rows == r) & ~left]) for r in range(1, n_rows + 1))
+            # the page comes by rows
+            ends = np.searchsorted(rows, np.arange(1, n_rows + 2)).tolist()
+            sides = ((y[a:b][left[a:b]], y[a:b][~left[a:b]]) for a, b in pairwise(ends))
             apart = clear >= n_rows and not shared_baselines(list(sides), float(size.mean()))
             return [(i, r * 2 + int(s), gutter, (gutter - lo if s else hi - gutter) * 0.5, clear < n_rows, apart) for i, r, s in zip(ids, rows.tolist(), left.tolist(), strict=True) if r]
 

@@ -12,7 +12,7 @@ from quire.functions import classify as K
 from quire.operators import detect
 
 from . import scalars as S
-from .scalars import count, e, m, q, r, table
+from .scalars import count, e, m, q, r, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,7 +63,7 @@ SELECT p_partkey, CASE WHEN nc <= 2 AND mean > 4 THEN 'prose-2col' WHEN nc = 3 A
 """,
 )
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", detect.grid_verdict(F.expr(GRID)).alias("verdict"))
+    return spread(table(spark, d, "part"), "p_partkey").select("p_partkey", detect.grid_verdict(F.expr(GRID)).alias("verdict"))
 
 
 @query(
