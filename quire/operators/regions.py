@@ -591,11 +591,12 @@ def expand_hits(hits: DataFrame, spaces: DataFrame, chunks: DataFrame, texts: Da
     id that chunks doesn't have any more, is skipped. texts(doc_id, chunk, text) and
     labels(doc_id, page, label) add what is read.
     """
-    named = hits.join(spaces.select("doc_id", "chunk_ids"), "doc_id").withColumn("chunk_id", F.get("chunk_ids", F.col("row"))).where("chunk_id is not null")
-    known = chunks.select("doc_id", F.col("id").alias("chunk_id"), "chunk", "section", "page_start", "page_end", "ords")
-    x = named.join(known, ["doc_id", "chunk_id"]).join(texts.select("doc_id", "chunk", F.col("text").alias("snippet")), ["doc_id", "chunk"], "left")
+    # Sorted and merged: each table grows with the corpus, and a small file says little of the rows made from it, so none may be sent whole to every task.
+    named = hits.join(spaces.select("doc_id", "chunk_ids").hint("merge"), "doc_id").withColumn("chunk_id", F.get("chunk_ids", F.col("row"))).where("chunk_id is not null")
+    known = chunks.select("doc_id", F.col("id").alias("chunk_id"), "chunk", "section", "page_start", "page_end", "ords").hint("merge")
+    x = named.join(known, ["doc_id", "chunk_id"]).join(texts.select("doc_id", "chunk", F.col("text").alias("snippet")).hint("merge"), ["doc_id", "chunk"], "left")
     for side in ("start", "end"):
-        x = x.join(labels.select("doc_id", F.col("page").alias(f"page_{side}"), F.col("label").alias(f"label_{side}")), ["doc_id", f"page_{side}"], "left")
+        x = x.join(labels.select("doc_id", F.col("page").alias(f"page_{side}"), F.col("label").alias(f"label_{side}")).hint("merge"), ["doc_id", f"page_{side}"], "left")
     return x.select("doc_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "section", "page_start", "page_end", "label_start", "label_end", "ords", "snippet")
 
 

@@ -209,3 +209,18 @@ def test_grid_verdict_finds_its_grid_once_or_twice(spark):
     grid = F.array(F.array(F.concat(F.lit("only here "), F.col("id").cast("string"))))
     plan = spark.range(1).select(detect.grid_verdict(grid).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("only here ") == 1
+
+
+def test_expand_hits_sends_no_table_whole(spark):
+    """Labels, spaces and chunks grow with the corpus; a broadcast of them is in the memory of each task, whatever the tables' files say of their size."""
+    hits = spark.createDataFrame([(1, 0, 0, 0.5), (1, 1, 0, 0.25), (1, 2, 1, 0.2), (1, 3, 2, 0.1), (1, 4, -1, 0.1), (1, 5, None, 0.1), (2, 0, 0, 0.1234567), (3, 0, 0, 0.3)], "doc_id long, rank int, row int, score double")
+    spaces = spark.createDataFrame([(1, ["a", "gone"]), (2, ["b"])], "doc_id long, chunk_ids array<string>")
+    chunks = spark.createDataFrame([(1, "a", 0, "s", 1, 2, [5]), (2, "b", 0, None, 1, None, [])], "doc_id long, id string, chunk int, section string, page_start int, page_end int, ords array<int>")
+    texts = spark.createDataFrame([(1, 0, "t")], "doc_id long, chunk int, text string")
+    labels = spark.createDataFrame([(1, 1, "i"), (1, 2, "ii"), (2, 2, "ii")], "doc_id long, page int, label string")
+    got = regions.expand_hits(hits, spaces, chunks, texts, labels)
+    a = ("a", "s", 1, 2, "i", "ii", [5], "t")
+    rows = {(r["doc_id"], r["rank"]): (r["score"], *(r[c] for c in "chunk_id section page_start page_end label_start label_end ords snippet".split())) for r in got.collect()}
+    assert rows == {(1, 0): (0.5, *a), (1, 1): (0.25, *a), (2, 0): (0.123457, "b", None, 1, None, None, None, [], None)}
+    # as planned, and as it ran after the sizes were known
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
